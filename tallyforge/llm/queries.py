@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, piece_coding, sharding, substring_dedup, token_counts, vector_search
+from . import exact_dedup, language_id, license_scan, near_dedup, packing, piece_coding, sharding, substring_dedup, token_counts, vector_search
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.per_document(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sharding": op3_sharding,
+    "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_exact_topk_search": op6_exact_topk_search,
     "op7_piece_coding": op7_piece_coding,
