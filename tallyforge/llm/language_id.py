@@ -120,32 +120,33 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     return fit(slots, [r["lang"] for r in got], landmarks)
 
 
-def _predict(shared):
+def _predict(shared, text: str, names: tuple[str, str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            names, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            texts = batch.column(text).to_pylist()
+            found, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             at = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
             for k in range(0, len(at), _BATCH):
                 part = at[k : k + _BATCH]
                 scores = model.scores(np.array([indicators(texts[i]) for i in part]))
                 for i, best, row in zip(part, scores.argmax(axis=1).tolist(), scores, strict=True):
-                    names[i], sure[i] = model.languages[best], min(1.0, max(0.0, (float(row[best]) + 1) / 2))
+                    found[i], sure[i] = model.languages[best], min(1.0, max(0.0, (float(row[best]) + 1) / 2))
             own = [c for c in batch.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(names), pa.array(sure)], names=[*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*own, *names])
 
     return predict
 
 
-def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns of docs with lang_pred and score (0 to 1). Only the text is an input.
+def identify(docs: DataFrame, model: Model, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The named columns of docs with the predicted language and its score (0 to 1). Only the text is an input.
 
     A text that is null, empty or without letters is `und` with score 0, as is every text if no row was learned from.
-    Columns named lang_pred and score are replaced.
+    Columns with the two names are replaced.
     """
-    own = [c for c in columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").cast("string").alias("__text"))
+    own = [c for c in columns if c not in names]
+    text = "text" if "text" in own else "__text"  # it travels once
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], *([] if text in own else [F.col("text").alias(text)]))
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in own)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see Model
-    return rows.mapInArrow(_predict(shared), f"{fields}lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared, text, names), f"{fields}`{names[0]}` string, `{names[1]}` double")

@@ -179,40 +179,43 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     return sorted_blocks.mapInArrow(_parse_index(window), _FACTORS)
 
 
-def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, spans = batch.column("__text"), batch.column("__spans")
-        out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": []}
-        for text, found in zip(texts, spans, strict=True):
-            words = (text.as_py() or "").encode().split()
-            kept = words
-            if found.is_valid and len(found):
-                flags = np.ones(len(words), np.uint8)
-                pairs = found.values.flatten()
-                for start, length in zip(pairs[0].to_pylist(), pairs[1].to_pylist(), strict=True):
-                    flags[start : start + length] = 0
-                kept = list(compress(words, flags.tobytes()))
-            out["n_words"].append(len(words))
-            out["n_removed"].append(len(words) - len(kept))
-            out["kept_text"].append(b" ".join(kept))
-        own = [c for c in batch.schema.names if c not in ("__text", "__spans")]
-        more = [pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + more, names=own + ["n_words", "n_removed", "kept_text"])
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """docs with n_words, n_removed and kept_text (the words that stay, joined by one space); docs' columns stay.
-
-    Columns of docs named like these, or __*, are replaced. Null texts have no words; no rows give no rows.
+def _cut_words(text: str, names: tuple[str, str, str]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, removed, left = [], [], []
+            for value, found in zip(batch.column(text), batch.column("__spans"), strict=True):
+                words = (value.as_py() or "").encode().split()
+                kept = words
+                if found.is_valid and len(found):
+                    flags = np.ones(len(words), np.uint8)
+                    pairs = found.values.flatten()
+                    for start, length in zip(pairs[0].to_pylist(), pairs[1].to_pylist(), strict=True):
+                        flags[start : start + length] = 0
+                    kept = list(compress(words, flags.tobytes()))
+                total.append(len(words))
+                removed.append(len(words) - len(kept))
+                left.append(b" ".join(kept))
+            own = [c for c in batch.schema.names if c not in ("__text", "__spans")]
+            more = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + more, names=[*own, *names])
+
+    return cut
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, names: tuple[str, str, str] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
+    """docs with its number of words, of words removed, and the words that stay, joined by one space.
+
+    Columns of docs with these names are replaced; the others stay. Null texts have no words; no rows give no rows.
     """
-    keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text") and not c.startswith("__")]
+    keep = [c for c in docs.columns if c not in names]
     spans = factors(docs, window, anchor).groupBy("id", "print").agg(F.collect_list(F.struct("start", "length")).alias("__spans"))
     spans = spans.select(F.col("id").alias("__id"), F.col("print").alias("__print"), "__spans")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], doc_key().alias("__key"), F.xxhash64("text").alias("__own"))
-    rows = rows.join(spans, (F.col("__key") == F.col("__id")) & (F.col("__own") == F.col("__print")), "left")
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"), "__spans")
+    own = [F.col(f"`{c}`") for c in keep]
+    text = "text" if docs.schema["text"].dataType.simpleString() == "string" else "__text"  # it travels once
+    rows = docs.select(*own, *([] if text == "text" else [F.col("text").cast("string").alias(text)]), doc_key().alias("__key"), F.xxhash64("text").alias("__own"))
+    rows = rows.join(spans, (F.col("__key") == F.col("__id")) & (F.col("__own") == F.col("__print")), "left").drop("__key", "__own", "__id", "__print")
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInArrow(_cut_words, f"{fields}n_words long, n_removed long, kept_text string")
+    return rows.mapInArrow(_cut_words(text, names), f"{fields}`{names[0]}` long, `{names[1]}` long, `{names[2]}` string")
 
 
 def digest(rows: DataFrame) -> DataFrame:
