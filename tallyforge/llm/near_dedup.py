@@ -2,9 +2,11 @@
 components by alternating large-star and small-star.
 
 Texts of equal word sequences are one class and only its smallest document goes on. Candidates never are all pairs of a
-bucket: each bucket first links its members to its smallest one, and after these links are verified and their components
-known, only members of buckets that still span several components are compared across components. So a large group of
-copies costs one link per copy, and no link between different components is passed over.
+bucket: each bucket first links its members to its smallest one. Once these links are verified and their components known, only
+members of buckets that still span several components meet, in cells of bounded size that hold their full sets, and only
+links that join components leave a cell: first within blocks of the first bands, then, after components have been found
+anew, in all cells of what is still mixed. So a large group of copies costs one link per copy, and no link between
+different components is passed over.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, slices, stored, strings
+from .common import binaries, doc_key, slices, stored, strings
 from .words import mix, run_starts, runs, whole, word_hashes
 
 SHINGLE = 5
@@ -27,6 +29,8 @@ BANDS, ROWS = 54, 6
 CHECKED, AGREE = 128, 70
 _SLICE = 1 << 20
 _BLOCK = 512
+#: Bands whose buckets are compared first; most components have met when the others follow.
+FIRST_BANDS = 6
 
 _SIGNED = "id long, print long, n_shingles long, sequence long, sequence2 long, bands binary, sketch binary"
 
@@ -108,6 +112,17 @@ def _spread(bands: int):
     return spread
 
 
+def _early(bands: int, first: int):
+    """Signatures -> the same rows of the first bands only."""
+    spread = _spread(bands)
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in spread(batches):
+            yield batch.filter(pa.array(np.tile(np.arange(bands) < first, batch.num_rows // bands)))
+
+    return early
+
+
 def _agreeing(pairs: DataFrame, sketches: DataFrame, agree: int) -> DataFrame:
     """The pairs (a, b) of whose checked minima at least `agree` agree."""
     one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -181,23 +196,94 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def _across(agree: int, least: float):
-    """Members of a bucket, in two blocks -> pairs of different components whose sketches agree."""
+def cell_links(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, agree: int) -> list[tuple[int, int]]:
+    """Links that join components of a cell's members, each verified on full sets. side: only 0 and 1 meet if both occur."""
+    pairs = []
+    both = side.any() and not side.all()
+    for k in range(len(ids) - 1):
+        rest = slice(k + 1, None)
+        fits = (component[rest] != component[k]) & (ids[rest] != ids[k])
+        fits &= 100 * np.minimum(sizes[k], sizes[rest]) >= percent * np.maximum(sizes[k], sizes[rest])
+        if both:
+            fits &= side[rest] != side[k]
+        at = np.flatnonzero(fits) + k + 1
+        alike = (sketch[at] == sketch[k]).sum(axis=1)
+        good = alike >= agree
+        pairs.append(np.stack([np.full(good.sum(), k), at[good], alike[good]]))
+    pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+    pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
+    shared = _shared(sets) if pairs.shape[1] > 400 else None
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    links = []
+    for x, y in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True):
+        one, two = find(int(component[x])), find(int(component[y]))
+        if one == two:
+            continue
+        both_have = int(shared[x, y]) if shared is not None else len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if 100 * both_have >= percent * (len(sets[x]) + len(sets[y]) - both_have):
+            root[max(one, two)] = min(one, two)
+            links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+    return links
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, by products of indicator matrices of 4096 elements each."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(element[-1]) + 1 if len(element) else 0, 4096):
+        i, j = np.searchsorted(element, (low, low + 4096))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[i:j], element[i:j] - low] = 1
+        out += has @ has.T
+    return out
+
+
+def _meet(percent: int, agree: int):
+    def meet(table: pa.Table) -> pa.Table:
+        first = table["i"][0].as_py()
+        column = lambda name: table[name].to_numpy()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        links = cell_links(column("id"), column("component"), column("n"), sketch, sets, column("own") != first, percent, agree)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return meet
+
+
+def _as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        offsets, data = strings(batch.column("text"))
+        for i, j in slices(offsets, _SLICE):
+            hashes, sizes, _, _ = shingle_sets(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), binaries(hashes, np.concatenate(([0], np.cumsum(sizes))) * 8)], names=["id", "shingles"])
+
 
-    def across(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = [[x[c].to_numpy() for c in ("id", "component", "n")] for x in (left, right)]
-        (ids, comps, sizes), (ids2, comps2, sizes2) = columns
-        x, y = (np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1) for t in (left, right))
-        found_a, found_b = [], []
-        for k in range(len(ids)):
-            fits = (comps2 != comps[k]) & (np.minimum(sizes[k], sizes2) >= least * np.maximum(sizes[k], sizes2)) & (ids2 != ids[k])
-            at = np.flatnonzero(fits)
-            at = at[(y[at] == x[k]).sum(axis=1) >= agree]
-            found_a += [np.minimum(ids[k], ids2[at])]
-            found_b += [np.maximum(ids[k], ids2[at])]
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+def links_across(members: DataFrame, comps: DataFrame, known: DataFrame, texts: DataFrame, percent: int, own_blocks: bool) -> DataFrame:
+    """Links (a, b) between components that share a bucket. members: bucket, lead, id. own_blocks: blocks meet only themselves.
 
-    return across
+    The leader has met all members of its bucket, so it takes no part. A bucket of s members is dealt to blocks of about
+    512; with own_blocks each is a cell, else each two are.
+    """
+    named = members.where("id <> lead").select("bucket", "id").distinct().join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("bucket", "size")
+    parts = F.ceil(F.col("size") / F.lit(_BLOCK)).cast("int")
+    open_ones = named.join(mixed, "bucket").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")).cast("int"))
+    open_ones = stored(open_ones, "open")
+    needed = open_ones.select("id").distinct()
+    sets = texts.join(needed, "id", "left_semi").mapInArrow(_as_set, "id long, shingles binary").dropDuplicates(["id"])
+    sets = stored(sets.join(known, "id"), "sets")
+    others = F.array("own") if own_blocks else F.sequence(F.lit(0), F.col("parts") - 1)
+    cells = open_ones.withColumn("other", F.explode(others)).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    return cells.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(_meet(percent, AGREE), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -215,34 +301,20 @@ def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: in
     buckets = reps.select("id", "bands").mapInArrow(_spread(bands), "bucket long, id long")
     lead = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
     members = stored(buckets.join(lead, "bucket"), "buckets")
-    pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    sketches = with_words.select("id", "sketch")
+    known = with_words.select("id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"])
+    near_any = members.select("id").distinct()
     texts = docs.select(doc_key().alias("id"), F.col("text").cast("string").alias("text"))
-    tried = stored(_agreeing(pairs, sketches, AGREE), "pairs")
-    links = stored(confirmed(tried, texts, percent), "links")
+    texts = stored(texts.join(near_any, "id", "left_semi"), "texts")
+    pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    links = stored(confirmed(_agreeing(pairs, known, AGREE), texts, percent), "links")
     comps = stored(components(links), "components")
-    # buckets that still span several components, without their leader, which has met all members
-    named = members.where("id <> lead").join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("bucket", "size")
-    open_members = stored(named.join(mixed, "bucket").join(with_words.select("id", F.col("n_shingles").alias("n"), "sketch"), "id"), "open")
-    parts = F.ceil(F.col("size") / F.lit(_BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id", "bucket"), parts).cast("int")
-    cells = open_members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch")
-
-    def meet(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left = table.filter(pa.compute.equal(table["own"], i))
-        right = table.filter(pa.compute.equal(table["own"], j))
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        return _across(AGREE, percent / 100)(left, right)
-
-    more = cells.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long").distinct()
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more_pairs")
-    if not more.isEmpty():
-        links = stored(links.union(confirmed(more, texts, percent)), "links")
-        comps = stored(components(links), "components")
+    early = reps.select("id", "bands").mapInArrow(_early(bands, FIRST_BANDS), "bucket long, id long").select("bucket").distinct()
+    for few in (True, False):
+        some = members.join(early, "bucket", "left_semi") if few else members
+        more = stored(links_across(some, comps, known, texts, percent, own_blocks=few), "more_links")
+        if not more.isEmpty():
+            # components so far stand for the links found so far
+            comps = stored(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
     named = classes.join(comps, F.col("rep") == F.col("id"), "left").select("sequence", "sequence2", F.coalesce("component", "rep").alias("component"))
     found = with_words.select("id", "n_shingles", "sequence", "sequence2").join(named, ["sequence", "sequence2"]).select("id", "n_shingles", "component")
     found = found.union(signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
