@@ -4,7 +4,9 @@ A text falls into chunks that start at a space after another character. No piece
 so no merge crosses a chunk's start and equal chunks are encoded once per slice. The agenda holds, for every chunk, its
 adjacent symbol pairs that form a piece; in each round every chunk takes its pair of highest score, the leftmost among
 equals, merges it and enters the two new pairs, until no chunk has a pair left. Rounds run over all chunks of a slice at
-once with numpy. Every Arrow batch is checked against the sentencepiece library.
+once with numpy. Every Arrow batch is checked against the sentencepiece library: each distinct chunk's ids, and each
+text's normal form, which must be the text with marked spaces. As no piece crosses a chunk's start, both give the whole
+text's ids.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from .common import slices, strings
 from .token_counts import SPACE, processor
 from .words import mix, powers
 
-_SLICE = 2 << 20
+_SLICE = 4 << 20
 _STEP = 0xC2B2AE3D27D4EB4F
+_SLOT_BITS = 20
 _LOWEST = np.float64(-np.inf)
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 class Vocabulary:
@@ -48,10 +52,16 @@ class Vocabulary:
                 left, right = symbols.get(p[:k]), symbols.get(p[k:])
                 if left is not None and right is not None:
                     pairs[left << 24 | right] = (i, model.get_score(i))
-        keys = sorted(pairs)
-        self.pair_keys = np.array(keys, np.int64)
-        self.pair_ids = np.array([pairs[k][0] for k in keys], np.int64)
-        self.pair_scores = np.array([pairs[k][1] for k in keys], np.float64)
+        keys = np.array(sorted(pairs), np.int64)
+        self.pair_ids = np.array([pairs[k][0] for k in keys.tolist()] + [-1], np.int64)
+        self.pair_scores = np.array([pairs[k][1] for k in keys.tolist()] + [_LOWEST], np.float64)
+        # open addressing, at most an eighth full: slot -> key and its number; the last number stands for no pair
+        self.slots = np.full(1 << _SLOT_BITS, -1, np.int64)
+        self.numbers = np.full(1 << _SLOT_BITS, len(keys), np.int64)
+        for number, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) & (len(self.slots) - 1)
+            self.slots[slot], self.numbers[slot] = key, number
         chars = {ord(p): i for p, i in symbols.items() if len(p) == 1}
         self.char_codes = np.array(sorted(chars), np.int64)
         self.char_ids = np.array([chars[c] for c in sorted(chars)], np.int64)
@@ -64,11 +74,24 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.char_codes, codes), len(self.char_codes) - 1)
         return np.where(self.char_codes[at] == codes, self.char_ids[at], codes + (1 << 22))
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(_STEP)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
     def merged(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and score of each pair; -1 where the two form none."""
         keys = left << 24 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        found = self.pair_keys[at] == keys
-        return np.where(found, self.pair_ids[at], -1), np.where(found, self.pair_scores[at], _LOWEST)
+        slot = self._slot(keys)
+        there = self.slots[slot]
+        number = np.where(there == keys, self.numbers[slot], len(self.pair_ids) - 1)
+        odd = np.flatnonzero((there != keys) & (there >= 0))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) & (len(self.slots) - 1)
+            there = self.slots[slot[odd]]
+            hit = there == keys[odd]
+            number[odd[hit]] = self.numbers[slot[odd[hit]]]
+            odd = odd[~hit & (there >= 0)]
+        return self.pair_ids[number], self.pair_scores[number]
 
 
 @lru_cache(maxsize=2)
@@ -88,6 +111,7 @@ def agenda(vocab: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> tuple[n
     pair, score = np.full(n, -1, np.int64), np.full(n, _LOWEST)
     pair[has], score[has] = vocab.merged(symbols[has], symbols[after[has]])
     open_at = np.flatnonzero(pair >= 0)  # the agenda: left symbols of pairs, chunk by chunk
+    listed = pair >= 0
     while len(open_at):
         owner = chunk[open_at]
         head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -107,8 +131,13 @@ def agenda(vocab: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> tuple[n
         pair[following], score[following] = vocab.merged(symbols[following], symbols[after[following]])
         leading = before[left[before[left] >= 0]]
         pair[leading], score[leading] = vocab.merged(symbols[leading], symbols[after[leading]])
-        stays = np.union1d(open_at, np.concatenate((left, leading))) if len(leading) else open_at
-        open_at = stays[(pair[stays] >= 0) & alive[stays]]
+        new = leading[(pair[leading] >= 0) & ~listed[leading]]
+        stays = pair[open_at] >= 0
+        listed[open_at[~stays]] = False
+        open_at = open_at[stays]
+        if len(new):
+            listed[new] = True
+            open_at = np.insert(open_at, np.searchsorted(open_at, new), new)
     kept = np.flatnonzero(alive)
     return symbols[kept], np.searchsorted(kept, first, "left")
 
@@ -119,8 +148,8 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
 
 
-def encode(vocab: Vocabulary, offsets: np.ndarray, data: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, first id of each text): the space in front, chunks, agenda, bytes for unknown characters."""
+def encode(vocab: Vocabulary, offsets: np.ndarray, data: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts, first id of each text, texts with a chunk for which the library has other ids)."""
     filled = np.diff(offsets) > 0
     sizes = np.diff(offsets) + filled
     at = np.concatenate(([0], np.cumsum(sizes)))
@@ -134,7 +163,7 @@ def encode(vocab: Vocabulary, offsets: np.ndarray, data: np.ndarray, end_id: int
     end = np.append(start[1:], len(text))
     up, down = powers(_STEP, len(text) + 1)
     sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    np.cumsum(_LETTERS[text] * up[:-1], out=sums[1:])
     keys = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     _, one, which = np.unique(keys, return_index=True, return_inverse=True)
     raw = _gather(text, start[one], (end - start)[one])
@@ -144,14 +173,34 @@ def encode(vocab: Vocabulary, offsets: np.ndarray, data: np.ndarray, end_id: int
     codes[codes == 0x20] = ord(SPACE)
     symbols, first = agenda(vocab, vocab.symbols(codes), leads[cuts])
     ids, first = _with_bytes(vocab, symbols, first)
+    wrong = _differing(vocab, raw, cuts, ids, first)
     counts = np.diff(first)[which]
     out = _gather(ids, first[:-1][which], counts)
     per_text = np.searchsorted(start, at, "left")
+    odd = np.zeros(len(sizes), bool)
+    if len(wrong):
+        odd[np.searchsorted(at, start[np.isin(which, wrong)], "right") - 1] = True
     token_at = np.concatenate(([0], np.cumsum(counts)))[per_text]
     if end_id is not None:
         out = np.insert(out, token_at[1:], end_id)
         token_at = token_at + np.arange(len(token_at))
-    return out, token_at
+    return out, token_at, odd
+
+
+def _differing(vocab: Vocabulary, raw: np.ndarray, cuts: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Distinct chunks for which the library gives other ids. Its own space in front takes the place of a chunk's first."""
+    blob = raw.tobytes()
+    at = cuts.tolist()
+    found = vocab.model.encode([blob[i + 1 : j].decode() for i, j in zip(at, at[1:], strict=False)], num_threads=1, return_type="numpy") if len(at) > 1 else []
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    own = np.diff(first)
+    bad = np.flatnonzero(sizes != own)
+    if not len(bad):
+        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        bad = np.unique(np.searchsorted(first, np.flatnonzero(flat != ids), "right") - 1)
+    else:
+        bad = np.array([k for k, x in enumerate(found) if len(x) != own[k] or (x != ids[first[k] : first[k + 1]]).any()], np.int64)
+    return bad
 
 
 def _with_bytes(vocab: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,28 +233,30 @@ def _code(path: str, end_id: int | None):
         for batch in batches:
             offsets, data = strings(batch.column(1))
             for i, j in slices(offsets, _SLICE):
-                ids, first = encode(vocab, offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], end_id)
+                given = ["" if t is None else t for t in batch.column(1).slice(i, j - i).to_pylist()]
+                own_at, own = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+                if any(SPACE in t for t in given):  # the mark itself is a space to the library
+                    given = [t.replace(SPACE, " ") for t in given]
+                    own_at, own = strings(pa.array(given, pa.string()))
+                ids, first, odd = encode(vocab, own_at, own, end_id)
                 texts = decode(vocab, ids, first)
+                odd |= np.array([a != b for a, b in zip(texts, given, strict=True)], bool)
+                odd |= np.array([bool(t) and m != SPACE + t.replace(" ", SPACE) for m, t in zip(vocab.model.normalize(given), given, strict=True)], bool)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                lists, texts, odd = _checked(vocab.model, batch.column(1).slice(i, j - i), lists, texts, ids, first, end_id)
+                if odd.any():
+                    lists, texts = _from_library(vocab.model, batch.column(1).slice(i, j - i), lists, texts, odd, end_id)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(texts, pa.string()), pa.array(odd)], names=["doc_id", "ids", "decoded", "from_library"])
 
     return code
 
 
-def _checked(model, column: pa.Array, lists: pa.Array, texts: list[str], ids: np.ndarray, first: np.ndarray, end_id: int | None):
-    """Both directions against the library; a text that differs gets the library's answer and is marked."""
-    given = ["" if t is None else t for t in column.to_pylist()]
-    tail = np.zeros(0, np.int32) if end_id is None else np.array([end_id], np.int32)
-    expected = [np.append(x, tail) for x in model.encode(given, num_threads=1, return_type="numpy")] if given else []
-    back = model.decode(expected, num_threads=1) if expected else []
-    sizes = np.array([len(x) for x in expected])
-    flat = np.concatenate(expected) if expected else np.zeros(0, np.int32)
-    if np.array_equal(sizes, np.diff(first)) and np.array_equal(flat, ids) and back == texts:
-        return lists, texts, np.zeros(len(texts), bool)
-    own = lists.to_pylist()
-    odd = np.array([x.tolist() != y or a != b for x, y, a, b in zip(expected, own, back, texts, strict=True)], bool)
-    return pa.array([x.tolist() for x in expected], pa.list_(pa.int32())), back, odd
+def _from_library(model, column: pa.Array, lists: pa.Array, texts: list[str], odd: np.ndarray, end_id: int | None):
+    """The library's answer for the texts whose check failed."""
+    own, given = lists.to_pylist(), column.to_pylist()
+    for k in np.flatnonzero(odd).tolist():
+        own[k] = model.encode(given[k] or "") + ([] if end_id is None else [end_id])
+        texts[k] = model.decode(own[k])
+    return pa.array(own, pa.list_(pa.int32())), texts
 
 
 def code_texts(docs: DataFrame, model: str, end_id: int | None = 2) -> DataFrame:
