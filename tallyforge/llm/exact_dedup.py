@@ -50,7 +50,10 @@ class DigestIndex:
         """Adds the digests of keyed (digest, doc_id, n_chars) that the index lacks, with the row that stays."""
         best = F.max(F.struct("n_chars", F.bitwise_not(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("order"), "doc_id"))
         groups = keyed.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        known = self.rows().select(F.col("digest").alias("known")).hint("merge")
+        # with the always true second condition the optimiser can't move the anti-join below the aggregation, where it
+        # would shuffle every row of a hot group instead of one partial row for each task
+        new = groups.join(known, (F.col("digest") == F.col("known")) & (F.col("group_size") > 0), "left_anti")
         rows = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n_chars").cast("long").alias("n_chars"), "group_size", F.lit(batch).alias("batch"))
         rows = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
