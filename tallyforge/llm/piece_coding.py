@@ -192,6 +192,8 @@ def _differing(vocab: Vocabulary, raw: np.ndarray, cuts: np.ndarray, ids: np.nda
     blob = raw.tobytes()
     at = cuts.tolist()
     found = vocab.model.encode([blob[i + 1 : j].decode() for i, j in zip(at, at[1:], strict=False)], num_threads=1, return_type="numpy") if len(at) > 1 else []
+    if (alone := np.flatnonzero(np.diff(cuts) == 1)).size:  # a space at a text's end, without which nothing is left
+        found[int(alone[0])] = np.array([vocab.model.piece_to_id(SPACE)])
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     own = np.diff(first)
     bad = np.flatnonzero(sizes != own)
