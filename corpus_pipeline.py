@@ -19,8 +19,13 @@ def _own(docs: DataFrame) -> list:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, empty or without letters: `und`) go; a null lang takes the prediction."""
+    """Documents without a language (null, empty or without letters: `und`) go; a null lang takes the prediction.
+
+    Where no document is labelled, nothing can be learned: then only documents without letters go.
+    """
     model = language_id.train(docs)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = language_id.identify(docs, model, docs.columns, names=("__language", "__sure")).where(F.col("__language") != language_id.UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "__language")).select(*_own(docs))
 
