@@ -1 +1 @@
-
+"""Nothing streams: sources are published by the year, whole or not at all (see sources.registrations)."""
