@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -93,3 +95,33 @@ def binaries(rows: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column over the bytes of `rows`; offsets are in bytes."""
     data = np.ascontiguousarray(rows).view(np.uint8)
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return None
+
+
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work with each batch on its own; what a batch took goes back to the system, as workers outlive their stage."""
+
+    @wraps(work)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from work(iter((batch,)))
+            del batch
+            if trim := _trim():
+                trim(0)
+
+    return each
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the column's values are at most `most` bytes in each, or one longer value."""
+    for batch in batches:
+        offsets, _ = strings(batch.column(column))
+        for i, j in slices(offsets, most):
+            yield batch.slice(i, j - i)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import by_bytes, frugal
+
 UNDETERMINED = "und"
 #: Rows that are learned from, at most: of each language and in all; and how many of them are landmarks. The bounds of the
 #: labelled sample are parameters of train(); everything that is not fitted reads all rows.
@@ -26,6 +28,8 @@ RIDGE = 0.01
 BITS = (12, 14, 16)
 _EDGES = np.concatenate(([0], np.cumsum([1 << b for b in BITS])))
 _BATCH = 32
+#: Bytes of text that are unpacked at once.
+_SLICE = 2 << 20
 
 
 def indicators(text: str) -> np.ndarray:
@@ -96,8 +100,9 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+@frugal
 def _indicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, "text", _SLICE):
         packed = [np.packbits(indicators(t)).tobytes() if has_letter(t) else None for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "print", "lang", "turn")), pa.array(packed, pa.binary())], names=["doc_id", "print", "lang", "turn", "slots"])
 
@@ -123,7 +128,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
 def _predict(shared, text: str, names: tuple[str, str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, text, _SLICE):
             texts = batch.column(text).to_pylist()
             found, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             at = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
@@ -135,7 +140,7 @@ def _predict(shared, text: str, names: tuple[str, str]):
             own = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*own, *names])
 
-    return predict
+    return frugal(predict)
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

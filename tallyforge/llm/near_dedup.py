@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, doc_key, slices, stored, strings
+from .common import binaries, doc_key, frugal, slices, stored, strings
 from .words import mix, run_starts, runs, whole, word_hashes
 
 SHINGLE = 5
@@ -87,7 +87,7 @@ def _sign(bands: int, rows: int, checked: int):
                     names=["id", "print", "n_shingles", "sequence", "sequence2", "bands", "sketch"],
                 )
 
-    return sign
+    return frugal(sign)
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, checked: int = CHECKED) -> DataFrame:
@@ -137,6 +137,7 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, agree: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
 
 
+@frugal
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = strings(batch.column("text"))
@@ -259,6 +260,7 @@ def _meet(percent: int, agree: int):
     return meet
 
 
+@frugal
 def _as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = strings(batch.column("text"))
@@ -316,6 +318,7 @@ def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: in
             # components so far stand for the links found so far
             comps = stored(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
     named = classes.join(comps, F.col("rep") == F.col("id"), "left").select("sequence", "sequence2", F.coalesce("component", "rep").alias("component"))
+    named = stored(named, "named")  # both sides of the join then are plain tables, so Spark can split a hot class
     found = with_words.select("id", "n_shingles", "sequence", "sequence2").join(named, ["sequence", "sequence2"]).select("id", "n_shingles", "component")
     found = found.union(signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
     plain = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 
 CAPACITY = 1024
 #: Letters, digits and signs for which the two libraries split alike; a text with others goes to tokenizers itself.
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield _batch(out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids binary"
+        frugal(cut), "doc_id long, piece int, start long, length long, ids binary"
     )
 
 

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import frugal, slices, strings
 from .token_counts import SPACE, processor
 from .words import mix, powers
 
-_SLICE = 4 << 20
+_SLICE = 3 << 20
 _STEP = 0xC2B2AE3D27D4EB4F
 _SLOT_BITS = 20
 _LOWEST = np.float64(-np.inf)
@@ -249,7 +249,7 @@ def _code(path: str, end_id: int | None):
                     lists, texts = _from_library(vocab.model, batch.column(1).slice(i, j - i), lists, texts, odd, end_id)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(texts, pa.string()), pa.array(odd)], names=["doc_id", "ids", "decoded", "from_library"])
 
-    return code
+    return frugal(code)
 
 
 def _from_library(model, column: pa.Array, lists: pa.Array, texts: list[str], odd: np.ndarray, end_id: int | None):

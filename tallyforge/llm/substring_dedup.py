@@ -21,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, doc_key, slices, strings
+from .common import binaries, by_bytes, doc_key, frugal, slices, strings
 from .words import mix, run_starts, runs, word_hashes
 
 WINDOW, ANCHOR = 20, 5
 #: Bytes of a window's hash that travel to the index; with the 8 of the key, 14 bytes tell windows apart.
 _HASH_BYTES = 6
 #: Bytes of text that are parsed at once; longer texts are parsed alone.
-_SLICE = 4 << 20
+_SLICE = 3 << 19
 
-_BLOCKS = "key long, id long, print long, start int, hashes binary, length int, source_id long, source_start int"
-_FACTORS = "id long, print long, start int, length int, source_id long, source_start int"
+#: Blocks on their way to the index. A factor that is done travels among them with -1 - start for start and its length,
+#: source_start and source_id (4, 4 and 8 bytes) for hashes.
+_BLOCKS = "key long, id long, print int, start int, hashes binary"
+_FACTORS = "id long, print int, start int, length int, source_id long, source_start int"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -81,26 +83,22 @@ def _parse_slice(ids, prints, offsets, data, window, anchor) -> Iterator[pa.Reco
     repeat = (win_id != win_id[source]) | (start != start[source])
     found = _factors(repeat, text, win_id, win_print, start, source, window)
     if len(found[0]):
-        yield _rows(mix(found[1].astype(np.uint64) + found[2].astype(np.uint64)), found[0], found[1], found[2], None, found[3], found[4], found[5])
+        done = np.zeros(len(found[0]), np.dtype([("length", "<i4"), ("source_start", "<i4"), ("source_id", "<i8")]))
+        done["length"], done["source_start"], done["source_id"] = found[3], found[5], found[4]
+        spread = mix(found[0].astype(np.uint64) * np.uint64(31) + found[2].astype(np.uint64))
+        yield _rows(spread, found[0], found[1], -1 - found[2], binaries(done, np.arange(len(done) + 1) * 16))
     stay = np.flatnonzero(~repeat)
     joined = (text[stay[1:]] == text[stay[:-1]]) & (stay[1:] == stay[:-1] + 1) & (keys[stay[1:]] == keys[stay[:-1]])
     head = np.flatnonzero(np.concatenate(([True], ~joined)))
     blocks = stay[head]
     short = hashes[stay].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
     cuts = np.append(head, len(stay)) * _HASH_BYTES
-    yield _rows(keys[blocks], win_id[blocks], win_print[blocks], start[blocks], binaries(short, cuts), None, None, None)
+    yield _rows(keys[blocks], win_id[blocks], win_print[blocks], start[blocks], binaries(short, cuts))
 
 
-def _rows(key, ids, prints, starts, hashes, length, source_id, source_start) -> pa.RecordBatch:
-    n = len(ids)
-    column = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x.astype(kind.to_pandas_dtype()), kind)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.asarray(key).astype(np.uint64).view(np.int64)), column(ids, pa.int64()), column(prints, pa.int64()), column(starts, pa.int32()),
-            pa.nulls(n, pa.binary()) if hashes is None else hashes, column(length, pa.int32()), column(source_id, pa.int64()), column(source_start, pa.int32()),
-        ],
-        names=["key", "id", "print", "start", "hashes", "length", "source_id", "source_start"],
-    )
+def _rows(key, ids, prints, starts, hashes) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(key).astype(np.uint64).view(np.int64)), pa.array(ids), pa.array(prints.astype(np.int32)), pa.array(starts.astype(np.int32)), hashes]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "id", "print", "start", "hashes"])
 
 
 def _parse_texts(window: int, anchor: int):
@@ -111,7 +109,7 @@ def _parse_texts(window: int, anchor: int):
             for i, j in slices(offsets, _SLICE):
                 yield from _parse_slice(ids[i:j], prints[i:j], offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], window, anchor)
 
-    return parse
+    return frugal(parse)
 
 
 def _parse_index(window: int):
@@ -119,10 +117,14 @@ def _parse_index(window: int):
 
     def resolve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
-        done = table.filter(pa.compute.is_null(table["hashes"]))
+        kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32]
+        factors_of = lambda found: pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t)) for x, t in zip(found, kinds, strict=True)], names=["id", "print", "start", "length", "source_id", "source_start"])
+        done = table.filter(pa.compute.less(table["start"], 0)).combine_chunks()
         if len(done):
-            yield from done.select(["id", "print", "start", "length", "source_id", "source_start"]).to_batches()
-        table = table.filter(pa.compute.is_valid(table["hashes"])).combine_chunks()
+            _, data = strings(done["hashes"].chunk(0))
+            told = np.frombuffer(np.ascontiguousarray(data), np.dtype([("length", "<i4"), ("source_start", "<i4"), ("source_id", "<i8")]))
+            yield factors_of([done["id"].to_numpy(), done["print"].to_numpy(), -1 - done["start"].to_numpy(), told["length"], told["source_id"], told["source_start"]])
+        table = table.filter(pa.compute.greater_equal(table["start"], 0)).combine_chunks()
         if not len(table):
             return
         offsets, data = strings(table["hashes"].chunk(0))
@@ -137,8 +139,7 @@ def _parse_index(window: int):
         source = _earliest(hashes, ids, starts)
         repeat = (ids != ids[source]) | (starts != starts[source])
         found = _factors(repeat, block, ids, prints, starts, source, window)
-        kinds = [np.int64, np.int64, np.int32, np.int32, np.int64, np.int32]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(found, kinds, strict=True)], names=["id", "print", "start", "length", "source_id", "source_start"])
+        yield factors_of(found)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -148,7 +149,7 @@ def _parse_index(window: int):
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size < 4 << 20:
+            if size < 2 << 20:
                 continue
             keys = batch.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1], "left"))
@@ -167,13 +168,19 @@ def _parse_index(window: int):
     return parse
 
 
+def _print():
+    """Tells rows apart that repeat a doc_id with different texts, in two bytes."""
+    return F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")
+
+
 def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Duplicate spans: id, print (xxhash64 of the text), start and length in words, and the earlier source_id, source_start.
+    """Duplicate spans: id, print (two bytes of the text's hash), start and length in words, and the earlier source_id, source_start.
 
-    A span's every window occurs earlier, in a smaller doc_id or earlier in the same one. A null doc_id comes before all
+    A span's every window occurs earlier, in a smaller doc_id or earlier in the same one. A span ends where its block or
+    its source's does, so a longer passage is several overlapping spans. A null doc_id comes before all
     others. Rows that repeat a doc_id are one document at the same place: neither is earlier than the other.
     """
-    rows = docs.select(doc_key().alias("id"), F.xxhash64("text").alias("print"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(doc_key().alias("id"), _print().alias("print"), F.col("text").cast("string").alias("text"))
     blocks = rows.mapInArrow(_parse_texts(window, anchor), _BLOCKS)
     sorted_blocks = blocks.repartition(F.col("key")).sortWithinPartitions("key")
     return sorted_blocks.mapInArrow(_parse_index(window), _FACTORS)
@@ -181,7 +188,7 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
 def _cut_words(text: str, names: tuple[str, str, str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, text, _SLICE):
             total, removed, left = [], [], []
             for value, found in zip(batch.column(text), batch.column("__spans"), strict=True):
                 words = (value.as_py() or "").encode().split()
@@ -199,7 +206,7 @@ def _cut_words(text: str, names: tuple[str, str, str]):
             more = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + more, names=[*own, *names])
 
-    return cut
+    return frugal(cut)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, names: tuple[str, str, str] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
@@ -212,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     spans = spans.select(F.col("id").alias("__id"), F.col("print").alias("__print"), "__spans")
     own = [F.col(f"`{c}`") for c in keep]
     text = "text" if docs.schema["text"].dataType.simpleString() == "string" else "__text"  # it travels once
-    rows = docs.select(*own, *([] if text == "text" else [F.col("text").cast("string").alias(text)]), doc_key().alias("__key"), F.xxhash64("text").alias("__own"))
+    rows = docs.select(*own, *([] if text == "text" else [F.col("text").cast("string").alias(text)]), doc_key().alias("__key"), _print().alias("__own"))
     rows = rows.join(spans, (F.col("__key") == F.col("__id")) & (F.col("__own") == F.col("__print")), "left").drop("__key", "__own", "__id", "__print")
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
     return rows.mapInArrow(_cut_words(text, names), f"{fields}`{names[0]}` long, `{names[1]}` long, `{names[2]}` string")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes, frugal
+
 LIMIT = 4096
 #: Characters of a chunk and of the first overlap; longer texts than a chunk are encoded in chunks.
 CHUNK, OVERLAP = 16384, 256
@@ -90,7 +92,7 @@ def plain(model, text: str) -> bool:
 def _count(path: str, chunk: int, overlap: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = processor(path)
-        for batch in batches:
+        for batch in by_bytes(batches, "text", 4 << 20):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             out = np.zeros(len(texts), np.int64)
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
@@ -102,7 +104,7 @@ def _count(path: str, chunk: int, overlap: int):
                     out[i] = count_chunked(path, t, chunk, overlap) if plain(model, t) else len(model.encode(t))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2)), pa.array(out)], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return count
+    return frugal(count)
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -41,9 +41,10 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of an odd base and of its inverse; kept for the worker's life, rounded up."""
+    """Powers 0..n-1 of an odd base and of its inverse; kept for the worker's life, rounded up by an eighth at most."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size, inverse = 1 << max(16, (n - 1).bit_length()), pow(base, -1, 2**64)
+        step, inverse = 1 << max(13, (n - 1).bit_length() - 3), pow(base, -1, 2**64)
+        size = -(-n // step) * step
         both = []
         for factor in (base, inverse):
             x = np.full(size, factor & _MASK, np.uint64)
