@@ -1,14 +1,15 @@
 """A uniform random shuffle into shards of exact size, by a hypergeometric communication matrix.
 
-Source partition p sends row counts to shard blocks that are drawn exactly as a uniform permutation would send them: row
-p of the matrix is a multivariate hypergeometric draw from what the blocks still lack. Each source permutes its rows
-locally and deals them out by its row of the matrix; each block permutes what it has received. A shard is cut into
-blocks of bounded size, so no task holds a shard, and slots count through a shard's blocks.
+Source p sends row counts to the shards that are drawn exactly as a uniform permutation would send them: its row of the
+matrix is a multivariate hypergeometric draw from what the shards still lack. Each source permutes its rows locally and
+deals them out by its row; each shard permutes what it has received by random keys, in ranges of keys of bounded size, so
+that no task holds a shard. The matrix is at most `sources` by `shards` numbers, whatever the input.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
+from math import e, floor, lgamma, log, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,28 +18,14 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHARDS = 24
-#: Rows of a block at most; blocks of a shard differ by one row.
-BLOCK_ROWS = 65536
+#: Sources at most: input partitions beyond are taken together. Rows of a shard's key range on average.
+SOURCES, RANGE_ROWS = 4096, 65536
 
 
-def block_sizes(rows: int, shards: int, block_rows: int) -> list[tuple[int, int, int]]:
-    """(shard, first slot, size) of every block: shards differ by at most one row, and so do a shard's blocks."""
-    out = []
-    for shard in range(shards):
-        size = rows // shards + (shard < rows % shards)
-        parts = max(1, -(-size // block_rows))
-        at = 0
-        for k in range(parts):
-            n = size // parts + (k < size % parts)
-            out.append((shard, at, n))
-            at += n
-    return out
-
-
-def communication_matrix(sources: list[int], blocks: list[int], seed: int) -> list[list[int]]:
-    """Rows sent from each source to each block, as a uniform permutation distributes them. Row and column sums hold."""
+def communication_matrix(sources: list[int], shards: list[int], seed: int) -> list[list[int]]:
+    """Rows sent from each source to each shard, as a uniform permutation distributes them. Row and column sums hold."""
     rng = np.random.default_rng(seed)
-    lack = np.array(blocks, np.int64)
+    lack = np.array(shards, np.int64)
     out = []
     for n in sources:
         left, pool, row = n, int(lack.sum()), np.zeros(len(lack), np.int64)
@@ -46,7 +33,7 @@ def communication_matrix(sources: list[int], blocks: list[int], seed: int) -> li
             if not left:
                 break
             good = int(lack[k])
-            row[k] = rng.hypergeometric(good, pool - good, left) if pool > good else left
+            row[k] = _drawn(rng, good, pool - good, left)
             pool -= good
             left -= int(row[k])
         lack -= row
@@ -54,34 +41,63 @@ def communication_matrix(sources: list[int], blocks: list[int], seed: int) -> li
     return out
 
 
-def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw: good ones among n of good + bad.
+
+    numpy's takes populations below 10^9. Larger ones go by ratio of uniforms (Stadlober, 1990), whose acceptance test
+    compares logarithms of factorials; their error in double precision is below 10^-4 for 10^11 rows.
+    """
+    size = good + bad
+    if not good or not bad or n in (0, size):
+        return min(good, n) if not bad or n == size else 0
+    if size < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    few, many, m = min(good, bad), max(good, bad), min(n, size - n)
+    share = few / size
+    centre, spread = m * share + 0.5, sqrt((size - m) * n * share * (1 - share) / (size - 1) + 0.5)
+    width = 2 * sqrt(2 / e) * spread + 3 - 2 * sqrt(3 / e)
+    weight = lambda z: lgamma(z + 1) + lgamma(few - z + 1) + lgamma(m - z + 1) + lgamma(many - m + z + 1)
+    mode = weight((m + 1) * (few + 1) // (size + 2))
+    top = min(min(m, few) + 1, floor(centre + 16 * spread))
+    while True:
+        x, y = 1 - rng.random(), rng.random()
+        at = centre + width * (y - 0.5) / x
+        if 0 <= at < top and 2 * log(x) <= mode - weight(floor(at)):
+            break
+    z = floor(at) if good <= bad else m - floor(at)
+    return z if m == n else good - z
+
+
+def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 17, sources: int = SOURCES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in its shard); counts of shards differ by at most one.
 
     The order is uniform over all permutations for a random seed, and the same for the same seed and input files. Nulls
     and repeated rows are placed like any others; no rows give no rows. Rows are stored once, so that each keeps its
-    number if an executor is lost. Columns named __* are the operator's own. The matrix on the driver has a row for each
-    source partition and a column for each block.
+    number if an executor is lost. Columns named shard and slot are replaced; those named __* are the operator's own.
     """
     spark = rows.sparkSession
-    numbered = stored(rows.withColumn("__rid", F.monotonically_increasing_id()), "shard_rows")
-    source = F.shiftright("__rid", 33)
-    counts = {r["p"]: r["n"] for r in numbered.groupBy(source.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    sources = sorted(counts)
-    blocks = block_sizes(sum(counts.values()), shards, block_rows)
-    matrix = communication_matrix([counts[p] for p in sources], [b[2] for b in blocks], seed)
-    deals = [(p, [0, *accumulate(row)][:-1]) for p, row in zip(sources, matrix, strict=True)]
-    lookup = spark.createDataFrame(deals, "__p long, __cuts array<long>")
-    mixed = numbered.withColumn("__p", source).withColumn("__order", F.xxhash64(F.lit(seed), "__rid"))
-    local = Window.partitionBy("__p").orderBy("__order", "__rid")
-    dealt = mixed.withColumn("__row", F.row_number().over(local) - 1).join(lookup, "__p")
-    dealt = dealt.withColumn("__block", F.size(F.filter("__cuts", lambda c: c <= F.col("__row"))) - 1).drop("__cuts", "__p", "__row")
-    # empty blocks share a cut with the next one: the last whose cut is reached takes the row
-    again = Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed + 1), "__rid"), "__rid")
-    placed = dealt.withColumn("__place", F.row_number().over(again) - 1)
-    firsts = spark.createDataFrame([(k, s, at) for k, (s, at, _) in enumerate(blocks)], "__block int, shard int, __first long")
-    placed = placed.drop("shard", "slot").join(firsts, "__block").withColumn("slot", (F.col("__first") + F.col("__place")).cast("long"))
     keep = [c for c in rows.columns if c not in ("shard", "slot")]
-    return placed.select(*[F.col(f"`{c}`") for c in keep], "shard", "slot")
+    own = [F.col(f"`{c}`") for c in keep]
+    numbered = stored(rows.select(*own, F.monotonically_increasing_id().alias("__rid")), "shard_rows")
+    numbered = numbered.withColumn("__p", F.pmod(F.shiftright("__rid", 33), F.lit(sources)))
+    counts = {r["__p"]: r["n"] for r in numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `sources` rows
+    names, total = sorted(counts), sum(counts.values())
+    sizes = [total // shards + (k < total % shards) for k in range(shards)]
+    matrix = communication_matrix([counts[p] for p in names], sizes, seed)
+    deals = spark.createDataFrame([(p, [0, *accumulate(row)][:-1]) for p, row in zip(names, matrix, strict=True)], "__p long, __cuts array<long>")
+    local = Window.partitionBy("__p").orderBy(F.xxhash64(F.lit(seed), "__rid"), "__rid")
+    dealt = numbered.withColumn("__row", F.row_number().over(local) - 1).join(deals, "__p")
+    # a shard that gets nothing shares its cut with the next one: the last whose cut is reached takes the row
+    dealt = dealt.withColumn("shard", F.size(F.filter("__cuts", lambda c: c <= F.col("__row"))) - 1).drop("__cuts", "__p", "__row")
+    ranges = max(1, -(-total // (shards * range_rows)))
+    keyed = dealt.withColumn("__key", F.xxhash64(F.lit(seed + 1), "__rid"))
+    keyed = keyed.withColumn("__range", F.floor((F.shiftright("__key", 32) + F.lit(2**31)) * ranges / F.lit(2**32)).cast("long"))
+    before = Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = keyed.groupBy("shard", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    firsts = firsts.select("shard", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    again = Window.partitionBy("shard", "__range").orderBy("__key", "__rid")
+    placed = keyed.withColumn("__place", F.row_number().over(again) - 1).join(firsts, ["shard", "__range"])
+    return placed.select(*own, "shard", (F.col("__first") + F.col("__place")).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

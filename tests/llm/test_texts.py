@@ -225,7 +225,7 @@ def test_local_search_empties_a_bin():
 
 def test_sharding(docs, edge_rows):
     rows = docs([(i, str(i)) for i in range(500)])
-    got = sharding.shuffle_into_shards(rows, 7, block_rows=20).collect()
+    got = sharding.shuffle_into_shards(rows, 7, sources=3, range_rows=20).collect()
     slots = {}
     for r in got:
         slots.setdefault(r["shard"], []).append(r["slot"])
@@ -235,6 +235,22 @@ def test_sharding(docs, edge_rows):
     assert len(sharding.shuffle_into_shards(docs(edge_rows), 24).collect()) == len(edge_rows)
 
 
+def test_write_shards(docs, workers, tmp_path):
+    sharding.write_shards(sharding.shuffle_into_shards(docs([(i, str(i)) for i in range(50)]), 4), str(tmp_path / "shards"))
+    got = workers.read.parquet(str(tmp_path / "shards")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(50)) and {r["shard"] for r in got} == {0, 1, 2, 3}
+
+
+def test_large_draws_keep_their_mean():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((3 * 10**9, 10**9, 4000), (10**8, 2 * 10**9, 4000), (2 * 10**9, 2 * 10**9, 10**8), (5 * 10**8, 6 * 10**8, 10**9)):
+        got = np.array([sharding._drawn(rng, good, bad, n) for _ in range(300)])
+        size = good + bad
+        spread = (n * good / size * bad / size * (size - n) / (size - 1)) ** 0.5
+        assert abs(got.mean() - n * good / size) < 4 * spread / 300**0.5 and 0.8 < got.std() / spread < 1.2
+    assert [sharding._drawn(rng, *x) for x in ((5, 0, 3), (0, 5, 3), (5, 5, 10), (5, 5, 0))] == [3, 0, 5, 0]
+
+
 def test_communication_matrix_has_the_hypergeometric_mean():
     sums = np.zeros((3, 4))
     for seed in range(400):
