@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import exact_dedup, language_id, near_dedup, packing, substring_dedup
-from tallyforge.llm.common import at_workers, doc_key, stored, table
+from tallyforge.llm.common import at_workers, doc_key, spread, stored, table
 from tallyforge.llm.queries import tokenizer_path
 
 
@@ -55,14 +55,21 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("substring_dedup", substring), ("best_fit_packing", packed)]
+def _stage(work):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return work(at_workers(spark), docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _stage(work)) for name, work in (("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("substring_dedup", substring), ("best_fit_packing", packed))]
 
 #: Near-dedup and packing can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(at_workers(spark), sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

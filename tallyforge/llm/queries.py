@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, license_scan, near_dedup, packing, piece_coding, sharding, substring_dedup, token_counts, vector_search
-from .common import table
+from .common import spread, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,15 +17,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = packing.pieces(docs, tokenizer_path("byte_bpe_50k.json"))
     cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return substring_dedup.digest(substring_dedup.remove_repeats(docs).drop("text"))
 
 
@@ -37,11 +41,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.per_document(license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return license_scan.per_document(license_scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +54,11 @@ def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_coding.digest(piece_coding.code_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")))
+    return piece_coding.digest(piece_coding.code_texts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = language_id.identify(docs, language_id.train(docs), ["doc_id"])
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
@@ -64,7 +68,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -29,10 +29,13 @@ WINDOW, ANCHOR = 20, 5
 _HASH_BYTES = 6
 #: Bytes of text that are parsed at once; longer texts are parsed alone.
 _SLICE = 3 << 19
+#: Bytes of blocks that the index parses at once.
+_HELD = 2 << 20
 
 #: Blocks on their way to the index. A factor that is done travels among them with -1 - start for start and its length,
 #: source_start and source_id (4, 4 and 8 bytes) for hashes.
 _BLOCKS = "key long, id long, print int, start int, hashes binary"
+_DONE = np.dtype([("length", "<i4"), ("source_start", "<i4"), ("source_id", "<i8")])
 _FACTORS = "id long, print int, start int, length int, source_id long, source_start int"
 
 
@@ -83,7 +86,7 @@ def _parse_slice(ids, prints, offsets, data, window, anchor) -> Iterator[pa.Reco
     repeat = (win_id != win_id[source]) | (start != start[source])
     found = _factors(repeat, text, win_id, win_print, start, source, window)
     if len(found[0]):
-        done = np.zeros(len(found[0]), np.dtype([("length", "<i4"), ("source_start", "<i4"), ("source_id", "<i8")]))
+        done = np.zeros(len(found[0]), _DONE)
         done["length"], done["source_start"], done["source_id"] = found[3], found[5], found[4]
         spread = mix(found[0].astype(np.uint64) * np.uint64(31) + found[2].astype(np.uint64))
         yield _rows(spread, found[0], found[1], -1 - found[2], binaries(done, np.arange(len(done) + 1) * 16))
@@ -112,58 +115,78 @@ def _parse_texts(window: int, anchor: int):
     return frugal(parse)
 
 
+def _as_factors(columns) -> pa.RecordBatch:
+    kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t)) for x, t in zip(columns, kinds, strict=True)], names=["id", "print", "start", "length", "source_id", "source_start"])
+
+
+def _resolve(rows: list[pa.RecordBatch], window: int, keep: bool = False) -> tuple[list[pa.RecordBatch], pa.RecordBatch | None]:
+    """Factors of all blocks that are given; with keep also the windows that are the earliest so far, as blocks of one."""
+    table = pa.Table.from_batches(rows).combine_chunks()
+    out = []
+    done = table.filter(pa.compute.less(table["start"], 0)).combine_chunks()
+    if len(done):
+        told = np.frombuffer(np.ascontiguousarray(strings(done["hashes"].chunk(0))[1]), _DONE)
+        out.append(_as_factors([done["id"].to_numpy(), done["print"].to_numpy(), -1 - done["start"].to_numpy(), told["length"], told["source_id"], told["source_start"]]))
+    table = table.filter(pa.compute.greater_equal(table["start"], 0)).combine_chunks()
+    if not len(table):
+        return out, None
+    offsets, data = strings(table["hashes"].chunk(0))
+    counts = np.diff(offsets) // _HASH_BYTES
+    block = np.repeat(np.arange(len(table)), counts)
+    wide = np.zeros((len(block), 8), np.uint8)
+    wide[:, :_HASH_BYTES] = data.reshape(-1, _HASH_BYTES)
+    column = lambda name: table[name].to_numpy()
+    keys = column("key")
+    hashes = mix(wide.view("<u8").ravel() ^ mix(keys.view(np.uint64))[block])
+    ids, prints = column("id")[block], column("print")[block]
+    starts = column("start").astype(np.int64)[block] + np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+    source = _earliest(hashes, ids, starts)
+    repeat = (ids != ids[source]) | (starts != starts[source])
+    out.append(_as_factors(_factors(repeat, block, ids, prints, starts, source, window)))
+    if not keep:
+        return out, None
+    first = np.flatnonzero(~repeat)
+    short = np.ascontiguousarray(wide[first, :_HASH_BYTES])
+    return out, _rows(keys[block[first]].view(np.uint64), ids[first], prints[first], starts[first], binaries(short, np.arange(len(first) + 1) * _HASH_BYTES))
+
+
 def _parse_index(window: int):
-    """Blocks sorted by key -> factors. A key's blocks are parsed together; several keys at a time."""
-
-    def resolve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32]
-        factors_of = lambda found: pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t)) for x, t in zip(found, kinds, strict=True)], names=["id", "print", "start", "length", "source_id", "source_start"])
-        done = table.filter(pa.compute.less(table["start"], 0)).combine_chunks()
-        if len(done):
-            _, data = strings(done["hashes"].chunk(0))
-            told = np.frombuffer(np.ascontiguousarray(data), np.dtype([("length", "<i4"), ("source_start", "<i4"), ("source_id", "<i8")]))
-            yield factors_of([done["id"].to_numpy(), done["print"].to_numpy(), -1 - done["start"].to_numpy(), told["length"], told["source_id"], told["source_start"]])
-        table = table.filter(pa.compute.greater_equal(table["start"], 0)).combine_chunks()
-        if not len(table):
-            return
-        offsets, data = strings(table["hashes"].chunk(0))
-        counts = np.diff(offsets) // _HASH_BYTES
-        block = np.repeat(np.arange(len(table)), counts)
-        wide = np.zeros((len(block), 8), np.uint8)
-        wide[:, :_HASH_BYTES] = data.reshape(-1, _HASH_BYTES)
-        column = lambda name: table[name].to_numpy()
-        hashes = mix(wide.view("<u8").ravel() ^ mix(column("key").view(np.uint64))[block])
-        ids, prints = column("id")[block], column("print")[block]
-        starts = column("start").astype(np.int64)[block] + np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
-        source = _earliest(hashes, ids, starts)
-        repeat = (ids != ids[source]) | (starts != starts[source])
-        found = _factors(repeat, block, ids, prints, starts, source, window)
-        yield factors_of(found)
+    """Blocks sorted by key -> factors. Several keys are parsed at a time.
+
+    A key that fills the buffer alone is parsed as it comes: of its windows only the earliest so far stay, one for each
+    distinct window, so a passage that a third of all documents share takes no more room than one that two share.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, most = 0, _HELD
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size < 2 << 20:
+            if size < most:
                 continue
             keys = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
-            if not cut and held[0].column("key")[0].as_py() == keys[-1]:
-                continue  # one key fills it all: more may come
+            last = keys[-1]
+            cut = int(np.searchsorted(keys, last, "left"))
+            if not cut and held[0].column("key")[0].as_py() == last:
+                found, rest = _resolve(held, window, keep=True)
+                yield from found
+                held = [] if rest is None else [rest]
+                size = sum(x.nbytes for x in held)
+                most = max(_HELD, 2 * size)
+                continue
             ready, held = [*held[:-1], batch.slice(0, cut)], [batch.slice(cut)]
             if not cut:  # the key began in an earlier batch
                 whole = pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
-                at = int(np.searchsorted(whole.column("key").to_numpy(), keys[-1], "left"))
+                at = int(np.searchsorted(whole.column("key").to_numpy(), last, "left"))
                 ready, held = [whole.slice(0, at)], [whole.slice(at), *held]
-            size = sum(x.nbytes for x in held)
-            yield from resolve(ready)
+            size, most = sum(x.nbytes for x in held), _HELD
+            yield from _resolve(ready, window)[0]
         if held:
-            yield from resolve(held)
+            yield from _resolve(held, window)[0]
 
     return parse
 

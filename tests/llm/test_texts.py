@@ -70,6 +70,27 @@ def test_substring_dedup(docs, edge_rows):
         assert Counter(map(tuple, got)) == expected_repeats(rows)
 
 
+def test_index_parses_a_hot_key_as_it_comes(monkeypatch):
+    """Blocks in batches of a few rows and a buffer of a few bytes give the same repeats as all at once."""
+    rng = random.Random(12)
+    rows = sorted((rng.choice([7, 7, 7, 9, 11]), rng.randrange(50), rng.randrange(40), bytes(rng.choice(b"abc") for _ in range(6)) * rng.randrange(1, 4)) for _ in range(400))
+    names = ["key", "id", "print", "start", "hashes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [0] * len(rows), [r[2] for r in rows], [r[3] for r in rows]]
+    table = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def repeats(step, held):
+        monkeypatch.setattr(substring_dedup, "_HELD", held)
+        out = set()
+        for b in substring_dedup._parse_index(20)(iter(table.slice(i, step) for i in range(0, len(rows), step))):
+            for r in b.to_pylist():
+                out.update((r["id"], r["start"] + k) for k in range(r["length"] - 19))
+        return out
+
+    whole = repeats(len(rows), 1 << 30)
+    assert whole and repeats(5, 100) == whole and repeats(64, 3000) == whole
+
+
 def test_substring_factors_name_their_source(docs):
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(1, "a b " + passage), (2, passage + " c"), (3, "d " + passage)]
