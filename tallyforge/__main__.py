@@ -1,15 +1,16 @@
-"""Command line: seed, ask, ablation, build, check, warehouse, publish and serve."""
+"""Command line: seed, ask, ablation, build, check, warehouse, publish, summary and serve."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
+from .operators.marginals import matched_period
 from .plans import ablation, mart, service
 from .plans.ask import ask, draft_note
 from .session import build_session
 from .sources.registrations import RegistrationStore
-from .sources.snapshots import SnapshotStore, read_tsv, write_tsv
+from .sources.snapshots import SnapshotStore, read_tsv, validated, write_tsv
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -33,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     part.add_argument("--aggregates", required=True)
     part.add_argument("--version", required=True)
     part.add_argument("--store", required=True)
+    commands.add_parser("summary", help="matched-period summary of saved aggregates").add_argument("--aggregates", required=True)
     part = commands.add_parser("serve")
     part.add_argument("--store", required=True)
     part.add_argument("--port", type=int, default=8765)
@@ -64,6 +66,8 @@ def main(argv: list[str] | None = None) -> None:
             show(getattr(store, args.command)(args.years))
     elif args.command == "publish":
         show(SnapshotStore(spark, args.store).publish(args.version, read_tsv(spark, args.aggregates)))
+    elif args.command == "summary":
+        show(matched_period(validated(read_tsv(spark, args.aggregates))))
     else:
         service.server(SnapshotStore(spark, args.store), args.port).serve_forever()
 

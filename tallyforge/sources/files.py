@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -62,10 +64,26 @@ class Files:
         out = fs.create(beside, True)
         out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False).encode()))
         out.close()
-        if fs.exists(p):
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(fs.makeQualified(beside), fs.makeQualified(p), over)
+
+    @contextmanager
+    def locked(self, path: str) -> Iterator[None]:
+        """Holds a lock file, which only one process can create."""
+        fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
+        try:
+            fs.create(p, False).close()
+        except Exception as error:
+            if "already exists" not in str(error).lower():
+                raise
+            raise RuntimeError(f"IMPORT_LOCKED: {path}") from None
+        try:
+            yield
+        finally:
             fs.delete(p, False)
-        if not fs.rename(beside, p):
-            raise OSError(f"can't write {path}")
 
     def read_json(self, path: str) -> dict | None:
         fs, p = self._at(path)

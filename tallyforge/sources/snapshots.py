@@ -72,8 +72,12 @@ class SnapshotStore:
         self.spark, self.files, self.root = spark, Files(spark), str(root).rstrip("/")
 
     def publish(self, version: str, rows: DataFrame, source: dict | None = None, fail_before_activation: bool = False) -> dict:
-        """Validates, writes, reads back and only then activates. A version that is there must hold the same rows."""
+        """Validates, writes, reads back and only then activates, under a lock. A version that is there must hold the same rows."""
         rows = validated(rows)
+        with self.files.locked(f"{self.root}/import.lock"):
+            return self._publish(version, rows, source, fail_before_activation)
+
+    def _publish(self, version: str, rows: DataFrame, source: dict | None, fail_before_activation: bool) -> dict:
         at = f"{self.root}/version={version}"
         existing = self.files.exists(f"{at}/_SUCCESS")
         if not existing:

@@ -169,6 +169,8 @@ def snapshots(spark, family, tmp_path_factory):
 
 
 def test_publication(snapshots, family):
+    with snapshots.files.locked(f"{snapshots.root}/import.lock"), pytest.raises(RuntimeError, match="IMPORT_LOCKED"):
+        snapshots.publish("v1", family)
     assert snapshots.publish("v1", family)["status"] == "unchanged"
     half = family.where("key1 <> '2025' and key1 <> '2025-01'").withColumn("registrations", F.when(F.expr("dimension in ('total')"), F.lit(13)).when(F.expr("key1 = 'BYD' and dimension = 'maker'"), F.lit(5)).when(F.expr("dimension = 'fuel' and key1 = 'electric'"), F.lit(9)).when(F.expr("dimension = 'state' and key1 = 'A'"), F.lit(9)).otherwise(F.col("registrations")).cast("long"))
     with pytest.raises(ValueError, match="EXISTING_VERSION_CORRUPTED"):
@@ -241,3 +243,19 @@ def test_http(snapshots):
     assert call("/api/query", b'{"query_id": 1, "query_id": 2}')[0] == 400 and call("/api/query", b"{}", **{"Content-Type": "text/plain"})[0] == 415
     assert call("/api/query", b" " * 9000)[0] == 413 and call("/api/catalog", Origin="http://elsewhere")[0] == 403
     server.shutdown()
+
+
+def test_command_line(spark, tmp_path, family, capsys, monkeypatch):
+    from tallyforge import __main__ as cli
+
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    source(tmp_path / "raw/cars_2026.parquet", rows_of_2026())
+    folders = [x for f in ("raw", "curated", "artifacts") for x in (f"--{f}-dir", str(tmp_path / f))]
+    cli.main(["build", "--years", "2026", *folders])
+    cli.main(["check", "--years", "2026", *folders])
+    cli.main(["warehouse", "--years", "2026", *folders, "--out", str(tmp_path / "tsv")])
+    cli.main(["publish", "--aggregates", str(tmp_path / "tsv"), "--version", "one", "--store", str(tmp_path / "store")])
+    capsys.readouterr()
+    cli.main(["summary", "--aggregates", str(tmp_path / "tsv")])
+    assert json.loads(capsys.readouterr().out)["comparison_years"] == [2025, 2026]
+    assert SnapshotStore(spark, str(tmp_path / "store")).active()[0]["represented_registration_rows"] == 4
