@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import maker_key, pct, year_month
-from ..operators import lineage, marginals, retrieval
+from ..operators import constraints, lineage, marginals, retrieval
 from ..operators.apportion import apportion, carry_over
 from ..sources import registrations, snapshots
 from . import ablation, serving
@@ -302,6 +302,13 @@ def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(corpus, asked, 5).select("id", "score")
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items against a key they don't have, two domains and their orders, of which the late ones are left out."""
+    orders = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz'2001-01-01 00:00:00'")
+    domains = {"l_quantity": F.col("l_quantity") >= 1, "l_returnflag": F.col("l_returnflag").isin("A", "N")}
+    return constraints.violations("lineitem", table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], domains, {"l_orderkey": (orders, "o_orderkey")})
+
+
 def _values(rows: list[tuple]) -> str:
     return ", ".join(f"('{a}', '{b}')" for a, b in rows)
 
@@ -353,9 +360,14 @@ QUERIES = {
     "smoke_group_sum": group_sum,
     "lineage_upstream_recursive": upstream,
     "token_overlap_topk": overlap,
+    "constraint_violations": rules,
 }
 
 ORACLE_SQL = {
+    "constraint_violations": """SELECT 'lineitem' AS table_name, 'unique l_orderkey,l_linenumber' AS rule, COUNT(*) AS violations FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1)
+UNION ALL SELECT 'lineitem', 'domain l_quantity', COUNT(*) FROM lineitem WHERE NOT l_quantity >= 1
+UNION ALL SELECT 'lineitem', 'domain l_returnflag', COUNT(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
+UNION ALL SELECT 'lineitem', 'reference l_orderkey', COUNT(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01')""",
     "tpl_brand_rank": _rank("brand AS name", "", "brand"),
     "tpl_model_rank": _rank("brand || ' ' || model AS name", "", "brand, model", tail="ORDER BY units DESC, name LIMIT 15"),
     "tpl_brand_total": _rank("brand AS name", "AND brand = 'Brand#3'", "brand"),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import lineage, retrieval
+from tallyforge.operators import constraints, lineage, retrieval
 from tallyforge.plans import ablation, mart
 from tallyforge.plans.ask import ask, draft_note
 from tallyforge.plans.intent import parse
@@ -22,6 +22,13 @@ def test_totals(star):
     assert star.fact.where("tiv_units < 0 or registration_units < 0").isEmpty()
 
 
+def test_rules_hold_and_are_seen_broken(star):
+    assert {r["violations"] for r in constraints.mart_violations(star).collect()} == {0}
+    fact = star.fact.union(star.fact.limit(1)).withColumn("month", F.when(F.col("month") == 2, 13).otherwise(F.col("month"))).withColumn("model_id", F.when(F.col("model_id") == 1, 99).otherwise(F.col("model_id")))
+    found = {r["rule"]: r["violations"] for r in constraints.violations("f", fact, ["year", "month", "model_id", "region_id"], {"month": F.col("month").between(1, 12)}, {"model_id": (star.model, "model_id")}).collect()}
+    assert found["unique year,month,model_id,region_id"] == 1 and found["domain month"] in (350, 351) and found["reference model_id"] in (168, 169)
+
+
 def test_ablation_figures(star, spark):
     flip = ablation.metric_flip(star)
     assert flip["month_value_gap_pct"]["by_month"] == [17.47, 0.39, -9.44, 8.59, -0.69, -8.19, 7.66, 0.15, -8.79, 7.39, -0.63, -11.69]
