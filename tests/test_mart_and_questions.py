@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import constraints, lineage, retrieval
-from tallyforge.plans import ablation, mart
+from tallyforge.plans import ablation, evaluation, mart
 from tallyforge.plans.ask import ask, draft_note
 from tallyforge.plans.intent import parse
 
@@ -104,3 +104,11 @@ def test_guards_on_and_off(spark, star):
     cases = [{"id": str(i), "q": q, "expect_hitl": True} for i, q in enumerate(["2025谁卖得最好", "今年TIV排名"])] + [{"id": "x", "q": "2025全年TIV哪家第一", "expect_hitl": False, "template_id": "brand_rank", "metric": "tiv", "top_name": "Perodua"}]
     arms = ablation.guard_arms(spark, star, cases)
     assert arms["guard_on"] == {"stopped": 2, "answered": 1} and arms["guard_off"] == {"stopped": 0, "guessed": 2, "changed": 1, "regression": 0}
+
+
+def test_evaluation(spark, star):
+    cases = [{"id": "1", "q": "2025全年TIV哪家第一", "expect_hitl": False, "template_id": "brand_rank", "metric": "tiv", "year": 2025, "month": None, "top_name": "Perodua"}, {"id": "2", "q": "今年TIV排名", "expect_hitl": True}, {"id": "3", "q": "2025年BYD上牌总量", "expect_hitl": False, "template_id": "brand_total", "metric": "tiv"}]
+    run = evaluation.evaluate(spark, star, cases, [{"id": "r", "q": "国产车怎么定义", "expect_objects": ["metric.national"]}])
+    assert run["summary"] == {"n": 3, "success_rate": 0.5, "accuracy": 0.5, "hitl_rate": 0.3333, "hitl_precision_on_expected": 1.0, "retrieve_success_rate": 1.0}
+    assert evaluation.differences(run, run) == [] and evaluation.differences({"a": [1, 2]}, {"a": [1, 3], "b": 0}) == ["$.a[1]: 2 and 3", "$.b: only on one side"]
+    assert evaluation.headlines(spark, star) == [("2025 TIV 第一名", ("Perodua", 359904)), ("Perodua TIV 份额", 43.9), ("国产 origin=national", 359904 + 151564)]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import marginals
-from tallyforge.plans import service, serving
+from tallyforge.plans import evaluation, service, serving
 from tallyforge.sources.registrations import COLUMNS, RegistrationStore, judged
 from tallyforge.sources.snapshots import SnapshotStore, read_tsv, validated, write_tsv
 
@@ -195,6 +195,10 @@ def test_serving(snapshots):
     assert served(rows, "fuel_monthly", **both, fuel="petrol") == [("2026-01", "petrol", 1), ("2026-02", "petrol", 3)]
 
 
+def test_serving_agrees_with_the_families(snapshots):
+    assert evaluation.verify_serving(snapshots.active()[1]) == 1 + 3 + 2 + 1 + 1 + 1  # all months, makers, fuels, all fuels, ranking, comparison
+
+
 CODES = [
     ("nope", {}, "UNKNOWN_QUERY"), ("maker_ranking", [], "INVALID_PARAMETERS"), ("maker_ranking", {"state": "A"}, "UNSUPPORTED_FILTER"), ("maker_ranking", {"start_month": "2026-01"}, "MISSING_PARAMETERS"),
     ("maker_ranking", {"metric": "TIV"}, "METRIC_MISMATCH"), ("maker_ranking", {"start_month": "2026-1"}, "INVALID_MONTH"), ("maker_ranking", {"start_month": "2026-03"}, "INVALID_RANGE"),
