@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import doc_key, scratch_path
 
 #: The white space that is deleted before texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -88,8 +88,8 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     """The rows of docs that stay, with docs' own columns; of rows that repeat id and text one stays."""
     index = index or DigestIndex(docs.sparkSession, scratch_path(docs.sparkSession, "digests"))
     index.append(keyed(docs), batch)
-    keep = index.lookup().where(F.col("batch") == batch).select(F.col("digest").alias("__kept"), F.col("keep_id").alias("__keep_id"))
-    rows = docs.withColumn("__digest", F.unhex(F.sha2(normalised("text").cast("binary"), 256)))
-    rows = rows.join(keep, (F.col("__digest") == F.col("__kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")), "left_semi")
-    same = Window.partitionBy("__digest", "doc_id").orderBy(F.length("text").desc())
+    keep = index.lookup().where(F.col("batch") == batch).select(F.col("digest").alias("__kept"), doc_key("keep_id").alias("__keep_id"))
+    rows = docs.withColumn("__digest", F.unhex(F.sha2(normalised("text").cast("binary"), 256))).withColumn("__id", doc_key())
+    rows = rows.join(keep, (F.col("__digest") == F.col("__kept")) & (F.col("__id") == F.col("__keep_id")), "left_semi")
+    same = Window.partitionBy("__digest", "__id").orderBy(F.length("text").desc())  # as the join has dealt the rows
     return rows.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
