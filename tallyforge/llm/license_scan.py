@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Least probability of a family, and what confirms it: the share of a template's words that the paragraph has, or that
-#: a bare name has in common with all words of either.
+#: Least probability of a family, and what confirms it: the share of a template's words that the line and the
+#: words around it have, or that a bare name has in common with all words of either.
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.6
 
 # Names and notices of licence families, as their publishers word them.
@@ -165,28 +165,84 @@ def _words(paragraph: Column) -> Column:
     return F.filter(F.split(clean, " "), lambda w: w != "")
 
 
-def _grams(words: Column) -> Column:
-    rest = lambda k: F.slice(words, k, F.greatest(F.size(words) - (k - 1), F.lit(0)))
-    two = F.zip_with(rest(1), rest(2), lambda a, b: F.concat(a, F.lit(" "), b))
-    three = F.zip_with(two, rest(3), lambda a, b: F.concat(a, F.lit(" "), b))
+def _last(words: Column, k: int) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - (k - 1), F.lit(1)), k)
+
+
+def _grams(words: Column, by_one: Column, by_two: Column) -> Column:
+    """All n-grams that hold a word of the line: by_one and by_two are its words with so many neighbours on each side."""
+    rest = lambda x, k: F.slice(x, k, F.greatest(F.size(x) - (k - 1), F.lit(0)))
+    joined = lambda x, y: F.zip_with(x, y, lambda a, b: F.concat(a, F.lit(" "), b))
+    two = joined(by_one, rest(by_one, 2))
+    three = joined(joined(by_two, rest(by_two, 2)), rest(by_two, 3))
     return F.array_distinct(F.filter(F.concat(words, two, three), lambda g: g.isNotNull()))
 
 
+def _cue_lines(text: Column) -> Column:
+    """Lines with a cue: array of (paragraph, line, words, before, after).
+
+    before and after are the words of the same paragraph around the line, as many as the longest notice can still have
+    there: a notice that holds a word of the line is within the three, wherever its lines were wrapped.
+    """
+    reach = max(len(tokens(n)) for notices in (*NAMES.values(), *NOTICES.values()) for n in notices) - 1
+    has_cue = lambda t: t.rlike(cue_pattern())
+    blocks = F.transform(F.split(text, r"\n\s*\n"), lambda p, i: F.struct(i.alias("paragraph"), p.alias("t")))
+    lines = lambda t: F.filter(F.transform(F.split(t, r"\n"), lambda x, i: F.struct(i.alias("line"), has_cue(x).alias("cue"), _words(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
+    blocks = F.transform(F.filter(blocks, lambda b: has_cue(b["t"])), lambda b: F.struct(b["paragraph"].alias("paragraph"), lines(b["t"]).alias("lines")))
+    blocks = F.transform(
+        blocks,
+        lambda b: F.struct(
+            b["paragraph"].alias("paragraph"),
+            F.filter(F.transform(b["lines"], lambda x, k: F.struct(k.alias("k"), x["line"].alias("line"), x["cue"].alias("cue"), x["words"].alias("words"))), lambda x: x["cue"]).alias("lines"),
+            F.transform(b["lines"], lambda x: F.slice(x["words"], 1, reach)).alias("heads"),
+            F.transform(b["lines"], lambda x: _last(x["words"], reach)).alias("tails"),
+        ),
+    )
+    around = lambda b: F.transform(
+        b["lines"],
+        lambda x: F.struct(
+            b["paragraph"].alias("paragraph"),
+            x["line"].alias("line"),
+            x["words"].alias("words"),
+            F.flatten(F.slice(b["tails"], F.greatest(x["k"] - (reach - 1), F.lit(1)), F.least(x["k"], F.lit(reach)))).alias("before"),
+            F.flatten(F.slice(b["heads"], x["k"] + 2, F.lit(reach))).alias("after"),
+        ),
+    )
+    found = F.flatten(F.transform(blocks, around))
+    return F.transform(found, lambda x: x.withField("before", _last(x["before"], reach)).withField("after", F.slice(x["after"], 1, reach)))
+
+
 def found_licences(text: Column, model: Model) -> Column:
-    """Paragraphs with a cue: array of (paragraph, family, probability, overlap, confirmed)."""
+    """Lines with a cue, in their paragraphs: array of (paragraph, line, family, probability, overlap, confirmed)."""
     weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
     forms = F.from_json(F.lit(json.dumps(templates() | {UNKNOWN: []})), "map<string,array<array<string>>>")
     bare = F.from_json(F.lit(json.dumps(bare_names() | {UNKNOWN: []})), "map<string,array<array<string>>>")
     families, bias = F.array(*[F.lit(f) for f in model.families]), F.array(*[F.lit(float(b)) for b in model.bias])
-    cut = F.transform(F.split(text, r"\n+"), lambda p, i: F.struct(i.alias("paragraph"), p.alias("t")))
-    cut = F.filter(cut, lambda x: x["t"].rlike(cue_pattern()))
+    near = lambda x, k: F.concat(_last(x["before"], k), x["words"], F.slice(x["after"], 1, k))
+    cut = F.transform(
+        _cue_lines(text),
+        lambda x: F.struct(
+            x["paragraph"].alias("paragraph"),
+            x["line"].alias("line"),
+            x["words"].alias("words"),
+            near(x, 1).alias("by_one"),
+            near(x, 2).alias("by_two"),
+            F.array_distinct(F.concat(x["before"], x["words"], x["after"])).alias("near"),
+        ),
+    )
     scored = F.transform(
-        F.transform(cut, lambda x: F.struct(x["paragraph"].alias("paragraph"), _words(x["t"]).alias("words"))),
+        cut,
         lambda x: F.struct(
             x["paragraph"].alias("paragraph"),
+            x["line"].alias("line"),
             F.array_distinct(x["words"]).alias("words"),
+            x["near"].alias("near"),
             F.transform(
-                F.aggregate(F.filter(_grams(x["words"]), lambda g: F.map_contains_key(weights, g)), bias, lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b)),
+                F.aggregate(
+                    F.filter(_grams(x["words"], x["by_one"], x["by_two"]), lambda g: F.map_contains_key(weights, g)),
+                    bias,
+                    lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b),
+                ),
                 lambda z: F.exp(z / F.lit(model.temperature)),
             ).alias("e"),
         ),
@@ -195,7 +251,9 @@ def found_licences(text: Column, model: Model) -> Column:
         scored,
         lambda x: F.struct(
             x["paragraph"].alias("paragraph"),
+            x["line"].alias("line"),
             x["words"].alias("words"),
+            x["near"].alias("near"),
             F.element_at(families, F.array_position(x["e"], F.array_max(x["e"])).cast("int")).alias("family"),
             (F.array_max(x["e"]) / F.aggregate(x["e"], F.lit(0.0), lambda a, b: a + b)).alias("probability"),
         ),
@@ -204,10 +262,11 @@ def found_licences(text: Column, model: Model) -> Column:
         named,
         lambda x: F.struct(
             x["paragraph"].alias("paragraph"),
+            x["line"].alias("line"),
             F.when(x["probability"] >= LEAST_PROBABILITY, x["family"]).otherwise(UNKNOWN).alias("family"),
             x["probability"].alias("probability"),
             F.greatest(
-                F.array_max(F.transform(F.element_at(forms, x["family"]), lambda t: F.size(F.array_intersect(t, x["words"])) / F.size(t))),
+                F.array_max(F.transform(F.element_at(forms, x["family"]), lambda t: F.size(F.array_intersect(t, x["near"])) / F.size(t))),
                 F.array_max(F.transform(F.element_at(bare, x["family"]), lambda t: F.size(F.array_intersect(t, x["words"])) / F.size(F.array_union(t, x["words"])))),
                 F.lit(0.0),
             ).alias("overlap"),
@@ -217,9 +276,10 @@ def found_licences(text: Column, model: Model) -> Column:
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with `licences`: for every paragraph that has a cue word its family, probability, overlap and confirmed.
+    """docs with `licences`: for every line that has a cue word its family, probability, overlap and confirmed.
 
-    A paragraph is a line. Null and empty texts have none. A column of that name is replaced; other columns, nulls and
+    A line is judged within its paragraph, which blank lines end: n-grams run over its ends, and templates are compared
+    with the words around it too. paragraph counts the text's paragraphs from 0, line the paragraph's lines. Null and empty texts have none. A column of that name is replaced; other columns, nulls and
     repeated rows are left alone; no rows give no rows.
     """
     model = model or train()

@@ -352,6 +352,30 @@ def test_license_scan(docs, edge_rows):
     assert len(license_scan.per_document(scanned).collect()) == len(edge_rows)
 
 
+def test_license_scan_reads_notices_over_line_ends(docs):
+    bsd = """Copyright (c) 2020 Example Project
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files\n(the Software), to deal in the Software without restriction"
+    texts = {
+        1: ("BSD", bsd), 2: ("BSD", "".join(f" * {x}\n" for x in bsd.splitlines())), 3: ("MIT", mit), 4: ("MIT", mit.replace("\n", "\r\n# ")),
+        5: ("LGPL", "modify it under the terms of the GNU Lesser\nGeneral Public License as published by the Free Software Foundation"),
+        6: ("Apache,BSD,MIT", "MIT License\nApache License\nBSD License"), 7: ("", "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions are met"),
+        8: ("MIT", "\n".join(mit.split(" "))),
+    }
+    got = {r["doc_id"]: r["families"] for r in license_scan.per_document(license_scan.scan(docs([(i, t) for i, (_, t) in texts.items()]))).collect()}
+    assert got == {i: f for i, (f, _) in texts.items()}
+
+
 def test_license_model_matches_its_columns(docs):
     model = license_scan.train()
     wrong = [(t, f) for t, f in set(license_scan.examples()) if model.families[model.probabilities(t).argmax()] != f]
