@@ -32,9 +32,9 @@ NAMES = {
     "CC-BY-SA": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC0": ["CC0", "CC0 1.0", "CC0-1.0", "CC0 1.0 Universal public domain dedication"],
     "GPL": ["GNU General Public License", "GNU General Public License, version 3", "GNU General Public License, version 2", "GPL", "GPLv3", "GPLv2", "GPL-3.0", "GPL-2.0-or-later", "GNU GPL"],
-    "ISC": ["ISC License", "ISC", "ISC licence"],
+    "ISC": ["ISC License", "ISC", "ISC licence", "ISC-Veillard"],
     "LGPL": ["GNU Lesser General Public License", "LGPL", "LGPL-2.1", "LGPLv3"],
-    "MIT": ["MIT License", "MIT licence", "MIT", "Expat License"],
+    "MIT": ["MIT License", "MIT licence", "MIT", "MIT-0", "Expat License"],
     "MPL": ["Mozilla Public License", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0"],
 }
 CARRIERS = [
@@ -70,9 +70,23 @@ CUES = (
     "permission redistribution redistributions"
 ).split()
 
+#: SPDX identifiers (in lower case) of each family: the first group of a pattern is the family's part. Identifiers of one
+#: family, whatever their version, -only, -or-later or port, are read as one word, the part with ANY at its end.
+ANY = "+spdx"
+IDENTIFIERS = [
+    r"(agpl|lgpl|gpl)-[1-3](?:\.[0-9])?(?:\+|-only|-or-later)?(?:-with-[a-z0-9.+-]+)?", r"(apache)-[12]\.[01]", r"(mpl)-[12]\.[01](?:-no-copyleft-exception)?",
+    r"(cc-by|cc-by-nc|cc-by-sa)-[1-4]\.[0-9](?:-(?:[a-z]{2}|igo))?", r"(cc0)-1\.0", r"0(bsd)",
+    r"(bsd)-(?:[1-4]-clause(?:-[a-z0-9.-]+)?|4\.3reno|4\.3tahoe|advertising-acknowledgement|attribution-hpnd-disclaimer|inferno-nettverk|protection|source-code|source-beginning-file|systemics(?:-w3works)?)",
+    r"(mit)-(?:0|advertising|click|cmu|enna|feh|festival|khronos-old|modern-variant|open-group|stk|testregex|wu)", r"(isc)-veillard",
+]
+_IDENTIFIER = rf"(?<![^ ])(?:{'|'.join(IDENTIFIERS)})(?![^ ])"
+_PARTS = ("agpl", "apache", "bsd", "cc-by", "cc-by-nc", "cc-by-sa", "cc0", "gpl", "isc", "lgpl", "mit", "mpl")
+
 
 def tokens(text: str) -> list[str]:
-    return [w for w in re.sub(r"\.+( |$)", r"\1", re.sub(r"[^a-z0-9.+-]+", " ", text.lower())).split(" ") if w]
+    clean = re.sub(r"\.+( |$)", r"\1", re.sub(r"[^a-z0-9.+-]+", " ", text.lower()))
+    clean = re.sub(_IDENTIFIER, "".join(rf"\{k}" for k in range(1, len(IDENTIFIERS) + 1)) + ANY, clean)
+    return [w for w in clean.split(" ") if w]
 
 
 def grams(words: list[str]) -> set[str]:
@@ -100,7 +114,7 @@ def examples() -> list[tuple[str, str]]:
 
 def train(penalty: float = 2e-4, steps: int = 1500) -> Model:
     """Proximal gradient descent with an L1 penalty; every fifth example is held out for the temperature."""
-    cues, data = set(CUES), examples()
+    cues, data = set(CUES) | {p + ANY for p in _PARTS}, examples()
     families = [*NAMES, UNKNOWN]
     held, rest = data[::5], [x for i, x in enumerate(data) if i % 5]
     sets = [grams(tokens(t)) for t, _ in rest]
@@ -156,12 +170,13 @@ def bare_names() -> dict[str, list[list[str]]]:
 
 def cue_pattern() -> str:
     """Finds a cue as a whole token, as tokens() cuts them; a full stop may end it."""
-    words = "|".join(re.escape(c).replace("\\-", "-") for c in sorted(CUES, key=len, reverse=True))
+    words = "|".join([*(re.escape(c).replace("\\-", "-") for c in sorted(CUES, key=len, reverse=True)), *(p.replace("(?:", "(").replace("(", "(?:") for p in IDENTIFIERS)])
     return rf"(?i)(?<![a-z0-9.+-])(?:{words})(?=\.*(?:[^a-z0-9.+-]|$))"
 
 
 def _words(paragraph: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(F.lower(paragraph), "[^a-z0-9.+-]+", " "), r"\.+( |$)", "$1")
+    clean = F.regexp_replace(clean, _IDENTIFIER, "".join(f"${k}" for k in range(1, len(IDENTIFIERS) + 1)) + ANY)
     return F.filter(F.split(clean, " "), lambda w: w != "")
 
 

@@ -376,6 +376,21 @@ are met:
     assert got == {i: f for i, (f, _) in texts.items()}
 
 
+def test_license_scan_knows_spdx_identifiers(docs):
+    gnu = [f"{v}{x}" for v in ("-2.0", "-3.0") for x in ("", "+", "-only", "-or-later")]
+    names = {
+        "AGPL": ["AGPL-1.0-only", "AGPL-1.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"], "Apache": ["Apache-1.0", "Apache-1.1", "Apache-2.0"],
+        "BSD": ["0BSD", "BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSD-4-Clause-UC", "BSD-Source-Code"],
+        "CC-BY": ["CC-BY-1.0", "CC-BY-2.5", "CC-BY-3.0-US", "CC-BY-4.0"], "CC-BY-NC": ["CC-BY-NC-2.0", "CC-BY-NC-3.0", "CC-BY-NC-3.0-DE", "CC-BY-NC-4.0"],
+        "CC-BY-SA": ["CC-BY-SA-2.5", "CC-BY-SA-3.0", "CC-BY-SA-3.0-IGO", "CC-BY-SA-4.0"], "CC0": ["CC0-1.0"], "GPL": ["GPL" + x for x in ["-1.0-only", "-1.0-or-later", "-2.0-with-classpath-exception", *gnu]],
+        "ISC": ["ISC", "ISC-Veillard"], "LGPL": ["LGPL" + x for x in ["-2.1", "-2.1+", "-2.1-only", "-2.1-or-later", *gnu]], "MIT": ["MIT", "MIT-0", "MIT-CMU", "MIT-Modern-Variant"], "MPL": ["MPL-1.0", "MPL-1.1", "MPL-2.0", "MPL-2.0-no-copyleft-exception"],
+        "unknown": ["CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC-BY-ND-4.0"],
+    }
+    lines = [(f, c.format(n)) for f, own in names.items() for n in own for c in ("SPDX-License-Identifier: {}", "// SPDX-License-Identifier: {}.", "License: {}", "Licensed under {}.", "{}") if (n, c) != ("MIT", "{}")]  # a lone mit is a word
+    got = {r["doc_id"]: r["best_family"] for r in license_scan.per_document(license_scan.scan(docs([(i, t) for i, (_, t) in enumerate(lines)]))).collect()}
+    assert [(f, t, got[i]) for i, (f, t) in enumerate(lines) if got[i] != f] == []
+
+
 def test_license_model_matches_its_columns(docs):
     model = license_scan.train()
     wrong = [(t, f) for t, f in set(license_scan.examples()) if model.families[model.probabilities(t).argmax()] != f]
