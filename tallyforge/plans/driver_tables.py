@@ -226,7 +226,12 @@ def apportioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = registered(spark, sf_dir).groupBy("maker", F.col("registration_year").alias("year"), F.col("registration_month").alias("month")).agg(F.count(F.lit(1)).alias("v")).where("year < 2001")
+    return lagged_all_years(spark, sf_dir).where("year < 2001")  # as its SQL has it; no carried value depends on a later year
+
+
+def lagged_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The carried series of every year of orders, the unfinished last one too."""
+    rows = registered(spark, sf_dir).groupBy("maker", F.col("registration_year").alias("year"), F.col("registration_month").alias("month")).agg(F.count(F.lit(1)).alias("v"))
     rate = F.when(F.col("month") % 3 == 0, F.lit(0.75)).otherwise(F.lit(0.875))
     return carry_over(rows, ["maker"], "v", rate, F.lit(1.0), "carried").select("maker", "year", "month", "carried")
 
@@ -350,6 +355,7 @@ QUERIES = {
     "case_variants": case_variants,
     "apportion_largest_remainder": apportioned,
     "lag_carry_series": lagged,
+    "lag_carry_series_all_years": lagged_all_years,
     "lambda_sweep": sweep,
     "adjacent_gap": gap,
     "top1_flip_by_month": flips,
@@ -415,6 +421,9 @@ k AS (SELECT *, CAST(floor(raw) AS BIGINT) AS low, row_number() OVER (PARTITION
 SELECT c_nationkey, part, low + CASE WHEN turn <= total - SUM(low) OVER (PARTITION BY c_nationkey) THEN 1 ELSE 0 END AS units FROM k""",
     "lag_carry_series": f"""{_REG}{_LAG}, r AS (SELECT *, CASE WHEN m % 3 = 0 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.875 AS DOUBLE) END AS rate FROM v),
 w AS (SELECT *, coalesce(lag(v) OVER a, max(CASE WHEN m = 12 THEN v END) OVER b) AS lv, coalesce(lag(rate) OVER a, max(CASE WHEN m = 12 THEN rate END) OVER b) AS lr FROM r WINDOW a AS (PARTITION BY maker ORDER BY y, m), b AS (PARTITION BY maker, y))
+SELECT maker, y AS year, m AS month, CAST(greatest(0, round_even(rate * v + (1 - lr) * lv, 0)) AS BIGINT) AS carried FROM w""",
+    "lag_carry_series_all_years": f"""{_REG}, v AS (SELECT maker, y, m, COUNT(*) AS v FROM reg GROUP BY maker, y, m), r AS (SELECT *, CASE WHEN m % 3 = 0 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.875 AS DOUBLE) END AS rate FROM v),
+w AS (SELECT *, coalesce(lag(v) OVER a, max(CASE WHEN m = 12 THEN v END) OVER b) AS lv, coalesce(lag(rate) OVER a, max(CASE WHEN m = 12 THEN rate END) OVER b) AS lr FROM r WINDOW a AS (PARTITION BY maker ORDER BY y, m), b AS (PARTITION BY maker, y))
 SELECT maker, y AS year, m AS month, CAST(greatest(0, round_even(rate * v + (1 - lr) * lv, 0)) AS BIGINT) AS carried FROM w""",
     "lambda_sweep": f"""{_REG}{_LAG}, x AS (SELECT * FROM v, (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.75 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) s(scale)),
 w AS (SELECT *, CAST(greatest(0, round_even(scale * v + (1 - scale) * coalesce(lag(v) OVER (PARTITION BY maker, scale ORDER BY y, m), max(CASE WHEN m = 12 THEN v END) OVER (PARTITION BY maker, scale, y)), 0)) AS BIGINT) AS c FROM x),

@@ -37,6 +37,12 @@ def test_query_equals_its_sql(name, spark, duck):
     assert plain(map(tuple, frame.select(*columns).collect())) == plain([tuple(r[i] for i in order) for r in result.fetchall()])
 
 
+def test_the_carried_series_has_every_month_of_orders(spark, duck):
+    got = {(r["maker"], r["year"], r["month"]) for r in driver_tables.QUERIES["lag_carry_series_all_years"](spark, DATA).collect()}
+    assert got == set(duck.execute("SELECT DISTINCT c_mktsegment, year(o_orderdate), month(o_orderdate) FROM orders JOIN customer ON o_custkey = c_custkey").fetchall())
+    assert max(y for _, y, _ in got) == 2001
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["name", "units", "share_pct"] and entry.entry(spark).count() > 0
 
