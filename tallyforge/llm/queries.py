@@ -34,10 +34,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sharding.shuffle_into_shards(rows)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, digest = (F.octet_length(text) + 8).cast("long"), F.crc32(text.cast("binary"))
+    return placed.select("doc_id", size.alias("size"), digest.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

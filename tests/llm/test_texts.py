@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -256,6 +257,18 @@ def test_sharding(docs, edge_rows):
     assert len(sharding.shuffle_into_shards(docs(edge_rows), 24).collect()) == len(edge_rows)
 
 
+def test_sharding_query_places_whole_texts(docs, edge_rows, tmp_path, workers, monkeypatch):
+    docs(edge_rows).write.parquet(str(tmp_path / "documents.parquet"))
+    seen, place = [], sharding.shuffle_into_shards
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda rows: seen.append(place(rows)) or seen[-1])
+    got = queries.op3_sharding(workers, str(tmp_path)).collect()
+    texts = {(r["shard"], r["slot"]): (r["doc_id"], (r["text"] or "").encode()) for r in seen[0].collect()}
+    assert len(texts) == len(got) == len(edge_rows)
+    for r in got:
+        doc_id, text = texts[r["shard"], r["slot"]]
+        assert (r["doc_id"], r["size"], r["text_crc32"]) == (doc_id, len(text) + 8, zlib.crc32(text))
+
+
 def test_write_shards(docs, workers, tmp_path):
     sharding.write_shards(sharding.shuffle_into_shards(docs([(i, str(i)) for i in range(50)]), 4), str(tmp_path / "shards"))
     got = workers.read.parquet(str(tmp_path / "shards")).collect()
