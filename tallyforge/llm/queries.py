@@ -24,8 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = packing.pieces(docs, tokenizer_path("byte_bpe_50k.json"))
-    cut = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

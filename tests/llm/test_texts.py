@@ -221,6 +221,17 @@ def test_packing(docs, edge_rows):
     assert sum(len(r["ids"]) for r in whole) == 4 * sum(r["length"] for r in got)
 
 
+def test_packing_query_packs_the_ids(docs, edge_rows, tmp_path, workers, monkeypatch):
+    docs(edge_rows).write.parquet(str(tmp_path / "documents.parquet"))
+    seen, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda rows: seen.append(pack(rows)) or seen[-1])
+    got = queries.op1_best_fit_packing(workers, str(tmp_path)).collect()
+    ids = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(seen[0]).collect()}
+    assert sum(map(len, ids.values())) == 4 * sum(r["length"] for r in got)
+    for r in got:
+        assert zlib.crc32(ids[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])]) == r["ids_crc32"]
+
+
 def test_packing_plan_is_tight_and_search_only_helps():
     rng = np.random.default_rng(4)
     for high in (200, 700, 1024):
