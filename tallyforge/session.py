@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tallyforge", driver_memory: str = "8g") -> SparkSession:
+def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tallyforge", driver_memory: str = "8g", more: dict[str, str] | None = None) -> SparkSession:
     return (
-        SparkSession.builder.master(master)
+        SparkSession.builder.config(map=more or {})
+        .master(master)
         .appName(app)
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.ansi.enabled", "true")
