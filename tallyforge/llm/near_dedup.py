@@ -40,9 +40,13 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (seeds[:n] | np.uint64(1)).astype(np.uint32), (seeds[n:] >> np.uint64(32)).astype(np.uint32)
 
 
-def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingle hashes text by text, their number for each text, words, first word of each text)."""
-    words, first = word_hashes(offsets, data, fold=True)
+def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int = SHINGLE, lanes: int = 1) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(distinct shingle hashes text by text, their number for each text, words by lane, first word of each text).
+
+    Shingles are 64-bit hashes: two of a pair's n and m shingles are mistaken for one with probability n * m / 2^64.
+    """
+    lanes_of, first = word_hashes(offsets, data, fold=True, lanes=lanes)
+    words = lanes_of[0]
     begin, counts = run_starts(first, k)
     hashes, text = runs(words, k)[begin] if len(begin) else np.zeros(0, np.uint64), np.repeat(np.arange(len(counts)), counts)
     short = np.flatnonzero((counts == 0) & (np.diff(first) > 0))
@@ -53,7 +57,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int = SHINGLE) -> tup
     hashes, text = hashes[order], text[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-    return hashes[new], np.bincount(text[new], minlength=len(counts)), words, first
+    return hashes[new], np.bincount(text[new], minlength=len(counts)), lanes_of, first
 
 
 def _sign(bands: int, rows: int, checked: int):
@@ -62,7 +66,7 @@ def _sign(bands: int, rows: int, checked: int):
         for batch in batches:
             offsets, data = strings(batch.column(2))
             for i, j in slices(offsets, _SLICE):
-                hashes, sizes, words, first = shingle_sets(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
+                hashes, sizes, words, first = shingle_sets(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], lanes=2)
                 full = np.flatnonzero(sizes)
                 minima = np.empty((len(a), j - i), np.uint32)
                 minima.fill(2**32 - 1)
@@ -79,8 +83,7 @@ def _sign(bands: int, rows: int, checked: int):
                     keys = mix(keys + minima[r : bands * rows : rows].astype(np.uint64) + np.uint64(r + 1))
                 sketch = np.ascontiguousarray(mix(minima[:checked].astype(np.uint64)).astype(np.uint8).T)
                 keys = np.ascontiguousarray(keys.T)
-                sequence = whole(words, first) if len(words) else np.zeros(j - i, np.uint64)
-                other = whole(mix(words + np.uint64(77)), first) if len(words) else sequence
+                sequence, other = (whole(lane, first) for lane in words)
                 wide = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(sequence.view(np.int64)), pa.array(other.view(np.int64)), wide(keys), wide(sketch)],

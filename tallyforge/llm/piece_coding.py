@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import frugal, slices, strings
 from .token_counts import SPACE, processor
-from .words import mix, powers
+from .words import span_hashes
 
 _SLICE = 3 << 20
 _STEP = 0xC2B2AE3D27D4EB4F
 _SLOT_BITS = 20
 _LOWEST = np.float64(-np.inf)
-_LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 class Vocabulary:
@@ -161,10 +160,7 @@ def encode(vocab: Vocabulary, offsets: np.ndarray, data: np.ndarray, end_id: int
     begins[at[:-1][filled]] = True
     start = np.flatnonzero(begins)
     end = np.append(start[1:], len(text))
-    up, down = powers(_STEP, len(text) + 1)
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_LETTERS[text] * up[:-1], out=sums[1:])
-    keys = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    (keys,) = span_hashes(text, end - start)
     _, one, which = np.unique(keys, return_index=True, return_inverse=True)
     raw = _gather(text, start[one], (end - start)[one])
     cuts = np.concatenate(([0], np.cumsum((end - start)[one])))
