@@ -2,61 +2,126 @@
 
 What a packing needs of the corpus is how many pieces have each length, at most `capacity` numbers. The plan is made from
 them on the driver: classes of bins with equal content and their counts, filled by best fit decreasing and improved by
-moves and exchanges that raise the sum of squared fills, each done for all bins of a class at once. Its size follows the
-number of lengths, not of pieces. Pieces then find their place by their rank among the pieces of their length; ranks are
-counted in salted groups, so a hot length is spread over tasks.
+moves and exchanges that raise the sum of squared fills, each done for all bins of a class at once, until none is left or
+the number of bins is proven least. Its size follows the number of lengths, not of pieces. Pieces then find their place by
+their rank among the pieces of their length; ranks are counted in salted groups, as many as a length needs, so a hot
+length is spread over tasks.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, stored
+from .common import by_bytes, frugal, stored
 
 CAPACITY = 1024
-#: Letters, digits and signs for which the two libraries split alike; a text with others goes to tokenizers itself.
-_SHARED = re.compile("[^\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞]")
-_encoders: dict[str, object] = {}
+#: Bytes of text that are encoded at once, and characters of units that a worker remembers.
+_SLICE, _REMEMBERED = 4 << 20, 1 << 23
+_DOUBLE, _BOUNDARY = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+#: Units that are encoded in one call, one after the other.
+_JOINED = 1000
 
 
-def _encoder(path: str):
-    """text -> uint32 ids as the tokenizers library gives them for a byte-level BPE file.
+class _Numbers(dict):
+    """Numbers of strings in the order in which they are first asked for."""
 
-    A twin of the vocabulary runs in tiktoken, which is several times faster; texts with special strings or with
-    characters outside the ranges for which both split alike are encoded by tokenizers.
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class Encoder:
+    """Texts -> uint32 ids as the tokenizers library gives them for a byte-level BPE file.
+
+    With the usual split (letters, digits or signs with at most one space in front) no token crosses a space between two
+    characters that are not white space, whatever stands around. So texts are cut there into units, each distinct unit
+    is encoded once by the library and remembered by the worker. Texts with special strings are one unit, as are all
+    texts if the file has another split.
     """
-    if path not in _encoders:
-        import base64
+
+    def __init__(self, path: str):
+        import json
         import os
 
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        exact = Tokenizer.from_file(path)
-        special = [t.content for t in exact.get_added_tokens_decoder().values()]
-        fast = None
-        if os.path.exists(twin := os.path.splitext(path)[0] + ".tiktoken"):
-            with open(twin, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            fast = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-        def encode(text: str) -> np.ndarray:
-            if fast is None or _SHARED.search(text) or any(s in text for s in special):
-                return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
-            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
-
-        _encoders[path] = encode
-    return _encoders[path]
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            layout = json.load(file)
+        split = layout["pre_tokenizer"] or {}
+        self.splits = layout["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True) and not layout["model"].get("dropout")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a letter stands for each byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number, self.held = _Numbers(), 0
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def units(self, text: str) -> list[str]:
+        """What follows each space that is cut at; a first one, before any such space, has a space in front instead."""
+        if not self.splits or any(s in text for s in self.special):
+            return [" " + text]
+        found = _BOUNDARY.split(text) if _DOUBLE.search(text) else text.split(" ")
+        found[0] = " " + found[0]
+        return found
+
+    def _learn(self, units: list[str]) -> None:
+        """ids of new units: regular ones, without white space at their ends, in rows; all others alone."""
+        flat, sizes = [self.flat], np.zeros(len(units), np.int64)
+        regular = [i for i, u in enumerate(units) if u[:1].strip() and u[-1].strip() and not any(s in u for s in self.special)]
+        others = sorted(set(range(len(units))) - set(regular))
+        for k in range(0, len(regular), _JOINED):
+            part = ["", *(units[i] for i in regular[k : k + _JOINED])]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([1 + len(u.encode()) for u in part[1:]])
+            sizes[regular[k : k + _JOINED]] = np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1, prepend=0)
+            flat.append(ids)
+        alone = [u[1:] if u[:1] == " " else " " + u for u in (units[i] for i in others)]
+        for i, found in zip(others, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            flat.append(np.array(found.ids, np.uint32))
+            sizes[i] = len(found.ids)
+        starts = np.empty(len(units), np.int64)
+        order = [*regular, *others]
+        starts[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+        self.flat = np.concatenate(flat)
+        self.start, self.size = np.concatenate((self.start, starts)), np.concatenate((self.size, sizes))
+        self.held += sum(map(len, units))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first id of each text and the end)."""
+        if self.held > _REMEMBERED:
+            self._forget()
+        units, counts, known = [], [0], len(self.number)
+        for text in texts:
+            units += self.units(text)
+            counts.append(len(units))
+        at = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        if len(self.number) > known:
+            self._learn(list(islice(self.number, known, None)))
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.start[at] - (ends - sizes), sizes)]
+        return ids, np.concatenate(([0], ends))[counts]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
@@ -67,12 +132,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
-        for batch in batches:
+        encode = encoder(tokenizer).encode
+        for batch in by_bytes(batches, "text", _SLICE):
             ids_of, out = batch.column(0), defaultdict(list)
             held = 0
-            for i, text in enumerate(batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
+            flat, first = encode([t or "" for t in batch.column(1).to_pylist()])
+            for i in range(batch.num_rows):
+                ids = np.append(flat[first[i] : first[i + 1]], np.uint32(end_id))
                 n = len(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k in range(len(cuts) - 1):
@@ -155,26 +221,32 @@ def best_fit(counts: dict[int, int], capacity: int) -> Bins:
     return bins
 
 
+@lru_cache(maxsize=1 << 16)
+def _offers(content: tuple[int, ...]) -> tuple[list[tuple[int, tuple[int, ...]]], list[tuple[int, tuple[int, ...]]]]:
+    """(sum, lengths) of each single length and of each pair of a bin's content, by sum."""
+    kinds = sorted(set(content))
+    pairs = {a + b: (a, b) for i, a in enumerate(kinds) for b in kinds[i:] if a != b or content.count(a) > 1}
+    return [(x, (x,)) for x in kinds], sorted(pairs.items())
+
+
 def _exchange(giver: tuple[int, ...], taker: tuple[int, ...], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """(lengths that leave the giver, lengths that leave the taker) raising the taker's fill most, by at most its room."""
+    """(lengths that leave the giver, lengths that leave the taker) raising the taker's fill most, by at most its room.
+
+    One or two lengths go for none, one or (one only) for two.
+    """
     best, gain = None, 0
-    outs = {(x,): x for x in giver} | {tuple(sorted(p)): sum(p) for p in _pairs(giver)}
-    backs = {(): 0} | {(y,): y for y in taker}
-    pairs = {p: sum(p) for p in _pairs(taker)}
-    for out, x in outs.items():
-        for back, y in (backs if len(out) == 2 else backs | pairs).items():
-            if gain < x - y <= room:
-                best, gain = (out, back), x - y
+    singles, pairs = _offers(giver)
+    own, own_pairs = _offers(taker)
+    for outs, backs in ((singles, [(0, ()), *own]), (pairs, [(0, ()), *own]), (singles, own_pairs)):
+        for y, back in backs:
+            at = bisect_right(outs, y + room, key=lambda o: o[0]) - 1
+            if at >= 0 and outs[at][0] - y > gain:
+                best, gain = (outs[at][1], back), outs[at][0] - y
                 if gain == room:
                     return best
     return best
 
 
-def _pairs(items: tuple[int, ...]) -> set[tuple[int, int]]:
-    kinds = sorted(set(items))[:48]
-    return {(a, b) for i, a in enumerate(kinds) for b in kinds[i:] if a != b or items.count(a) > 1}
-
-
 def _without(content: tuple[int, ...], gone: tuple[int, ...], new: tuple[int, ...]) -> tuple[int, ...]:
     rest = list(content)
     for x in gone:
@@ -182,38 +254,75 @@ def _without(content: tuple[int, ...], gone: tuple[int, ...], new: tuple[int, ..
     return tuple(sorted(rest + list(new), reverse=True))
 
 
-def local_search(bins: Bins, effort: int = 20000) -> Bins:
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A number of bins that no packing beats (Martello and Toth's second bound; it includes the bound by tokens)."""
+    lengths = sorted(counts)
+    total = sum(x * n for x, n in counts.items())
+    best = -(-total // capacity)
+    for low in [0, *(x for x in lengths if 2 * x <= capacity)]:
+        large = sum(counts[x] for x in lengths if x > capacity - low)
+        middle = {x: counts[x] for x in lengths if capacity < 2 * x and x <= capacity - low}
+        small = sum(x * counts[x] for x in lengths if low <= x and 2 * x <= capacity)
+        spare = sum((capacity - x) * n for x, n in middle.items())
+        best = max(best, large + sum(middle.values()) + max(0, -(-(small - spare) // capacity)))
+    return best
+
+
+def local_search(bins: Bins, least: int = 0) -> Bins:
     """Moves and one-for-one and two-for-one exchanges from emptier to fuller underfull bins.
 
-    Each raises the sum of squared fills, so the search ends; emptied bins vanish. effort bounds the number of
-    exchanges tried, whatever the number of bins: it is work per plan, and every piece is packed at any value.
+    Each raises the sum of squared fills, so the search ends: when no pair of classes has an exchange left, or when there
+    are only `least` bins. Emptied bins vanish. An agenda holds pairs of classes, emptiest giver and fullest taker first;
+    a class that is new meets all others, a pair that has nothing to exchange is never tried again.
     """
+    fill: Callable[[tuple[int, ...]], int] = sum
     stuck: set[tuple] = set()
-    while effort > 0:
-        open_bins = bins.underfull()
-        done = True
-        for i, (giver, n) in enumerate(open_bins):
-            for taker, m in reversed(open_bins[i:]):
-                if taker == giver and n < 2 or (giver, taker) in stuck:
-                    continue
-                effort -= 1
-                step = _exchange(giver, taker, bins.capacity - sum(taker))
-                if step is None:
-                    stuck.add((giver, taker))
-                    if effort <= 0:
-                        return bins
-                    continue
-                count = n // 2 if taker == giver else min(n, m)
-                bins.take(giver, count)
-                bins.take(taker, count)
-                bins.add(_without(giver, step[0], step[1]), count)
-                bins.add(_without(taker, step[1], step[0]), count)
-                done = False
-                break
-            if not done or effort <= 0:
-                break
-        if done:
-            break
+    left = sum(n for _, n in bins.classes())
+    there = dict(bins.underfull())
+
+    def meeting(content: tuple[int, ...], other: tuple[int, ...]) -> tuple:
+        giver, taker = (content, other) if fill(content) <= fill(other) else (other, content)
+        return fill(giver), -fill(taker), giver, taker
+
+    contents = list(there)
+    agenda = [meeting(x, y) for i, x in enumerate(contents) for y in contents[i:]]
+    heapify(agenda)
+
+    def enter(content: tuple[int, ...], count: int) -> None:
+        bins.add(content, count)
+        if not content or fill(content) == bins.capacity:
+            return
+        new = content not in there
+        there[content] = there.get(content, 0) + count
+        for other in there if new else (content,):
+            pair = meeting(content, other)
+            if pair[2:] not in stuck:
+                heappush(agenda, pair)
+
+    def leave(content: tuple[int, ...], count: int) -> None:
+        bins.take(content, count)
+        there[content] -= count
+        if not there[content]:
+            del there[content]
+
+    while agenda and left > least:
+        _, _, giver, taker = heappop(agenda)
+        n, m = there.get(giver, 0), there.get(taker, 0)
+        if not n or not m or (giver == taker and n < 2) or (giver, taker) in stuck:
+            continue
+        step = _exchange(giver, taker, bins.capacity - fill(taker))
+        if step is None:
+            stuck.add((giver, taker))
+            continue
+        count = n // 2 if taker == giver else min(n, m)
+        rest = _without(giver, step[0], step[1])
+        leave(giver, count)
+        leave(taker, count)
+        enter(rest, count)
+        enter(_without(taker, step[1], step[0]), count)
+        left -= 0 if rest else count
+        if there.get(giver) and there.get(taker):  # some of both are left when their numbers were odd
+            heappush(agenda, meeting(giver, taker))
     return bins
 
 
@@ -233,21 +342,30 @@ def _places(bins: Bins) -> dict[str, np.ndarray]:
     return {"key": (length << 44) + rank, "rank": rank, "first": first, "offset": offset}
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, effort: int = 20000) -> DataFrame:
+#: Pieces of a length that are ranked in one group on average.
+_RANKED = 8192
+
+
+def plan(counts: dict[int, int], capacity: int) -> Bins:
+    return local_search(best_fit(counts, capacity), least_bins(counts, capacity))
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (doc_id, piece, start, length and any other columns) with sequence_id and offset.
 
     Sequences hold at most capacity tokens and have no gaps; sequence_id is any number. Lengths must be 1 to capacity.
     Rows that repeat are packed as often as they come; no rows give no rows. Columns named __* are the operator's own.
+
+    The driver holds a count for each length and the plan, one number four times for each length in a class of bins: best
+    fit makes at most two classes for each length, and each exchange of the search adds one at most.
     """
     rows = stored(rows, "pieces")
-    n = rows.count()
-    salts = max(1, -(-n // 8192))
-    others = [c for c in rows.columns if c not in ("length",)]
-    keyed = rows.withColumn("__salt", F.pmod(F.xxhash64(*others), F.lit(salts)))
-    sizes = keyed.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    sizes = stored(sizes, "sizes")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    places = _places(local_search(best_fit(counts, capacity), effort))
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    places = rows.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity)))
+    salts = F.element_at(F.lit([-(-counts.get(x, 1) // _RANKED) for x in range(1, capacity + 1)]), F.col("length").cast("int"))
+    others = [c for c in rows.columns if c not in ("length", "ids")]
+    keyed = rows.withColumn("__salt", F.pmod(F.xxhash64(*others), salts))
+    sizes = stored(keyed.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")), "sizes")
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy("length", "__salt").orderBy(*[F.col(f"`{c}`") for c in others])
@@ -255,13 +373,14 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, effort: int = 20000) -> Data
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__row") - 1).select(*[F.col(f"`{c}`") for c in rows.columns], "__rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = places.value
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
             rank = batch.column("__rank").to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.searchsorted(places["key"], (length << 44) + rank, "right") - 1
+            at = np.searchsorted(held["key"], (length << 44) + rank, "right") - 1
             own = [batch.column(c) for c in batch.schema.names if c != "__rank"]
             names = [c for c in batch.schema.names if c != "__rank"]
-            more = [pa.array(places["first"][at] + rank - places["rank"][at]), pa.array(places["offset"][at])]
+            more = [pa.array(held["first"][at] + rank - held["rank"][at]), pa.array(held["offset"][at])]
             yield pa.RecordBatch.from_arrays(own + more, names=names + ["sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
