@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table of digests, bucketed and sorted by digest. New rows are reduced to one row per digest (partial
+The index is a table of digests, bucketed and sorted by digest; the number of its buckets is kept with its files. New rows are reduced to one row per digest (partial
 aggregation before the shuffle, so a hot group costs one row per task), anti-joined with the index by sort-merge, and
 the digests that the index lacks are appended. Only DataFrame and SQL functions run here.
 """
@@ -8,10 +8,13 @@ the digests that the index lacks are appended. Only DataFrame and SQL functions
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import Files
 from .common import doc_key, scratch_path
 
 #: The white space that is deleted before texts are compared.
@@ -27,37 +30,51 @@ class DigestIndex:
     """Digests seen so far: (digest, keep_id, n_chars, group_size), at most one live row per digest and batch.
 
     path: the folder in shared storage; an index that is there already is opened and extended.
-    buckets: fixed when the index is made; by default the session's number of shuffle partitions.
+    buckets: how many a new index gets, by default the session's number of shuffle partitions. An index that is there
+    keeps the number it was made with, whatever is asked for: its files are dealt by it.
     """
 
+    SCHEMA = "digest binary, keep_id long, n_chars long, group_size long, batch string"
+
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path = spark, path
-        self.buckets = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
-        self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, n_chars BIGINT, group_size BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+        self.spark, self.path, files = spark, path.rstrip("/"), Files(spark)
+        about = files.read_json(f"{self.path}/_index.json")
+        if about is None:
+            if files.listing(self.path):
+                raise ValueError(f"{path} has files but no _index.json that says how they are dealt")
+            about = {"buckets": int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))}
+            files.write_json(f"{self.path}/_index.json", about)
+        self.buckets = about["buckets"]
+
+    @contextmanager
+    def table(self) -> Iterator[str]:
+        """The index as a bucketed table; its entry in the catalog lives as long as the block, its files stay."""
+        name = f"digest_index_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {name} ({self.SCHEMA}) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
-
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        try:
+            yield name
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
 
     def lookup(self) -> DataFrame:
-        """The same rows without the buckets, for joins whose other side may be skewed: Spark can then split a hot digest."""
-        return self.spark.read.schema(self.rows().schema).parquet(self.path)
+        """All rows without the buckets, for joins whose other side may be skewed: Spark can then split a hot digest."""
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
     def append(self, keyed: DataFrame, batch: str = "0") -> None:
         """Adds the digests of keyed (digest, doc_id, n_chars) that the index lacks, with the row that stays."""
         best = F.max(F.struct("n_chars", F.bitwise_not(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("order"), "doc_id"))
         groups = keyed.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        known = self.rows().select(F.col("digest").alias("known")).hint("merge")
-        # with the always true second condition the optimiser can't move the anti-join below the aggregation, where it
-        # would shuffle every row of a hot group instead of one partial row for each task
-        new = groups.join(known, (F.col("digest") == F.col("known")) & (F.col("group_size") > 0), "left_anti")
-        rows = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n_chars").cast("long").alias("n_chars"), "group_size", F.lit(batch).alias("batch"))
-        rows = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
-        self.spark.catalog.refreshTable(self.table)
+        with self.table() as name:
+            known = self.spark.table(name).select(F.col("digest").alias("known")).hint("merge")
+            # with the always true second condition the optimiser can't move the anti-join below the aggregation, where it
+            # would shuffle every row of a hot group instead of one partial row for each task
+            new = groups.join(known, (F.col("digest") == F.col("known")) & (F.col("group_size") > 0), "left_anti")
+            rows = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.n_chars").cast("long").alias("n_chars"), "group_size", F.lit(batch).alias("batch"))
+            rows = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+            rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(name)
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -60,9 +60,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
-        split = layout["pre_tokenizer"] or {}
-        self.splits = layout["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True) and not layout["model"].get("dropout")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        split = layout["pre_tokenizer"] or {}
+        self.splits = not any(c.isspace() for s in self.special for c in s) and layout["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True) and not layout["model"].get("dropout")
         vocabulary = self.library.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a letter stands for each byte
@@ -83,20 +83,20 @@ class Encoder:
     def _learn(self, units: list[str]) -> None:
         """ids of new units: regular ones, without white space at their ends, in rows; all others alone."""
         flat, sizes = [self.flat], np.zeros(len(units), np.int64)
-        regular = [i for i, u in enumerate(units) if u[:1].strip() and u[-1].strip() and not any(s in u for s in self.special)]
-        others = sorted(set(range(len(units))) - set(regular))
+        fit = np.fromiter((bool(u) and u[0] != " " and not u[-1].isspace() for u in units), bool, len(units))
+        regular, others = np.flatnonzero(fit), np.flatnonzero(~fit)
         for k in range(0, len(regular), _JOINED):
-            part = ["", *(units[i] for i in regular[k : k + _JOINED])]
+            part = ["", *[units[i] for i in regular[k : k + _JOINED].tolist()]]
             ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum([1 + len(u.encode()) for u in part[1:]])
             sizes[regular[k : k + _JOINED]] = np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1, prepend=0)
             flat.append(ids)
-        alone = [u[1:] if u[:1] == " " else " " + u for u in (units[i] for i in others)]
-        for i, found in zip(others, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        alone = [u[1:] if u[:1] == " " else " " + u for u in (units[i] for i in others.tolist())]
+        for i, found in zip(others.tolist(), self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             flat.append(np.array(found.ids, np.uint32))
             sizes[i] = len(found.ids)
         starts = np.empty(len(units), np.int64)
-        order = [*regular, *others]
+        order = np.concatenate((regular, others))
         starts[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
         self.flat = np.concatenate(flat)
         self.start, self.size = np.concatenate((self.start, starts)), np.concatenate((self.size, sizes))
@@ -343,7 +343,7 @@ def _places(bins: Bins) -> dict[str, np.ndarray]:
 
 
 #: Pieces of a length that are ranked in one group on average.
-_RANKED = 8192
+_RANKED = 1024
 
 
 def plan(counts: dict[int, int], capacity: int) -> Bins:

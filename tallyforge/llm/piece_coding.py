@@ -4,7 +4,8 @@ A text falls into chunks that start at a space after another character. No piece
 so no merge crosses a chunk's start and equal chunks are encoded once per slice. The agenda holds, for every chunk, its
 adjacent symbol pairs that form a piece; in each round every chunk takes its pair of highest score, the leftmost among
 equals, merges it and enters the two new pairs, until no chunk has a pair left. Rounds run over all chunks of a slice at
-once with numpy. Every Arrow batch is checked against the sentencepiece library: each distinct chunk's ids, and each
+once with numpy; a chunk of more than 256 symbols would need as many rounds and has an agenda of its own, a heap, which
+takes n log n steps and some 100 bytes for each of its n symbols. Every Arrow batch is checked against the sentencepiece library: each distinct chunk's ids, and each
 text's normal form, which must be the text with marked spaces. As no piece crosses a chunk's start, both give the whole
 text's ids.
 """
@@ -12,7 +13,8 @@ text's ids.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ _SLICE = 3 << 20
 _STEP = 0xC2B2AE3D27D4EB4F
 _SLOT_BITS = 20
 _LOWEST = np.float64(-np.inf)
+#: Symbols of a chunk that is merged in rounds with the others.
+_SHORT = 256
 
 
 class Vocabulary:
@@ -68,6 +72,15 @@ class Vocabulary:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_at = np.concatenate(([0], np.cumsum([len(s) for s in spelled])))
 
+    @cached_property
+    def turns(self) -> dict[int, int]:
+        """For each pair (left << 24 | right) its turn by score, the highest first, << 32 | its piece."""
+        scores = self.pair_scores[:-1]
+        turn = np.searchsorted(np.unique(-scores), -scores)
+        stored = np.flatnonzero(self.slots >= 0)
+        keys, numbers = self.slots[stored].tolist(), self.numbers[stored]
+        return dict(zip(keys, (turn[numbers] << 32 | self.pair_ids[numbers]).tolist(), strict=True))
+
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         """Symbol of each code point; one without is its own symbol, that nothing merges with."""
         at = np.minimum(np.searchsorted(self.char_codes, codes), len(self.char_codes) - 1)
@@ -98,8 +111,57 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def long_agenda(vocab: Vocabulary, symbols: np.ndarray) -> np.ndarray:
+    """Symbols of one long chunk merged to their end. The heap holds turn << 40 | place of the left symbol."""
+    turns, n = vocab.turns, len(symbols)
+    known = vocab.merged(symbols[:-1], symbols[1:])[0] >= 0
+    held = symbols.tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(turns[held[i] << 24 | held[i + 1]] >> 32) << 40 | i for i in np.flatnonzero(known).tolist()]
+    heapify(heap)
+    place_of = (1 << 40) - 1
+    while heap:
+        entry = heappop(heap)
+        i = entry & place_of
+        j = after[i]
+        if held[i] < 0 or j >= n:
+            continue
+        found = turns.get(held[i] << 24 | held[j], -1)
+        if found < 0 or found >> 32 != entry >> 40:  # one of the two has been merged since
+            continue
+        held[i], held[j] = found & 0xFFFFFFFF, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (new := turns.get(held[i] << 24 | held[k], -1)) >= 0:
+                heappush(heap, (new >> 32) << 40 | i)
+        if (k := before[i]) >= 0 and (new := turns.get(held[k] << 24 | held[i], -1)) >= 0:
+            heappush(heap, (new >> 32) << 40 | k)
+    out = np.array(held, np.int64)
+    return out[out >= 0]
+
+
 def agenda(vocab: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of chunks (first: where each starts, and the end) merged to their end; the same two of the result."""
+    sizes = np.diff(first)
+    large = np.flatnonzero(sizes > _SHORT)
+    if not len(large):
+        return _rounds(vocab, symbols, first)
+    small = np.flatnonzero(sizes <= _SHORT)
+    done, cuts = _rounds(vocab, _gather(symbols, first[small], sizes[small]), np.concatenate(([0], np.cumsum(sizes[small]))))
+    merged = [long_agenda(vocab, symbols[first[c] : first[c + 1]]) for c in large.tolist()]
+    new = np.empty(len(sizes), np.int64)
+    new[small], new[large] = np.diff(cuts), [len(m) for m in merged]
+    ends = np.cumsum(new)
+    out = np.empty(int(ends[-1]), np.int64)
+    out[np.arange(len(done)) + np.repeat((ends - new)[small] - cuts[:-1], new[small])] = done
+    for c, m in zip(large.tolist(), merged, strict=True):
+        out[ends[c] - new[c] : ends[c]] = m
+    return out, np.concatenate(([0], ends))
+
+
+def _rounds(vocab: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """agenda() of short chunks, one merge of each in a round."""
     n = len(symbols)
     chunk = np.repeat(np.arange(len(first) - 1), np.diff(first))
     symbols, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)

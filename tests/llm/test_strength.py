@@ -4,15 +4,22 @@ import os
 import random
 import subprocess
 import sys
+import time
 from collections import Counter
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 
-from tallyforge.llm import near_dedup, substring_dedup
+from tallyforge.llm import near_dedup, piece_coding, substring_dedup
+from tallyforge.llm.common import strings
 from tallyforge.llm.words import runs, whole
 
 from .test_texts import expected_near, expected_repeats
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def thue_morse(n, a="a", b="b"):
     return [b if bin(i).count("1") % 2 else a for i in range(n)]
@@ -64,6 +71,31 @@ def test_hot_keys_change_no_result(docs, monkeypatch, least):
     assert Counter(map(tuple, got)) == want and sum(gone for _, _, gone, _ in want) > 0
 
 
+@pytest.mark.parametrize("kind", ["pair", "letters", "one", "odd"])
+def test_long_chunks_without_spaces(kind):
+    """A megabyte without a space takes seconds and gets the library's ids."""
+    rng = random.Random(31)
+    text = {"pair": lambda: "ab" * 500_000, "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "one": lambda: "a" * 1_000_000, "odd": lambda: "".join(rng.choices("the日本é☃in", k=300_000))}[kind]()
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    vocab = piece_coding.vocabulary(MODEL)
+    offsets, data = strings(pa.array([text, "a short one", text[:700] + " end"]))
+    start = time.monotonic()
+    ids, first, odd = piece_coding.encode(vocab, offsets, data, 2)
+    assert time.monotonic() - start < 60 and not odd.any()
+    for t, a, b in zip((text, "a short one", text[:700] + " end"), first, first[1:]):
+        assert ids[a:b].tolist() == library.encode(t, add_eos=True)
+
+
+def test_long_and_short_agendas_agree(monkeypatch):
+    rng = random.Random(32)
+    texts = ["".join(rng.choice(["ab", "a", "the", " ", "ing", "é", "漢", "☃", "zz"]) for _ in range(rng.randrange(80))) for _ in range(300)]
+    vocab = piece_coding.vocabulary(MODEL)
+    whole = piece_coding.encode(vocab, *strings(pa.array(texts)), 2)
+    monkeypatch.setattr(piece_coding, "_SHORT", 3)
+    parts = piece_coding.encode(vocab, *strings(pa.array(texts)), 2)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
 FRESH = """
 import sys
 from tallyforge.session import build_session

@@ -192,6 +192,27 @@ def test_exact_dedup_appends_to_its_index(docs, workers, tmp_path):
     assert [r["doc_id"] for r in exact_dedup.drop_copies(docs([(9, "third"), (10, "new")]), again, "three").collect()] == [9]
 
 
+def test_reopened_index_keeps_its_buckets_and_leaves_no_table(docs, workers, tmp_path):
+    rows = docs([(i, f"text {i % 150}") for i in range(400)])
+    tables = {t.name for t in workers.catalog.listTables()}
+    index = exact_dedup.DigestIndex(workers, str(tmp_path / "index"), buckets=8)
+    first = exact_dedup.exact_groups(rows, index, "one").collect()
+    before = workers.conf.get("spark.sql.shuffle.partitions")
+    workers.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = exact_dedup.DigestIndex(workers, str(tmp_path / "index"), buckets=5)
+        assert again.buckets == 8
+        got = exact_dedup.exact_groups(rows, again, "two").collect()
+    finally:
+        workers.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, first)) and len(got) == 400
+    assert again.lookup().count() == 150 and again.lookup().where("batch = 'two'").isEmpty()
+    assert {t.name for t in workers.catalog.listTables()} == tables
+    docs([(1, "x")]).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(workers, str(tmp_path / "other"))
+
+
 def test_packing(docs, edge_rows):
     exact = Tokenizer.from_file(BYTES)
     rows = [*edge_rows, (30, "with <|endoftext|> inside"), (31, "plain words " * 3000)]
