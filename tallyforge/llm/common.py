@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
@@ -37,18 +38,25 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The shared folder that the cluster names; a local one only where none is named and all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
 
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def _clean() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
-            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            _remove(spark, path)
         except Exception:  # the session may have ended first; the files are scratch
             return
 
@@ -58,7 +66,7 @@ atexit.register(_clean)
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     path = f"{scratch_root(spark)}/tallyforge/{what}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
@@ -67,7 +75,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for frames from which nothing will be read again."""
+    for frame in frames:
+        if (spark := _made.pop(getattr(frame, "_scratch", ""), None)) is not None:
+            _remove(spark, frame._scratch)
 
 
 def doc_key(col: str = "doc_id"):

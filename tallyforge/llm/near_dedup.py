@@ -2,11 +2,14 @@
 components by alternating large-star and small-star.
 
 Texts of equal word sequences are one class and only its smallest document goes on. Candidates never are all pairs of a
-bucket: each bucket first links its members to its smallest one. Once these links are verified and their components known, only
-members of buckets that still span several components meet, in cells of bounded size that hold their full sets, and only
-links that join components leave a cell: first within blocks of the first bands, then, after components have been found
-anew, in all cells of what is still mixed. So a large group of copies costs one link per copy, and no link between
-different components is passed over.
+bucket: each bucket first links its members to its smallest one. Once these links are verified and their components known,
+only members of buckets that still span several components meet, in cells of two blocks of bounded size: first within
+blocks of the first bands, then, after components have been found anew, in all cells of what is still mixed. A component
+that fills blocks of a bucket has them for itself, and no cell is made of two of its blocks. A cell first compares
+sketches; only members with a partner of another component then bring their full sets, and only links that join
+components leave the cell. So a large group of copies costs one link per copy, and no link between different components is
+passed over. What stays quadratic is a bucket whose s members fall into components that no link joins: its blocks meet in
+pairs, so s * s / 128 sketches travel at most, and sets of those members that the sketches can't tell apart.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, doc_key, frugal, slices, stored, strings
+from .common import binaries, doc_key, frugal, released, slices, stored, strings
 from .words import mix, run_starts, runs, whole, word_hashes
 
 SHINGLE = 5
@@ -28,7 +31,8 @@ BANDS, ROWS = 54, 6
 #: on average and fewer than 70 with probability below 1e-6.
 CHECKED, AGREE = 128, 70
 _SLICE = 1 << 20
-_BLOCK = 512
+#: Members of a block on average, and shingles of their sets: a cell holds two blocks.
+_BLOCK, _BLOCK_SHINGLES = 128, 1 << 19
 #: Bands whose buckets are compared first; most components have met when the others follow.
 FIRST_BANDS = 6
 
@@ -178,7 +182,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every node of edges (a, b): the smallest id reachable, by large-star and small-star in turn.
+    """(id, component), stored, for every node of edges (a, b): the smallest id reachable, by large-star and small-star in turn.
 
     Hot nodes are joined, not collected: each star is a minimum per node (pre-aggregated) and a join with the edges.
     """
@@ -192,16 +196,22 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node, is linked to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = stored(small, "edges")
+        last, edges = edges, stored(small, "edges")
+        released(last)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+    out = stored(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct()), "components")
+    released(edges)
+    return out
 
 
-def cell_links(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, agree: int) -> list[tuple[int, int]]:
-    """Links that join components of a cell's members, each verified on full sets. side: only 0 and 1 meet if both occur."""
+def _candidates(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, agree: int) -> np.ndarray:
+    """Pairs of a cell's members that could be linked and aren't in one component: two positions and the minima that agree.
+
+    side: only 0 and 1 meet if both occur.
+    """
     pairs = []
     both = side.any() and not side.all()
     for k in range(len(ids) - 1):
@@ -214,7 +224,12 @@ def cell_links(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketch
         alike = (sketch[at] == sketch[k]).sum(axis=1)
         good = alike >= agree
         pairs.append(np.stack([np.full(good.sum(), k), at[good], alike[good]]))
-    pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+    return np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+
+
+def cell_links(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, agree: int) -> list[tuple[int, int]]:
+    """Links that join components of a cell's members, each verified on full sets."""
+    pairs = _candidates(ids, component, sizes, sketch, side, percent, agree)
     pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
     shared = _shared(sets) if pairs.shape[1] > 400 else None
     root = {c: c for c in component.tolist()}
@@ -239,7 +254,9 @@ def cell_links(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketch
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of the sets, by products of indicator matrices of 4096 elements each."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = times > 1  # the others are in no intersection
+    owner, element = owner[twice[element]], (np.cumsum(twice) - 1)[element[twice[element]]]
     order = np.argsort(element, kind="stable")
     owner, element = owner[order], element[order]
     out = np.zeros((len(sets), len(sets)), np.float32)
@@ -251,13 +268,27 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _cell(table: pa.Table) -> tuple[np.ndarray, ...]:
+    first = table["i"][0].as_py()
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
+    return (*(table[c].to_numpy() for c in ("id", "component", "n")), sketch, table["own"].to_numpy() != first)
+
+
+def _able(percent: int, agree: int):
+    """A cell without sets -> its members that have a candidate in it."""
+
+    def able(table: pa.Table) -> pa.Table:
+        pairs = _candidates(*_cell(table), percent, agree)
+        return table.take(pa.array(np.unique(pairs[:2]), pa.int64()))
+
+    return able
+
+
 def _meet(percent: int, agree: int):
     def meet(table: pa.Table) -> pa.Table:
-        first = table["i"][0].as_py()
-        column = lambda name: table[name].to_numpy()
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
+        ids, component, sizes, sketch, side = _cell(table)
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        links = cell_links(column("id"), column("component"), column("n"), sketch, sets, column("own") != first, percent, agree)
+        links = cell_links(ids, component, sizes, sketch, sets, side, percent, agree)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return meet
@@ -272,23 +303,48 @@ def _as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), binaries(hashes, np.concatenate(([0], np.cumsum(sizes))) * 8)], names=["id", "shingles"])
 
 
-def links_across(members: DataFrame, comps: DataFrame, known: DataFrame, texts: DataFrame, percent: int, own_blocks: bool) -> DataFrame:
-    """Links (a, b) between components that share a bucket. members: bucket, lead, id. own_blocks: blocks meet only themselves.
+def cells(members: DataFrame, comps: DataFrame, known: DataFrame, own_blocks: bool) -> DataFrame:
+    """Members of buckets that span several components, once for each cell: bucket, own, i, j, id, component, n.
 
-    The leader has met all members of its bucket, so it takes no part. A bucket of s members is dealt to blocks of about
-    512; with own_blocks each is a cell, else each two are.
+    members: bucket, lead, id. own is the member's block, i and j the blocks of the cell. The leader has met all members of
+    its bucket, so it takes no part. Blocks have about _BLOCK members and _BLOCK_SHINGLES shingles; a component that has
+    more than that in the bucket has blocks of its own, smaller ones share. own_blocks: blocks meet only themselves.
     """
     named = members.where("id <> lead").select("bucket", "id").distinct().join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("bucket", "size")
-    parts = F.ceil(F.col("size") / F.lit(_BLOCK)).cast("int")
-    open_ones = named.join(mixed, "bucket").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")).cast("int"))
-    open_ones = stored(open_ones, "open")
-    needed = open_ones.select("id").distinct()
-    sets = texts.join(needed, "id", "left_semi").mapInArrow(_as_set, "id long, shingles binary").dropDuplicates(["id"])
-    sets = stored(sets.join(known, "id"), "sets")
-    others = F.array("own") if own_blocks else F.sequence(F.lit(0), F.col("parts") - 1)
-    cells = open_ones.withColumn("other", F.explode(others)).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    return cells.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(_meet(percent, AGREE), "a long, b long").distinct()
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    open_ones = stored(named.join(mixed, "bucket").join(known.select("id", "n"), "id"), "open")
+    parts = lambda members, shingles: F.greatest(F.ceil(members / F.lit(_BLOCK)), F.ceil(shingles / F.lit(_BLOCK_SHINGLES))).cast("int")
+    own = open_ones.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    own = own.withColumn("large", (F.col("members") > _BLOCK) | (F.col("shingles") > _BLOCK_SHINGLES))
+    shared = own.where("not large").groupBy("bucket").agg(parts(F.sum("members"), F.sum("shingles")).alias("shared"))
+    own = own.select("bucket", "component", "large", parts(F.col("members"), F.col("shingles")).alias("parts")).join(shared, "bucket", "left")
+    within = F.when(F.col("large"), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
+    owner = F.when(F.col("large"), F.col("component"))
+    dealt = open_ones.join(own, ["bucket", "component"]).select("bucket", "id", "component", "n", owner.alias("owner"), F.xxhash64("large", owner, within.cast("int")).alias("own"))
+    dealt = stored(dealt, "dealt")
+    released(open_ones)
+    blocks = dealt.select("bucket", "own", "owner").distinct()
+    pairs = blocks.where("owner is null").select("bucket", F.col("own").alias("i"), F.col("own").alias("j"))
+    if not own_blocks:
+        one, two = blocks.select("bucket", F.col("own").alias("i"), F.col("owner").alias("x")), blocks.select("bucket", F.col("own").alias("j"), F.col("owner").alias("y"))
+        pairs = pairs.union(one.join(two, "bucket").where("i < j and not coalesce(x = y, false)").select("bucket", "i", "j"))
+    ends = pairs.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    out = ends.join(dealt.drop("owner"), ["bucket", "own"])
+    out._scratch = dealt._scratch
+    return out
+
+
+def links_across(members: DataFrame, comps: DataFrame, known: DataFrame, texts: DataFrame, percent: int, own_blocks: bool) -> DataFrame:
+    """Links (a, b), stored, between components that share a bucket, from all cells."""
+    dealt = cells(members, comps, known, own_blocks)
+    sketched = dealt.join(known.select("id", "sketch"), "id")
+    kinds = ", ".join(f"{c} {sketched.schema[c].dataType.simpleString()}" for c in sketched.columns)
+    able = stored(sketched.groupBy("bucket", "i", "j").applyInArrow(_able(percent, AGREE), kinds), "able")
+    sets = texts.join(able.select("id").distinct(), "id", "left_semi").mapInArrow(_as_set, "id long, shingles binary").dropDuplicates(["id"])
+    sets = stored(sets, "sets")
+    links = stored(able.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(_meet(percent, AGREE), "a long, b long").distinct(), "more_links")
+    released(dealt, able, sets)
+    return links
 
 
 def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -312,16 +368,20 @@ def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: in
     texts = stored(texts.join(near_any, "id", "left_semi"), "texts")
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(confirmed(_agreeing(pairs, known, AGREE), texts, percent), "links")
-    comps = stored(components(links), "components")
+    comps = components(links)
+    released(links)
     early = reps.select("id", "bands").mapInArrow(_early(bands, FIRST_BANDS), "bucket long, id long").select("bucket").distinct()
     for few in (True, False):
         some = members.join(early, "bucket", "left_semi") if few else members
-        more = stored(links_across(some, comps, known, texts, percent, own_blocks=few), "more_links")
+        more = links_across(some, comps, known, texts, percent, own_blocks=few)
         if not more.isEmpty():
             # components so far stand for the links found so far
-            comps = stored(components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
+            last, comps = comps, components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+            released(last)
+        released(more)
     named = classes.join(comps, F.col("rep") == F.col("id"), "left").select("sequence", "sequence2", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named")  # both sides of the join then are plain tables, so Spark can split a hot class
+    released(members, texts, comps)
     found = with_words.select("id", "n_shingles", "sequence", "sequence2").join(named, ["sequence", "sequence2"]).select("id", "n_shingles", "component")
     found = found.union(signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
     plain = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))

@@ -96,6 +96,64 @@ def test_long_and_short_agendas_agree(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts))
 
 
+def test_cells_of_a_mixed_bucket_stay_small(docs, workers, monkeypatch):
+    """Two groups whose members are alike within a group and just below the bound across: nothing of one group meets itself."""
+    monkeypatch.setattr(near_dedup, "_BLOCK", 8)
+    n = 64
+    members = workers.createDataFrame([(7, 0, i) for i in range(1, 2 * n + 3)], "bucket long, lead long, id long")
+    comps = workers.createDataFrame([(i, 1 if i <= n else 2 if i <= 2 * n else i) for i in range(1, 2 * n + 3)], "id long, component long")
+    known = workers.createDataFrame([(i, 50, bytearray(128)) for i in range(1, 2 * n + 3)], "id long, n long, sketch binary")
+    rows = near_dedup.cells(members, comps, known, own_blocks=False).collect()
+    found = {}
+    for r in rows:
+        found.setdefault((r["i"], r["j"]), []).append(r)
+    met = {frozenset((a["id"], b["id"])) for cell in found.values() for a in cell for b in cell if a["id"] != b["id"]}
+    group = lambda i: 1 if i <= n else 2 if i <= 2 * n else i
+    assert {frozenset((a, b)) for a in range(1, 2 * n + 3) for b in range(1, a) if group(a) != group(b)} <= met
+    assert all(len({r["component"] for r in cell}) > 1 for cell in found.values())
+    # each member of a group goes to a cell for each block of the other one, and of the two that share a block
+    assert len(rows) < 3 * (2 * n) * (n / 8) and max(map(len, found.values())) < 4 * 8
+    # members so long that a block holds few
+    monkeypatch.setattr(near_dedup, "_BLOCK_SHINGLES", 100)
+    sizes = [len({r["id"] for r in rows if r["own"] == b}) for rows in [near_dedup.cells(members, comps, known, own_blocks=False).collect()] for b in {r["own"] for r in rows}]
+    assert max(sizes) < 12 and sum(sizes) == 2 * n + 2
+
+
+def test_two_large_groups_just_below_the_bound(docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_BLOCK", 8)
+    rng = random.Random(33)
+    base = [f"t{i}" for i in range(200)]
+    other = base[:176] + [f"o{i}" for i in range(24)]
+    rows = []
+    for i in range(60):
+        w = list(base if i % 2 else other)
+        for _ in range(2):
+            w[rng.randrange(150)] = f"e{rng.randrange(100000)}"
+        rows.append((i, " ".join(w)))
+    want = expected_near(rows)
+    assert len({c for _, c, _ in want.values()}) > 1
+    assert {r["doc_id"]: tuple(r)[1:] for r in near_dedup.near_groups(docs(rows)).collect()} == want
+
+
+def test_scratch_is_shared_and_freed(docs, edge_rows, workers):
+    import types
+
+    from tallyforge.llm import common
+
+    def session(master, **conf):
+        return types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: conf.get("path", d)), sparkContext=types.SimpleNamespace(master=master))
+
+    assert common.scratch_root(session("local[4]")) == "/tmp/checkpoints" and common.scratch_root(session("spark://a:1", path="s3a://x/y/")) == "s3a://x/y"
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1000]"):
+        with pytest.raises(ValueError):
+            common.scratch_root(session(master))
+    before = set(common._made)
+    found = near_dedup.near_groups(docs(edge_rows))
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in set(common._made) - before]
+    assert sorted(left) == ["named", "signatures"]
+    assert found.count() == len(edge_rows)
+
+
 FRESH = """
 import sys
 from tallyforge.session import build_session
