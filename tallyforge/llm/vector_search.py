@@ -5,6 +5,10 @@ lower and upper bounds of each score by two matrix products. Rows whose upper bo
 candidates. Their exact vectors are read in the order of upper bounds: first as many as can be needed, then those whose
 bound still reaches the k-th exact score. Equal vectors are one class in the file, with the smallest ids of its members,
 so a vector that a third of all rows share costs no more than any other.
+
+Scores are 64-bit integers. A vector whose length (root of the sum of squares) is 2^30 or more takes no part: the scores of
+all others stay below 2^60. Bounds are computed in doubles; where scores can pass 2^53 they are widened by what rounding
+can do.
 """
 
 from __future__ import annotations
@@ -14,18 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 CELLS = 64
 #: Queries of a block, vectors of a packed block of the file, and packed blocks that one task scans.
 QUERY_BLOCK, VECTOR_BLOCK, STRIPE = 256, 1024, 64
+#: Sum of squares below which a vector takes part.
+LONGEST = 2.0**60
 
 
 def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and v: floor(scale * x) of every component; rows with a null or non-finite one, or no vec_id, take no part."""
+    """vec_id and v: floor(scale * x) of every component.
+
+    Rows with a null or non-finite component or no vec_id, and vectors too long for 64-bit scores (LONGEST), take no part.
+    """
     x = F.col("embedding").cast("array<double>")
     odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~odd
+    good &= F.aggregate(x, F.lit(0.0), lambda s, c: s + F.greatest(F.abs(c * scale), F.lit(1.0)) * F.greatest(F.abs(c * scale), F.lit(1.0))) < LONGEST
     return embeddings.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
@@ -74,6 +84,8 @@ def _packed(edges: np.ndarray):
 def _scan(edges: np.ndarray, k: int):
     """A block of queries against a stripe of the file -> candidates with their upper bounds."""
     width = len(edges)
+    most = sum(max(abs(int(a)), abs(int(b))) ** 2 for a, b in zip(edges[:, 0], edges[:, -1], strict=True))
+    rounding = 0.0 if most < 2**53 else (width + 4) * 2.0**-52  # of a sum of products, against the sum of their sizes
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
@@ -88,6 +100,9 @@ def _scan(edges: np.ndarray, k: int):
             dims = np.arange(width)
             lo, hi = edges[dims, c].astype(np.float64), edges[dims, c + 1].astype(np.float64) - 1
             lows, highs = up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
+            if rounding:
+                slack = rounding * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T)
+                lows, highs = lows - slack, highs + slack
             best = np.concatenate((floor, lows), axis=1)
             floor = -np.partition(-best, k - 1, axis=1)[:, :k]
             i, j = np.nonzero(highs >= floor.min(axis=1)[:, None])
@@ -110,9 +125,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, cells: int = CELLS) -> Data
     keyed = stored(rows.join(classes.select("v", "id"), "v").select("vec_id", "is_query", "id"), "members")
     smallest = Window.partitionBy("id").orderBy("vec_id")
     members = keyed.select("id", "vec_id", F.row_number().over(smallest).alias("r")).where(F.col("r") <= k + 1).select("id", "vec_id")
+    released(rows)
     n, asking, width = classes.agg(F.count(F.lit(1)), F.sum(F.col("asks").cast("int")), F.max(F.size("v"))).first()
     if not n or not asking or not width:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     ranges = classes.select("v").mapInArrow(_extent(width), "d long, low long, high long").groupBy("d").agg(F.min("low"), F.max("high")).collect()
     ranges = np.array(sorted(tuple(r) for r in ranges), np.int64)
     edges = _edges(ranges[:, 1], ranges[:, 2], cells)
@@ -131,6 +147,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, cells: int = CELLS) -> Data
     by_high = Window.partitionBy("q").orderBy(F.desc("high"), "id")
     able = scanned.join(floor, "q").where("high >= floor").select("q", "id", "high").withColumn("turn", F.row_number().over(by_high))
     able = stored(able, "able")
+    released(scanned)
     first = stored(_scores(able.where(F.col("turn") <= 2 * (k + 1)), classes), "scores")
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     sure = first.select("q", "score", F.row_number().over(by_score).alias("r")).where(F.col("r") == k + 1).select("q", F.col("score").alias("sure"))

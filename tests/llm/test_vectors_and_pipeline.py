@@ -48,6 +48,16 @@ def test_top_k_in_many_blocks(workers, monkeypatch):
     assert {tuple(r) for r in vector_search.top_k(vectors, F.col("vec_id") % 20 == 0, 20).collect()} == brute(rows, 20)
 
 
+def test_top_k_of_long_vectors(workers):
+    """Scores beyond 2^53 are exact; vectors that would leave 64 bits take no part and stop nothing."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=16) * 2.0 ** float(rng.integers(0, 22))).tolist()) for i in range(200)]
+    rows += [(300 + i, [4e6 + i / 64] * 8) for i in range(9)] + [(320, [1e20, 1.0]), (321, [-1e300, 1.0]), (340, [3e7])]
+    vectors = vector_search.quantised(workers.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {tuple(r) for r in vector_search.top_k(vectors, F.col("vec_id") % 20 == 0, 20).collect()}
+    assert got == brute([r for r in rows if r[0] < 320], 20) and max(s for *_, s in got) > 2**53
+
+
 def test_search_on_an_empty_table(workers, tmp_path):
     workers.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert queries.QUERIES["op6_exact_topk_search"](workers, str(tmp_path)).collect() == []
