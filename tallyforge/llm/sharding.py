@@ -3,7 +3,8 @@
 Source p sends row counts to the shards that are drawn exactly as a uniform permutation would send them: its row of the
 matrix is a multivariate hypergeometric draw from what the shards still lack. Each source permutes its rows locally and
 deals them out by its row; each shard permutes what it has received by random keys, in ranges of keys of bounded size, so
-that no task holds a shard. The matrix is at most `sources` by `shards` numbers, whatever the input.
+that no task holds a shard. The matrix is at most `sources` by `shards` numbers, whatever the input. Both permutations are
+of row numbers; the rows themselves are exchanged once, to meet their shard and slot.
 """
 
 from __future__ import annotations
@@ -77,9 +78,8 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 17, s
     """
     spark = rows.sparkSession
     keep = [c for c in rows.columns if c not in ("shard", "slot")]
-    own = [F.col(f"`{c}`") for c in keep]
-    numbered = stored(rows.select(*own, F.monotonically_increasing_id().alias("__rid")), "shard_rows")
-    numbered = numbered.withColumn("__p", F.pmod(F.shiftright("__rid", 33), F.lit(sources)))
+    whole = stored(rows.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("__rid")), "shard_rows")
+    numbered = whole.select("__rid", F.pmod(F.shiftright("__rid", 33), F.lit(sources)).alias("__p"))
     counts = {r["__p"]: r["n"] for r in numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `sources` rows
     names, total = sorted(counts), sum(counts.values())
     sizes = [total // shards + (k < total % shards) for k in range(shards)]
@@ -97,7 +97,8 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 17, s
     firsts = firsts.select("shard", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     again = Window.partitionBy("shard", "__range").orderBy("__key", "__rid")
     placed = keyed.withColumn("__place", F.row_number().over(again) - 1).join(firsts, ["shard", "__range"])
-    return placed.select(*own, "shard", (F.col("__first") + F.col("__place")).cast("long").alias("slot"))
+    placed = placed.select("__rid", "shard", (F.col("__first") + F.col("__place")).cast("long").alias("slot"))
+    return whole.join(placed, "__rid").drop("__rid")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -290,6 +290,21 @@ def test_sharding(docs, edge_rows):
     assert len(sharding.shuffle_into_shards(docs(edge_rows), 24).collect()) == len(edge_rows)
 
 
+def test_placed_rows_are_uniform(docs):
+    """Over seeds every row is in every shard, and every two rows in one shard, as often as a uniform shuffle puts them there."""
+    rows, seeds, shards = docs([(i, "t") for i in range(24)]).select("doc_id").repartition(3), 60, 4
+    inside, together, early = np.zeros((24, shards)), 0, np.zeros(24)
+    for seed in range(seeds):
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(rows, shards, seed, sources=2, range_rows=2).collect()}
+        for i, (shard, slot) in got.items():
+            inside[i, shard] += 1
+            early[i] += slot < 3
+            together += sum(got[j][0] == shard for j in range(i))
+    assert abs(inside - seeds / shards).max() < 4.5 * (seeds * 3 / 16) ** 0.5
+    assert abs(early - seeds / 2).max() < 4.5 * (seeds / 4) ** 0.5
+    assert together == seeds * shards * 15  # six rows in each shard
+
+
 def test_sharding_query_places_whole_texts(docs, edge_rows, tmp_path, workers, monkeypatch):
     docs(edge_rows).write.parquet(str(tmp_path / "documents.parquet"))
     seen, place = [], sharding.shuffle_into_shards
@@ -344,6 +359,16 @@ def test_chunks_splice_at_any_size():
         assert token_counts.count_chunked(MODEL, text, rng.randrange(2, 40), rng.randrange(1, 8)) == len(model.encode(text))
 
 
+def test_texts_that_the_normaliser_changes_are_spliced_too():
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(14)
+    for _ in range(200):
+        text = "".join(rng.choice(["▁", "a", " ", "  ", "ﬁ", "the", "\n", "é", "１"]) for _ in range(rng.randrange(80)))
+        same = token_counts.normal(model, text)
+        assert len(model.encode(same)) == len(model.encode(text))
+        assert not token_counts.plain(model, same) or token_counts.count_chunked(MODEL, same, 16, 2) == len(model.encode(text))
+
+
 def test_piece_coding(docs, edge_rows):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(9)
