@@ -89,6 +89,11 @@ def plain(model, text: str) -> bool:
     return model.normalize(text) == SPACE + text.replace(" ", SPACE)
 
 
+def normal(model, text: str) -> str:
+    """A text with the same tokens that the normaliser leaves alone, as far as there is one."""
+    return text if plain(model, text) else model.normalize(text).removeprefix(SPACE).replace(SPACE, " ")
+
+
 def _count(path: str, chunk: int, overlap: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = processor(path)
@@ -101,6 +106,7 @@ def _count(path: str, chunk: int, overlap: int):
                 out[part] = [len(x) for x in model.encode([texts[i] for i in part], num_threads=1, return_type="numpy")]
             for i, t in enumerate(texts):
                 if len(t) > chunk:
+                    t = normal(model, t)
                     out[i] = count_chunked(path, t, chunk, overlap) if plain(model, t) else len(model.encode(t))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2)), pa.array(out)], names=["doc_id", "n_bytes", "n_tokens"])
 
