@@ -5,11 +5,11 @@ Texts of equal word sequences are one class and only its smallest document goes
 bucket: each bucket first links its members to its smallest one. Once these links are verified and their components known,
 only members of buckets that still span several components meet, in cells of two blocks of bounded size: first within
 blocks of the first bands, then, after components have been found anew, in all cells of what is still mixed. A component
-that fills blocks of a bucket has them for itself, and no cell is made of two of its blocks. A cell first compares
-sketches; only members with a partner of another component then bring their full sets, and only links that join
-components leave the cell. So a large group of copies costs one link per copy, and no link between different components is
-passed over. What stays quadratic is a bucket whose s members fall into components that no link joins: its blocks meet in
-pairs, so s * s / 128 sketches travel at most, and sets of those members that the sketches can't tell apart.
+that fills blocks of a bucket has them for itself, and no cell is made of two of its blocks. A block travels as one row with
+its members' sketches and full sets; a cell compares sketches first, and only links that join components leave it. So a
+large group of copies costs one link per copy, and no link between different components is passed over. What stays
+quadratic is a bucket whose s members fall into components that no link joins: its blocks meet in pairs, s * s / 2^15 rows
+of two blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CHECKED, AGREE = 128, 70
 _SLICE = 1 << 20
 #: Members of a block on average, and shingles of their sets: a cell holds two blocks.
 _BLOCK, _BLOCK_SHINGLES = 128, 1 << 19
+#: A component's members of one bucket are dealt to so many tasks.
+_SALTS = 8
 #: Bands whose buckets are compared first; most components have met when the others follow.
 FIRST_BANDS = 6
 
@@ -268,27 +270,27 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cell(table: pa.Table) -> tuple[np.ndarray, ...]:
-    first = table["i"][0].as_py()
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
-    return (*(table[c].to_numpy() for c in ("id", "component", "n")), sketch, table["own"].to_numpy() != first)
+_PACKED = "bucket long, own long, ids binary, components binary, sizes binary, sketches binary, shingles binary"
 
 
-def _able(percent: int, agree: int):
-    """A cell without sets -> its members that have a candidate in it."""
-
-    def able(table: pa.Table) -> pa.Table:
-        pairs = _candidates(*_cell(table), percent, agree)
-        return table.take(pa.array(np.unique(pairs[:2]), pa.int64()))
-
-    return able
+def _pack(table: pa.Table) -> pa.Table:
+    """Members of a block -> one row."""
+    shingles = table["shingles"].to_pylist()
+    sizes = np.array([len(x) // 8 for x in shingles], np.int64)
+    column = lambda name: [table[name].to_numpy().tobytes()]
+    packed = [column("id"), column("component"), [sizes.tobytes()], [b"".join(table["sketch"].to_pylist())], [b"".join(shingles)]]
+    return pa.Table.from_arrays([table["bucket"].slice(0, 1), table["own"].slice(0, 1), *[pa.array(x, pa.binary()) for x in packed]], names=["bucket", "own", "ids", "components", "sizes", "sketches", "shingles"])
 
 
 def _meet(percent: int, agree: int):
+    """The one or two blocks of a cell -> links."""
+
     def meet(table: pa.Table) -> pa.Table:
-        ids, component, sizes, sketch, side = _cell(table)
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        links = cell_links(ids, component, sizes, sketch, sets, side, percent, agree)
+        joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        ids, sizes = joined("ids", np.int64), joined("sizes", np.int64)
+        side = np.repeat(np.arange(len(table)), [len(x) // 8 for x in table["ids"].to_pylist()])
+        sets = np.split(joined("shingles", np.uint64), np.cumsum(sizes)[:-1])
+        links = cell_links(ids, joined("components", np.int64), sizes, joined("sketches", np.uint8).reshape(len(ids), -1), sets, side, percent, agree)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return meet
@@ -303,24 +305,27 @@ def _as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), binaries(hashes, np.concatenate(([0], np.cumsum(sizes))) * 8)], names=["id", "shingles"])
 
 
-def cells(members: DataFrame, comps: DataFrame, known: DataFrame, own_blocks: bool) -> DataFrame:
-    """Members of buckets that span several components, once for each cell: bucket, own, i, j, id, component, n.
+def cells(members: DataFrame, comps: DataFrame, known: DataFrame, own_blocks: bool) -> tuple[DataFrame, DataFrame]:
+    """(members of buckets that span several components with their blocks, stored; the blocks of each cell).
 
-    members: bucket, lead, id. own is the member's block, i and j the blocks of the cell. The leader has met all members of
-    its bucket, so it takes no part. Blocks have about _BLOCK members and _BLOCK_SHINGLES shingles; a component that has
-    more than that in the bucket has blocks of its own, smaller ones share. own_blocks: blocks meet only themselves.
+    The first has bucket, own (the block), id and component, the second bucket, i, j (the cell) and own. The given members
+    are bucket, lead, id; the leader has met all members of its bucket, so it takes no part. Blocks have about _BLOCK members
+    and _BLOCK_SHINGLES shingles; a component that has more than that in the bucket has blocks of its own, smaller ones
+    share. own_blocks: blocks meet only themselves.
     """
     named = members.where("id <> lead").select("bucket", "id").distinct().join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ones = stored(named.join(mixed, "bucket").join(known.select("id", "n"), "id"), "open")
+    open_ones = named.join(mixed, "bucket").join(known.select("id", "n"), "id").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SALTS)))
+    open_ones = stored(open_ones, "open")
     parts = lambda members, shingles: F.greatest(F.ceil(members / F.lit(_BLOCK)), F.ceil(shingles / F.lit(_BLOCK_SHINGLES))).cast("int")
     own = open_ones.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     own = own.withColumn("large", (F.col("members") > _BLOCK) | (F.col("shingles") > _BLOCK_SHINGLES))
     shared = own.where("not large").groupBy("bucket").agg(parts(F.sum("members"), F.sum("shingles")).alias("shared"))
     own = own.select("bucket", "component", "large", parts(F.col("members"), F.col("shingles")).alias("parts")).join(shared, "bucket", "left")
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
     within = F.when(F.col("large"), F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
     owner = F.when(F.col("large"), F.col("component"))
-    dealt = open_ones.join(own, ["bucket", "component"]).select("bucket", "id", "component", "n", owner.alias("owner"), F.xxhash64("large", owner, within.cast("int")).alias("own"))
+    dealt = open_ones.join(own, ["bucket", "component", "salt"]).select("bucket", "id", "component", owner.alias("owner"), F.xxhash64("large", owner, within.cast("int")).alias("own"))
     dealt = stored(dealt, "dealt")
     released(open_ones)
     blocks = dealt.select("bucket", "own", "owner").distinct()
@@ -328,22 +333,18 @@ def cells(members: DataFrame, comps: DataFrame, known: DataFrame, own_blocks: bo
     if not own_blocks:
         one, two = blocks.select("bucket", F.col("own").alias("i"), F.col("owner").alias("x")), blocks.select("bucket", F.col("own").alias("j"), F.col("owner").alias("y"))
         pairs = pairs.union(one.join(two, "bucket").where("i < j and not coalesce(x = y, false)").select("bucket", "i", "j"))
-    ends = pairs.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
-    out = ends.join(dealt.drop("owner"), ["bucket", "own"])
-    out._scratch = dealt._scratch
-    return out
+    return dealt, pairs.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
 
 
 def links_across(members: DataFrame, comps: DataFrame, known: DataFrame, texts: DataFrame, percent: int, own_blocks: bool) -> DataFrame:
     """Links (a, b), stored, between components that share a bucket, from all cells."""
-    dealt = cells(members, comps, known, own_blocks)
-    sketched = dealt.join(known.select("id", "sketch"), "id")
-    kinds = ", ".join(f"{c} {sketched.schema[c].dataType.simpleString()}" for c in sketched.columns)
-    able = stored(sketched.groupBy("bucket", "i", "j").applyInArrow(_able(percent, AGREE), kinds), "able")
-    sets = texts.join(able.select("id").distinct(), "id", "left_semi").mapInArrow(_as_set, "id long, shingles binary").dropDuplicates(["id"])
-    sets = stored(sets, "sets")
-    links = stored(able.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(_meet(percent, AGREE), "a long, b long").distinct(), "more_links")
-    released(dealt, able, sets)
+    dealt, ends = cells(members, comps, known, own_blocks)
+    sets = texts.join(dealt.select("id").distinct(), "id", "left_semi").mapInArrow(_as_set, "id long, shingles binary").dropDuplicates(["id"])
+    sets = stored(sets.join(known.select("id", "sketch"), "id"), "sets")
+    packed = dealt.join(sets, "id").groupBy("bucket", "own").applyInArrow(_pack, _PACKED)
+    links = ends.join(packed, ["bucket", "own"]).groupBy("bucket", "i", "j").applyInArrow(_meet(percent, AGREE), "a long, b long").distinct()
+    links = stored(links, "more_links")
+    released(dealt, sets)
     return links
 
 

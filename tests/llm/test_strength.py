@@ -103,20 +103,21 @@ def test_cells_of_a_mixed_bucket_stay_small(docs, workers, monkeypatch):
     members = workers.createDataFrame([(7, 0, i) for i in range(1, 2 * n + 3)], "bucket long, lead long, id long")
     comps = workers.createDataFrame([(i, 1 if i <= n else 2 if i <= 2 * n else i) for i in range(1, 2 * n + 3)], "id long, component long")
     known = workers.createDataFrame([(i, 50, bytearray(128)) for i in range(1, 2 * n + 3)], "id long, n long, sketch binary")
-    rows = near_dedup.cells(members, comps, known, own_blocks=False).collect()
-    found = {}
-    for r in rows:
-        found.setdefault((r["i"], r["j"]), []).append(r)
-    met = {frozenset((a["id"], b["id"])) for cell in found.values() for a in cell for b in cell if a["id"] != b["id"]}
+    dealt, ends = near_dedup.cells(members, comps, known, own_blocks=False)
+    blocks = {}
+    for r in dealt.collect():
+        blocks.setdefault(r["own"], []).append(r)
+    pairs = {(r["i"], r["j"]) for r in ends.collect()}
+    met = {frozenset((a["id"], b["id"])) for i, j in pairs for a in blocks[i] for b in blocks[j] if a["id"] != b["id"]}
     group = lambda i: 1 if i <= n else 2 if i <= 2 * n else i
     assert {frozenset((a, b)) for a in range(1, 2 * n + 3) for b in range(1, a) if group(a) != group(b)} <= met
-    assert all(len({r["component"] for r in cell}) > 1 for cell in found.values())
-    # each member of a group goes to a cell for each block of the other one, and of the two that share a block
-    assert len(rows) < 3 * (2 * n) * (n / 8) and max(map(len, found.values())) < 4 * 8
+    assert all(len({r["component"] for r in blocks[i] + blocks[j]}) > 1 for i, j in pairs)
+    # blocks of one group meet those of the other and the one that the two others share, each cell is two rows
+    assert max(map(len, blocks.values())) < 20 and ends.count() < 2 * (n / 8 + 1) ** 2 + 4 * n / 8
     # members so long that a block holds few
     monkeypatch.setattr(near_dedup, "_BLOCK_SHINGLES", 100)
-    sizes = [len({r["id"] for r in rows if r["own"] == b}) for rows in [near_dedup.cells(members, comps, known, own_blocks=False).collect()] for b in {r["own"] for r in rows}]
-    assert max(sizes) < 12 and sum(sizes) == 2 * n + 2
+    sizes = Counter(r["own"] for r in near_dedup.cells(members, comps, known, own_blocks=False)[0].collect())
+    assert max(sizes.values()) < 12 and sum(sizes.values()) == 2 * n + 2
 
 
 def test_two_large_groups_just_below_the_bound(docs, monkeypatch):
