@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, substring dedup and packing, one stage after the other.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. All but the last return the
-columns of documents. run() writes each stage's documents as Parquet to the shared scratch folder and reads them again.
+columns of documents. run() writes each stage's documents as Parquet to the shared scratch folder and reads them again; a
+stage's documents are deleted when the next one's are written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import exact_dedup, language_id, near_dedup, packing, substring_dedup
-from tallyforge.llm.common import at_workers, doc_key, spread, stored, table
+from tallyforge.llm.common import at_workers, doc_key, released, spread, stored, table
 from tallyforge.llm.queries import tokenizer_path
 
 
@@ -42,9 +43,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages go; a text that has none stays as it is, to the byte."""
+    """Words of repeated passages go; a text that has none stays as it is, to the byte. A text with no words left goes."""
     cut = substring_dedup.remove_repeats(docs, names=("__words", "__removed", "__text_kept"))
     changed = F.col("__removed") > 0
+    cut = cut.where(~changed | (F.col("__text_kept") != ""))
     cut = cut.withColumn("text", F.when(changed, F.col("__text_kept")).otherwise(F.col("text")))
     return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*_own(docs))
 
@@ -71,5 +73,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        released(last)
     return STAGES[-1][1](spark, docs, sf_dir)
