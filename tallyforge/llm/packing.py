@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, frugal, stored
 
 CAPACITY = 1024
-#: Bytes of text that are encoded at once, and characters of units that a worker remembers.
-_SLICE, _REMEMBERED = 4 << 20, 1 << 23
+#: Bytes of text that are encoded at once, and characters of units that a task remembers.
+_SLICE, _REMEMBERED = 4 << 20, 1 << 22
 _DOUBLE, _BOUNDARY = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 #: Units that are encoded in one call, one after the other.
 _JOINED = 1000
@@ -46,7 +46,7 @@ class Encoder:
 
     With the usual split (letters, digits or signs with at most one space in front) no token crosses a space between two
     characters that are not white space, whatever stands around. So texts are cut there into units, each distinct unit
-    is encoded once by the library and remembered by the worker. Texts with special strings are one unit, as are all
+    is encoded once by the library and remembered for the task. Texts with special strings are one unit, as are all
     texts if the file has another split.
     """
 
@@ -66,9 +66,9 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a letter stands for each byte
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number, self.held = _Numbers(), 0
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -105,7 +105,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
         if self.held > _REMEMBERED:
-            self._forget()
+            self.forget()
         units, counts, known = [], [0], len(self.number)
         for text in texts:
             units += self.units(text)
@@ -132,11 +132,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
         for batch in by_bytes(batches, "text", _SLICE):
             ids_of, out = batch.column(0), defaultdict(list)
             held = 0
-            flat, first = encode([t or "" for t in batch.column(1).to_pylist()])
+            flat, first = encoder(tokenizer).encode([t or "" for t in batch.column(1).to_pylist()])
             for i in range(batch.num_rows):
                 ids = np.append(flat[first[i] : first[i + 1]], np.uint32(end_id))
                 n = len(ids)
@@ -154,8 +153,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             if out:
                 yield _batch(out)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from frugal(cut)(batches)
+        encoder(tokenizer).forget()
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        frugal(cut), "doc_id long, piece int, start long, length long, ids binary"
+        task, "doc_id long, piece int, start long, length long, ids binary"
     )
 
 
