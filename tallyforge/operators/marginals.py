@@ -94,6 +94,23 @@ def compare(expected: DataFrame, actual: DataFrame, keys: list[str], value: str)
     return both.select(*[F.coalesce(f"e_{k}", f"a_{k}").alias(k) for k in keys], status.alias("status"), "expected", "actual").where("status is not null")
 
 
+def in_common_months(marginal: DataFrame, years: list[int]) -> DataFrame:
+    """Rows of month families in the months that both years have: marginal's columns and year."""
+    months = marginal.where("dimension = 'month'").select(F.col("key1").cast("int").alias("year"), F.col("key2").alias("mm")).where(F.col("year").isin(*years)).distinct()
+    common = months.groupBy("mm").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("mm")  # at most 12
+    rows = marginal.where(F.col("dimension").isin("month_maker", "month_fuel")).withColumns({"year": F.substring("key1", 1, 4).cast("int"), "mm": F.substring("key1", 6, 2)})
+    return rows.where(F.col("year").isin(*years)).join(F.broadcast(common), "mm", "left_semi").drop("mm")
+
+
+def matched_makers(marginal: DataFrame, years: list[int]) -> DataFrame:
+    """maker, registrations, share_pct, previous_registrations over the months that the two years share."""
+    named = in_common_months(marginal, years).where("dimension = 'month_maker'").withColumn("maker", maker_key(F.col("key2")))
+    of = lambda y: F.sum(F.when(F.col("year") == y, F.col("registrations")).otherwise(0))
+    rows = named.groupBy("maker").agg(of(years[1]).alias("registrations"), of(years[0]).alias("previous_registrations"))
+    total = rows.agg(F.sum("registrations").alias("total"))  # one row
+    return rows.where("registrations > 0").crossJoin(F.broadcast(total)).select("maker", "registrations", pct(F.col("registrations"), F.col("total"), 4).alias("share_pct"), "previous_registrations")
+
+
 def matched_period(marginal: DataFrame, top: int = 10) -> dict:
     """Totals of the months that the last two years share, electric share, largest makers and labels that differ in case."""
     months = marginal.where("dimension = 'month'").select(F.col("key1").cast("int").alias("year"), F.col("key2").cast("int").alias("month"), "registrations")
@@ -103,12 +120,11 @@ def matched_period(marginal: DataFrame, top: int = 10) -> dict:
     years = [last - 1, last]
     seen = sorted((r["year"], r["month"]) for r in months.select("year", "month").distinct().collect())  # at most 12 a year
     common = sorted({m for y, m in seen if y == years[0]} & {m for y, m in seen if y == years[1]})
-    inside = F.col("key1").isin(*[f"{y}-{m:02d}" for y in years for m in common]) if common else F.lit(False)
+    inside = in_common_months(marginal, years)
     totals = {y: 0 for y in years} | {r["year"]: r["n"] for r in months.where(F.col("year").isin(*years) & F.col("month").isin(*(common or [0]))).groupBy("year").agg(F.sum("registrations").alias("n")).collect()}
-    sums = lambda rows, *by: rows.groupBy(F.substring("key1", 1, 4).cast("int").alias("year"), *by).agg(F.sum("registrations").alias("n"))
-    electric = {y: 0 for y in years} | {r["year"]: r["n"] for r in sums(marginal.where((F.col("dimension") == "month_fuel") & (F.col("key2") == "electric") & inside)).collect()}
-    named = marginal.where((F.col("dimension") == "month_maker") & inside).withColumn("maker", maker_key(F.col("key2")))
-    leading = makers_ranked(named, years, totals[last]).limit(top).collect()
+    electric = {y: 0 for y in years} | {r["year"]: r["n"] for r in inside.where("dimension = 'month_fuel' and key2 = 'electric'").groupBy("year").agg(F.sum("registrations").alias("n")).collect()}
+    named = inside.where("dimension = 'month_maker'").withColumn("maker", maker_key(F.col("key2")))
+    leading = matched_makers(marginal, years).orderBy(F.desc("registrations"), "maker").limit(top).collect()
     variants = named.groupBy("maker").agg(F.array_sort(F.collect_set("key2")).alias("labels")).where(F.size("labels") > 1).orderBy("maker").collect()
     share = lambda a, b, d=4: round(a / b * 100, d) if b else None
     return {
@@ -117,11 +133,3 @@ def matched_period(marginal: DataFrame, top: int = 10) -> dict:
         "electric_registrations": electric, "electric_share_pct": {y: share(electric[y], totals[y]) for y in years},
         "top_makers_current_comparable_period": [r.asDict() for r in leading], "maker_case_variants": {r["maker"]: r["labels"] for r in variants},
     }
-
-
-def makers_ranked(named: DataFrame, years: list[int], total: int) -> DataFrame:
-    """maker, registrations, share_pct, previous_registrations, largest first, ties by name."""
-    year = F.substring("key1", 1, 4).cast("int")
-    of = lambda y: F.sum(F.when(year == y, F.col("registrations")).otherwise(0))
-    rows = named.groupBy("maker").agg(of(years[1]).alias("registrations"), of(years[0]).alias("previous_registrations")).where("registrations > 0")
-    return rows.select("maker", "registrations", pct(F.col("registrations"), F.lit(total), 4).alias("share_pct"), "previous_registrations").orderBy(F.desc("registrations"), "maker")

@@ -13,6 +13,8 @@ from . import mart
 from .ask import ask
 from .star import Star
 
+#: Ranges of values in which a median is looked for.
+_RANGES = 4096
 SCALES = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2)
 
 
@@ -31,8 +33,11 @@ def orders(rows: DataFrame, by: list[str], name: str, columns: dict[str, str]) -
 
 
 def adjacent_gaps(totals: DataFrame, name: str, units: str) -> DataFrame:
-    """Each name with the next smaller one and by how many per cent it leads."""
-    line = Window.partitionBy(F.lit(0)).orderBy(F.desc(units), name)  # one row for each name of a dimension
+    """Each name with the next smaller one and by how many per cent it leads.
+
+    totals: one row for each name of a dimension, such as brands or states; all are ordered in one task.
+    """
+    line = Window.partitionBy(F.lit(0)).orderBy(F.desc(units), name)
     rows = totals.select(F.row_number().over(line).alias("place"), F.col(name).alias("leader"), F.lead(name).over(line).alias("follower"), F.col(units).alias("a"), F.lead(units).over(line).alias("b"))
     return rows.where("follower is not null").select("place", "leader", "follower", F.round((F.col("a").cast("double") / F.col("b") - 1) * 100, 2).alias("gap_pct"))
 
@@ -43,9 +48,23 @@ def gaps(rows: DataFrame, by: str, base: str = "tiv_units", other: str = "regist
 
 
 def upper_median(rows: DataFrame, column: str) -> DataFrame:
-    """The middle value in order, the larger of two: element n // 2 from 0."""
-    values = F.array_sort(F.collect_list(column))
-    return rows.agg(F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int")).alias("upper_median"))
+    """The middle value in order, the larger of two: element n // 2 from 0. Values are counted first, equal ones together,
+    and only their counts are added up in order: by ranges of values, then within the one range that holds the middle."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    low, high, total = counts.agg(F.min("v"), F.max("v"), F.sum("n")).first()
+    if total is None:
+        return rows.sparkSession.createDataFrame([(None,)], "upper_median double")
+    width = (float(high) - float(low)) / _RANGES or 1.0
+    ranged = counts.withColumn("range", F.least(F.floor((F.col("v").cast("double") - float(low)) / width), F.lit(_RANGES - 1)))
+    sums = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect())  # at most _RANGES
+    before = 0
+    for middle, n in sums:
+        if before + n > total // 2:
+            break
+        before += n
+    line = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.where(F.col("range") == middle).withColumn("upto", F.sum("n").over(line) + before)
+    return inside.where(F.col("upto") > total // 2).agg(F.min("v").alias("upper_median"))
 
 
 def legacy_gaps(fact: DataFrame) -> DataFrame:
@@ -82,11 +101,16 @@ def lambda_sweep(spark: SparkSession, year: int = 2025, scales: tuple[float, ...
     """scale, month_flips, region_flips, month_gap_abs_max: the series again under every scale, in one plan."""
     steps = spark.createDataFrame([(s,) for s in scales], "scale double")
     rows = mart.registered(mart.wholesale(spark).crossJoin(F.broadcast(steps)), F.col("scale"), ["scale"]).where(F.col("year") == year)
+    return sweep_summary(rows, "brand_name", "region_id")
+
+
+def sweep_summary(rows: DataFrame, name: str, region: str) -> DataFrame:
+    """For each scale the months and regions whose leading name differs between the measures, and the widest month's gap."""
     both = {"tiv_units": "tiv", "registration_units": "registration"}
-    flips = lambda by, out: top1(rows, ["scale", by], "brand_name", both).groupBy("scale").agg(F.count_if(F.col("tiv") != F.col("registration")).alias(out))
+    flips = lambda by, out: top1(rows, ["scale", by], name, both).groupBy("scale").agg(F.count_if(F.col("tiv") != F.col("registration")).alias(out))
     sums = rows.groupBy("scale", "month").agg(F.sum("tiv_units").alias("t"), F.sum("registration_units").alias("r"))
     widest = sums.groupBy("scale").agg(F.max(F.abs(F.round((F.col("r") - F.col("t")).cast("double") / F.col("t") * 100, 2))).alias("month_gap_abs_max"))
-    return flips("month", "month_flips").join(flips("region_id", "region_flips"), "scale").join(widest, "scale").orderBy("scale")
+    return flips("month", "month_flips").join(flips(region, "region_flips"), "scale").join(widest, "scale").orderBy("scale")
 
 
 def guard_arms(spark: SparkSession, star: Star, cases: list[dict]) -> dict:

@@ -10,10 +10,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import maker_key, pct, year_month
+from ..functions.expressions import maker_key, year_month
 from ..operators import constraints, lineage, marginals, retrieval
 from ..operators.apportion import apportion, carry_over
-from ..sources import registrations, snapshots
+from ..sources import registrations, shared, snapshots
 from . import ablation, serving
 from .lineage_data import EDGES
 from .star import Star
@@ -44,7 +44,20 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
     nation, world = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     region = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(world, F.col("n_regionkey") == F.col("r_regionkey"))
     region = region.select(F.col("s_suppkey").alias("region_key"), F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region_name"), F.lower("r_name").alias("region_name_zh"))
-    return Star(fact, model, brand, region, brand_sums(fact, model, ["year"]), _in_years)
+    return Star(fact, model, brand, region, None, _in_years)
+
+
+def star_with_aggregate(spark: SparkSession, sf_dir: str) -> Star:
+    """The star with its brand-year aggregate, published once for a table and partitioned by year."""
+    s = star(spark, sf_dir)
+    s.brand_year = brand_sums_published(spark, sf_dir, ["year"])
+    return s
+
+
+def brand_sums_published(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    s = star(spark, sf_dir)
+    made = shared.published(spark, "_".join(["brand", *by]), [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")], lambda: brand_sums(s.fact, s.model, by), ["year"])
+    return made.select(*by, "brand_id", "tiv_units", "registration_units")
 
 
 def brand_sums(fact: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
@@ -66,7 +79,9 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.derived(marginals.marginals(ads(spark, sf_dir)))
+    """The families as a published snapshot: a query reads the partitions of its dimensions and no orders."""
+    tables = [f"{sf_dir}/{t}.parquet" for t in ("orders", "customer", "nation")]
+    return shared.published(spark, "snapshot", tables, lambda: snapshots.derived(marginals.marginals(ads(spark, sf_dir))), ["dimension"])
 
 
 _F = """WITH f AS (
@@ -111,7 +126,8 @@ SELECT brand AS name, units, units_ly, CASE WHEN units_ly = 0 THEN NULL ELSE rou
 
 def _template(task: str, metric: str = "tiv", scan: str | None = None, **params):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return answer(star(spark, sf_dir), task, metric, {"year": YEAR} | params, scan or "dwd.fact_month")
+        rows = star_with_aggregate(spark, sf_dir) if scan == AGGREGATE else star(spark, sf_dir)
+        return answer(rows, task, metric, {"year": YEAR} | params, scan or "dwd.fact_month")
 
     return build
 
@@ -132,12 +148,11 @@ _PERIOD = "ym BETWEEN '2000-02' AND '2001-06'"
 
 
 def brand_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star(spark, sf_dir).brand_year
+    return brand_sums_published(spark, sf_dir, ["year"])
 
 
 def brand_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = star(spark, sf_dir)
-    return brand_sums(s.fact, s.model, ["year", "month"])
+    return brand_sums_published(spark, sf_dir, ["year", "month"])
 
 
 def all_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,13 +214,7 @@ def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months that 2000 and 2001 share: totals of both years by maker, with the share of the later one."""
-    rows = all_marginals(spark, sf_dir)
-    months = rows.where("dimension = 'month' and key1 in ('2000', '2001')").groupBy("key2").agg(F.countDistinct("key1").alias("n")).where("n = 2").select(F.col("key2").alias("mm"))
-    named = rows.where("dimension = 'month_maker' and substring(key1, 1, 4) in ('2000', '2001')").withColumn("mm", F.substring("key1", 6, 2)).join(months, "mm", "left_semi").withColumn("maker", maker_key(F.col("key2")))
-    of = lambda y: F.sum(F.when(F.substring("key1", 1, 4) == y, F.col("registrations")).otherwise(0))
-    sums = named.groupBy("maker").agg(of("2001").alias("registrations"), of("2000").alias("previous_registrations"))
-    total = sums.agg(F.sum("registrations").alias("total"))  # one row
-    return sums.crossJoin(F.broadcast(total)).select("maker", "registrations", "previous_registrations", pct(F.col("registrations"), F.col("total"), 4).alias("share_pct"))
+    return marginals.matched_makers(all_marginals(spark, sf_dir), [2000, 2001]).select("maker", "registrations", "previous_registrations", "share_pct")
 
 
 def case_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +255,15 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.join(sums.groupBy("scale").agg(F.max(F.abs(F.col("r") - F.col("t"))).alias("widest")), "scale")
 
 
+def sweep_all_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scale of the engine: months and states whose leading maker changes, and the widest gap of a month in per cent."""
+    by = ["maker", "state", F.col("registration_year").alias("year"), F.col("registration_month").alias("month")]
+    rows = registered(spark, sf_dir).groupBy(*by).agg(F.count(F.lit(1)).alias("tiv_units"))
+    scales = spark.createDataFrame([(s,) for s in ablation.SCALES], "scale double")
+    rows = carry_over(rows.crossJoin(F.broadcast(scales)), ["maker", "state", "scale"], "tiv_units", F.least(F.lit(1.0), F.col("scale") * 0.75), F.lit(1.0), "registration_units")
+    return ablation.sweep_summary(rows.where("year = 2000"), "maker", "state")
+
+
 _LAG = """, v AS (SELECT maker, y, m, COUNT(*) AS v FROM reg WHERE y < 2001 GROUP BY maker, y, m)"""
 
 
@@ -357,6 +375,7 @@ QUERIES = {
     "lag_carry_series": lagged,
     "lag_carry_series_all_years": lagged_all_years,
     "lambda_sweep": sweep,
+    "lambda_sweep_all_scales": sweep_all_scales,
     "adjacent_gap": gap,
     "top1_flip_by_month": flips,
     "value_gap_stats": gap_stats,
@@ -429,6 +448,13 @@ SELECT maker, y AS year, m AS month, CAST(greatest(0, round_even(rate * v + (1 -
 w AS (SELECT *, CAST(greatest(0, round_even(scale * v + (1 - scale) * coalesce(lag(v) OVER (PARTITION BY maker, scale ORDER BY y, m), max(CASE WHEN m = 12 THEN v END) OVER (PARTITION BY maker, scale, y)), 0)) AS BIGINT) AS c FROM x),
 t AS (SELECT scale, m, arg_min(maker, (-v, maker)) AS a, arg_min(maker, (-c, maker)) AS b, abs(SUM(c) - SUM(v)) AS d FROM w WHERE y = 2000 GROUP BY scale, m)
 SELECT scale, count_if(a <> b)::BIGINT AS flips, CAST(max(d) AS BIGINT) AS widest FROM t GROUP BY scale""",
+    "lambda_sweep_all_scales": f"""{_REG}, v AS (SELECT maker, state, y, m, COUNT(*) AS v FROM reg GROUP BY ALL), x AS (SELECT *, least(1.0::DOUBLE, scale * 0.75::DOUBLE) AS rate FROM v, (VALUES {", ".join(f"(CAST({s} AS DOUBLE))" for s in ablation.SCALES)}) s(scale)),
+w AS (SELECT *, CAST(greatest(0, round_even(rate * v + (1 - rate) * coalesce(lag(v) OVER (PARTITION BY maker, state, scale ORDER BY y, m), max(CASE WHEN m = 12 THEN v END) OVER (PARTITION BY maker, state, scale, y)), 0)) AS BIGINT) AS c FROM x),
+z AS (SELECT * FROM w WHERE y = 2000),
+a AS (SELECT scale, m, arg_min(maker, (-t, maker)) AS a, arg_min(maker, (-r, maker)) AS b FROM (SELECT scale, m, maker, SUM(v) AS t, SUM(c) AS r FROM z GROUP BY ALL) GROUP BY scale, m),
+b AS (SELECT scale, state, arg_min(maker, (-t, maker)) AS a, arg_min(maker, (-r, maker)) AS b FROM (SELECT scale, state, maker, SUM(v) AS t, SUM(c) AS r FROM z GROUP BY ALL) GROUP BY scale, state),
+g AS (SELECT scale, max(abs(round(CAST(r - t AS DOUBLE) / CAST(t AS DOUBLE) * 100, 2))) AS month_gap_abs_max FROM (SELECT scale, m, SUM(v) AS t, SUM(c) AS r FROM z GROUP BY scale, m) GROUP BY scale)
+SELECT scale, (SELECT count_if(a <> b) FROM a WHERE a.scale = g.scale)::BIGINT AS month_flips, (SELECT count_if(a <> b) FROM b WHERE b.scale = g.scale)::BIGINT AS region_flips, month_gap_abs_max FROM g""",
     "adjacent_gap": f"""{_REG}, s AS (SELECT state, COUNT(*) AS n FROM reg GROUP BY state), o AS (SELECT CAST(row_number() OVER w AS INT) AS place, state AS leader, lead(state) OVER w AS follower, n, lead(n) OVER w AS b FROM s WINDOW w AS (ORDER BY n DESC, state))
 SELECT place, leader, follower, round((CAST(n AS DOUBLE) / b - 1) * 100, 2) AS gap_pct FROM o WHERE follower IS NOT NULL""",
     "top1_flip_by_month": f"""{_F}, s AS (SELECT month, energy, SUM(tiv) AS t, SUM(reg) AS r FROM f WHERE year = {YEAR} GROUP BY month, energy)

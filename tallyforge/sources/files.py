@@ -57,6 +57,16 @@ class Files:
                 found[name] = f.getLen()
         return found
 
+    def stamps(self, path: str) -> list[tuple[str, int, int]]:
+        """(path, size, time of change) of every data file under path, or of the one file that it is."""
+        fs, p = self._at(path)
+        found, each = [], fs.listFiles(p, True)
+        while each.hasNext():
+            f = each.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return found
+
     def write_json(self, path: str, value: dict) -> None:
         """Written beside and renamed over, so that readers see the old or the new whole."""
         fs, p = self._at(path)

@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -66,3 +67,30 @@ assert set(e.oracle_sql()) <= names
 def test_year_filters_reach_the_scan(spark):
     plan = driver_tables.QUERIES["tpl_brand_rank"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan and "l_extendedprice" not in plan
+
+
+def plan_of(name, spark):
+    return driver_tables.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", [n for n in driver_tables.QUERIES if n.startswith(("ads_", "srv_", "catalog_"))])
+def test_aggregates_are_read_and_not_made_again(name, spark):
+    """No line item and no order is scanned, and a year or a dimension prunes the aggregate's partitions."""
+    plan = plan_of(name, spark)
+    assert "l_shipdate" not in plan and "o_orderdate" not in plan
+    if name in ("ads_brand_rank", "ads_share", "ads_yoy"):
+        assert "PartitionFilters: [isnotnull(year" in plan or "PartitionFilters: [year" in plan
+    if name.startswith("srv_"):
+        assert "PartitionFilters: [isnotnull(dimension" in plan
+
+
+def test_a_changed_table_is_published_anew(spark, tmp_path):
+    import shutil
+
+    for name in ("orders", "customer", "nation"):
+        shutil.copy(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    count = lambda: driver_tables.snapshot(spark, str(tmp_path)).where("dimension = 'total'").first()["registrations"]
+    before = count()
+    half = pq.read_table(f"{DATA}/orders.parquet").slice(3)
+    pq.write_table(half, tmp_path / "orders.parquet")
+    assert before == len(half) + 3 and count() == len(half)

@@ -95,3 +95,16 @@ def test_a_missing_filter_leaves_no_trace_in_the_plan(star):
 def test_growth_is_null_without_a_last_year(star):
     rows = answer(star, "yoy_brand", "tiv", {"year": 2024}, DETAIL).collect()
     assert all(r["units_ly"] == 0 and r["yoy_pct"] is None for r in rows) and len(rows) == 3
+
+
+def test_upper_median_of_any_column(spark):
+    import random
+
+    from tallyforge.plans import ablation
+
+    rng = random.Random(4)
+    for n in (1, 2, 3, 10, 101, 1000):
+        values = [round(rng.gauss(0, 10) if n % 2 else rng.choice([-3.5, 0.25, 7.0]), 3) for _ in range(n)]
+        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "g double")
+        assert ablation.upper_median(rows, "g").first()[0] == sorted(values)[n // 2]
+    assert ablation.upper_median(spark.createDataFrame([], "g double"), "g").first()[0] is None
