@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, frugal, stored
+from .common import binaries, by_bytes, frugal, stored
 
 CAPACITY = 1024
 #: Bytes of text that are encoded at once, and characters of units that a task remembers.
-_SLICE, _REMEMBERED = 4 << 20, 1 << 22
+_SLICE, _REMEMBERED = 4 << 20, 5 << 20
 _DOUBLE, _BOUNDARY = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 #: Units that are encoded in one call, one after the other.
 _JOINED = 1000
@@ -133,25 +133,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", _SLICE):
-            ids_of, out = batch.column(0), defaultdict(list)
-            held = 0
             flat, first = encoder(tokenizer).encode([t or "" for t in batch.column(1).to_pylist()])
-            for i in range(batch.num_rows):
-                ids = np.append(flat[first[i] : first[i + 1]], np.uint32(end_id))
-                n = len(ids)
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                for k in range(len(cuts) - 1):
-                    out["doc_id"].append(ids_of[i].as_py())
-                    out["piece"].append(k)
-                    out["start"].append(cuts[k])
-                    out["length"].append(cuts[k + 1] - cuts[k])
-                    out["ids"].append(ids[cuts[k] : cuts[k + 1]].astype("<u4").tobytes())
-                held += n
-                if held > 1_000_000:
-                    yield _batch(out)
-                    out, held = defaultdict(list), 0
-            if out:
-                yield _batch(out)
+            sizes = np.diff(first) + 1
+            ids = np.insert(flat, first[1:], np.uint32(end_id)).astype("<u4")
+            counts = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), counts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = np.where(piece > 0, sizes[doc] - (counts[doc] - piece) * capacity, 0)
+            length = np.where(piece > 0, capacity, sizes[doc] - (counts[doc] - 1) * capacity)
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), binaries(ids, np.concatenate(([0], np.cumsum(length))) * 4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from frugal(cut)(batches)
@@ -162,11 +153,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     )
 
 
-def _batch(out: dict) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary()}
-    return pa.record_batch([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
-
-
 class Bins:
     """Classes of equal bins (the lengths in them, longest first) with their counts, by free room."""
 
