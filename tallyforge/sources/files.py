@@ -7,10 +7,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a file that a task takes whole; a longer one is streamed by the driver.
+WHOLE = 256 << 20
 
 
 class Files:
     def __init__(self, spark: SparkSession):
+        self.spark = spark
         self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
@@ -43,6 +48,19 @@ class Files:
         finally:
             stream.close()
 
+    def hashes(self, paths: list[str]) -> dict[str, str]:
+        """SHA-256 of each file, by path: one task for a file, which streams it."""
+        if not paths:
+            return {}
+        read = self.spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+        fs_path = {self._at(x)[0].makeQualified(self._at(x)[1]).toString(): x for x in paths}
+        small = [q for q, x in fs_path.items() if self._at(x)[0].getFileStatus(self._at(x)[1]).getLen() < WHOLE]
+        found = {}
+        if small:
+            rows = read.load(small).select("path", F.sha2("content", 256).alias("sha256")).collect()  # one short row for each file
+            found = {fs_path[self._at(r["path"])[0].makeQualified(self._at(r["path"])[1]).toString()]: r["sha256"] for r in rows}
+        return found | {x: self.sha256(x) for x in paths if x not in found}
+
     def listing(self, path: str) -> dict[str, int]:
         """Sizes of all files under path, by path relative to it; names that begin with _ or . are left out."""
         fs, p = self._at(path)

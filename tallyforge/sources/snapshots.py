@@ -77,6 +77,18 @@ class SnapshotStore:
         with self.files.locked(f"{self.root}/import.lock"):
             return self._publish(version, rows, source, fail_before_activation)
 
+    def publish_run(self, run: str, version: str | None = None) -> dict:
+        """Publishes the aggregates of a kept warehouse run that passed, if they are still what the run wrote."""
+        about = self.files.read_json(f"{run}/run.json")
+        if about is None or about.get("status") != "passed" or not about.get("passed"):
+            raise ValueError("UPSTREAM_NOT_PASSED")
+        at = f"{run}/aggregates"
+        hashes = {f.rsplit("/", 1)[-1]: h for f, h in self.files.hashes([f"{at}/{x}" for x in self.files.listing(at)]).items()}
+        if hashes != about["aggregates_sha256"]:
+            raise ValueError("SOURCE_HASH_MISMATCH")
+        source = {k: about[k] for k in ("run_id", "data_asof", "sources", "aggregates_sha256")}
+        return self.publish(version or about["run_id"], read_tsv(self.spark, at), source)
+
     def _publish(self, version: str, rows: DataFrame, source: dict | None, fail_before_activation: bool) -> dict:
         at = f"{self.root}/version={version}"
         existing = self.files.exists(f"{at}/_SUCCESS")

@@ -263,3 +263,85 @@ def test_command_line(spark, tmp_path, family, capsys, monkeypatch):
     cli.main(["summary", "--aggregates", str(tmp_path / "tsv")])
     assert json.loads(capsys.readouterr().out)["comparison_years"] == [2025, 2026]
     assert SnapshotStore(spark, str(tmp_path / "store")).active()[0]["represented_registration_rows"] == 4
+
+
+def test_runs_are_kept_and_only_good_ones_published(spark, tmp_path, store, monkeypatch):
+    source(tmp_path / "raw/cars_2026.parquet", rows_of_2026())
+    made = store.build([2026])[2026]
+    one, two = (store.run_warehouse([2026], str(tmp_path / "runs")) for _ in range(2))
+    assert one["passed"] and one["run_id"] != two["run_id"] and one["path"].endswith(one["run_id"])
+    kept = store.files.read_json(f"{one['path']}/run.json")
+    assert kept["status"] == "passed" and kept["sources"]["2026"]["rows"] == 4 and kept["checks"]["ods_count"] == 4
+    snapshots = SnapshotStore(spark, str(tmp_path / "store"))
+    published = snapshots.publish_run(one["path"])
+    assert published["version"] == one["run_id"] and published["source"]["sources"]["2026"]["source_sha256"] == made["source_sha256"]
+    part = next((tmp_path / "runs" / two["run_id"] / "aggregates").glob("part-*"))
+    part.with_name(f".{part.name}.crc").unlink()  # the local file system's own check would refuse to read it
+    part.write_text(part.read_text().replace("BYD", "BYE"))
+    with pytest.raises(ValueError, match="SOURCE_HASH_MISMATCH"):
+        snapshots.publish_run(two["path"])
+    store.files.write_json(f"{two['path']}/run.json", kept | {"status": "failed"})
+    with pytest.raises(ValueError, match="UPSTREAM_NOT_PASSED"):
+        snapshots.publish_run(two["path"])
+    assert snapshots.active()[0]["version"] == one["run_id"]
+    victim = tmp_path / "curated" / made["files"][0]["path"]
+    victim.with_name(f".{victim.name}.crc").unlink()
+    good = victim.read_text()
+    victim.write_text(good.replace("BYD", "BYE"))  # the counts still agree with one another
+    with pytest.raises(ValueError, match="fingerprint"):
+        store.run_warehouse([2026])
+    victim.write_text(good)
+    assert store.run_warehouse([2026])["passed"]
+    (tmp_path / "artifacts/year_2026_manifest.json").unlink()
+    with pytest.raises(ValueError, match="fingerprint"):
+        store.run_warehouse([2026])
+
+
+def test_hashes_come_from_executors_or_the_driver(tmp_path, store, monkeypatch):
+    import hashlib
+
+    from tallyforge.sources import files
+
+    paths = []
+    for i in range(5):
+        (tmp_path / f"f {i}.txt").write_bytes(b"x" * i * 1000)
+        paths.append(str(tmp_path / f"f {i}.txt"))
+    want = {p: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in paths}
+    assert store.files.hashes(paths) == want and store.files.hashes([]) == {}
+    monkeypatch.setattr(files, "WHOLE", 2000)
+    assert store.files.hashes(paths) == want
+
+
+def test_months_in_several_files(spark, tmp_path, store, monkeypatch):
+    from tallyforge.sources import registrations
+
+    monkeypatch.setattr(registrations, "FILE_ROWS", 2)
+    source(tmp_path / "raw/cars_2026.parquet", [GOOD | {"model": f"m{i}"} for i in range(60)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else partitions as small as these are taken together
+    try:
+        made = store.build([2026])[2026]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(made["files"]) > 1 and sum(f["rows"] for f in made["files"]) == 60
+    assert store.check([2026])["status"] == "passed" and store.run_warehouse([2026])["passed"]
+    store.write_layers(str(tmp_path / "layers"))
+    assert spark.read.orc(str(tmp_path / "layers/dwd")).count() == 60
+
+
+def test_eval_and_verify_commands(spark, tmp_path, family, capsys, monkeypatch):
+    from tallyforge import __main__ as cli
+
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    SnapshotStore(spark, str(tmp_path / "store")).publish("v1", family)
+    cli.main(["verify", "--store", str(tmp_path / "store")])
+    assert json.loads(capsys.readouterr().out) == {"version": "v1", "compared": 9}
+    (tmp_path / "cases.json").write_text(json.dumps({"cases": [{"id": "a", "q": "2025年TIV总量", "expect_hitl": False, "template_id": "brand_rank", "metric": "tiv"}, {"id": "b", "q": "2030年TIV", "expect_hitl": True}]}))
+    command = ["eval", "--mart", str(tmp_path / "mart"), "--questions", str(tmp_path / "cases.json")]
+    cli.main(command)
+    saved = capsys.readouterr().out
+    assert json.loads(saved)["summary"]["hitl_rate"] == 0.5
+    (tmp_path / "saved.json").write_text(saved)
+    cli.main([*command, "--check", str(tmp_path / "saved.json")])
+    (tmp_path / "saved.json").write_text(saved.replace("0.5", "0.25"))
+    with pytest.raises(SystemExit):
+        cli.main([*command, "--check", str(tmp_path / "saved.json")])
