@@ -12,6 +12,7 @@ import itertools
 import json
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -112,8 +113,9 @@ def examples() -> list[tuple[str, str]]:
     return out + [(s, UNKNOWN) for s in OTHERS for _ in range(4)]
 
 
+@lru_cache(maxsize=2)
 def train(penalty: float = 2e-4, steps: int = 1500) -> Model:
-    """Proximal gradient descent with an L1 penalty; every fifth example is held out for the temperature."""
+    """Proximal gradient descent with an L1 penalty; every fifth example is held out for the temperature. Fitted once a process."""
     cues, data = set(CUES) | {p + ANY for p in _PARTS}, examples()
     families = [*NAMES, UNKNOWN]
     held, rest = data[::5], [x for i, x in enumerate(data) if i % 5]
