@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier with a calibrated unknown class, confirmed against templates.
 
 A sparse multinomial logistic regression over word n-grams (1 to 3) is fitted on the driver from the sentences below; it
-is a few hundred weights, whatever the input. Scanning is one projection of DataFrame functions over the texts: no
+is a few hundred weights, whatever the input. Its unknown class is calibrated on names and families that a fit has not
+seen (calibrate()). Scanning is one projection of DataFrame functions over the texts: no
 shuffle, no Python on the executors. Only n-grams with a cue word carry weights, so a paragraph without any is unknown by
 the bias alone, and a search for cue words decides which paragraphs need scores.
 """
@@ -19,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Least probability of a family, and what confirms it: the share of a template's words that the line and the
-#: words around it have, or that a bare name has in common with all words of either.
-LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.6
+#: Least probability of a family, and what confirms it: the share of a notice's words that the line and the words around
+#: it have, the share of a name and a word that grants within REACH words of each other, or what a bare name has in
+#: common with all words of the line.
+LEAST_PROBABILITY, LEAST_OVERLAP, REACH = 0.5, 0.6, 5
 
 # Names and notices of licence families, as their publishers word them.
 NAMES = {
@@ -65,6 +67,17 @@ OTHERS = [
     "Er kam mit dem Zug.", "mit der Zeit und mit den Jahren", "sich mit einem Freund treffen", "und mit ihm", "die Frau mit dem Hund", "nicht mit mir", "mit und ohne", "Wir fahren mit",
     "MIT and BSD were named in the talk", "an apache tribe", "gpl mpl isc and other short words", "le isc et le mpl",
 ]
+# Names of licences outside the families, as their publishers word them. They are unknown to the model.
+OUTSIDE = [
+    "Academic Free License version 3.0", "Artistic License 2.0", "Artistic-2.0", "Boost Software License 1.0", "BSL-1.0",
+    "CC BY-NC-ND 4.0", "CC BY-NC-SA 4.0", "CC BY-ND 4.0", "CeCILL Free Software License", "Common Development and Distribution License",
+    "CDDL-1.0", "Common Public License Version 1.0", "Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Eclipse Public License", "EPL-2.0",
+    "European Union Public Licence", "EUPL-1.2", "GNU Free Documentation License", "GFDL-1.3", "Microsoft Public License", "MS-PL",
+    "NASA Open Source Agreement", "Open Data Commons Open Database License", "Open Software License 3.0", "PostgreSQL License",
+    "Python Software Foundation License", "Server Side Public License", "SIL Open Font License, Version 1.1", "OFL-1.1",
+    "University of Illinois Open Source License", "W3C Software Notice and License", "Zope Public License", "zlib License", "Zlib",
+]
 CUES = (
     "license licensed licenses licensing licence licenced licences copyright spdx-license-identifier spdx mit expat apache apache-2.0 gpl gplv2 gplv3 gpl-2.0 gpl-3.0 gpl-2.0-or-later gpl-3.0-or-later "
     "lgpl lgplv3 lgpl-2.1 lgpl-3.0 agpl agplv3 agpl-3.0 gnu affero bsd bsd-2-clause bsd-3-clause mozilla mpl mpl-2.0 isc creative commons cc cc0 cc0-1.0 cc-by-4.0 cc-by-nc-4.0 cc-by-sa-4.0 "
@@ -100,6 +113,7 @@ class Model:
     weights: dict[str, list[float]]
     bias: list[float]
     temperature: float
+    held_out: dict[str, float]  # figures of calibrate()
 
     def probabilities(self, text: str) -> np.ndarray:
         logits = np.array(self.bias) + sum((np.array(self.weights[g]) for g in grams(tokens(text)) if g in self.weights), np.zeros(len(self.bias)))
@@ -107,65 +121,130 @@ class Model:
         return e / e.sum()
 
 
-def examples() -> list[tuple[str, str]]:
-    out = [(c.format(n), f) for f, names in NAMES.items() for n, c in itertools.product(names, CARRIERS)]
-    out += [(n, f) for f, notices in NOTICES.items() for n in notices for _ in range(4)]
-    return out + [(s, UNKNOWN) for s in OTHERS for _ in range(4)]
+def examples() -> list[tuple[str, str, str, str]]:
+    """(text, family, name, sentence around it): what to learn from."""
+    out = [(c.format(n), f, n, c) for f, names in [*NAMES.items(), (UNKNOWN, OUTSIDE)] for n, c in itertools.product(names, CARRIERS)]
+    out += [(n, f, n, "") for f, notices in NOTICES.items() for n in notices for _ in range(4)]
+    return out + [(s, UNKNOWN, s, "") for s in OTHERS for _ in range(4)]
 
 
-@lru_cache(maxsize=2)
-def train(penalty: float = 2e-4, steps: int = 1500) -> Model:
-    """Proximal gradient descent with an L1 penalty; every fifth example is held out for the temperature. Fitted once a process."""
-    cues, data = set(CUES) | {p + ANY for p in _PARTS}, examples()
-    families = [*NAMES, UNKNOWN]
-    held, rest = data[::5], [x for i, x in enumerate(data) if i % 5]
-    sets = [grams(tokens(t)) for t, _ in rest]
-    vocabulary = sorted(g for g in set().union(*sets) if cues & set(g.split(" ")))
+def _features(bags: list[set[str]], vocabulary: list[str]) -> list[np.ndarray]:
+    """Of every bag the places of its n-grams in the vocabulary, and of the bias behind them."""
     index = {g: i for i, g in enumerate(vocabulary)}
+    return [np.array([*sorted(index[g] for g in bag if g in index), len(vocabulary)]) for bag in bags]
+
+
+def _logits(rows: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(w[np.concatenate(rows)], np.cumsum([0, *map(len, rows[:-1])]))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _fit(rows: list[np.ndarray], y: np.ndarray, size: int, penalty: float, steps: int) -> np.ndarray:
+    """Weights, the bias last, by accelerated proximal gradient descent; all but the bias carry an L1 penalty."""
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.argsort(flat, kind="stable")
+    present, first = np.unique(flat[order], return_index=True)
+    w = ahead = direction = np.zeros((size + 1, y.shape[1]))
+
+    def back(error: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(w)
+        out[present] = np.add.reduceat(error[owner[order]], first)
+        return out
+
+    direction = direction + np.linspace(1, 2, y.shape[1])
+    for _ in range(20):  # power iteration for the step that is always safe
+        direction = back(_logits(rows, direction))
+        norm = np.linalg.norm(direction)
+        direction = direction / norm
+    rate = 2 * len(rows) / norm
+    for k in range(steps):
+        new = ahead - rate / len(rows) * back(_softmax(_logits(rows, ahead)) - y)
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * penalty, 0)
+        w, ahead = new, new + k / (k + 3) * (new - w)
+    return w
+
+
+def calibrate(rows: list[np.ndarray], data: list[tuple[str, str, str, str]], size: int, penalty: float, steps: int, folds: int = 4) -> tuple[float, float, dict[str, float]]:
+    """Temperature and offset of the unknown class with the least log loss on what a fit has not seen.
 
-    def matrix(bags: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(bags), len(vocabulary)))
-        for i, bag in enumerate(bags):
-            x[i, [index[g] for g in bag if g in index]] = 1
-        return x
-
-    x, y = matrix(sets), np.eye(len(families))[[families.index(f) for _, f in rest]]
-    w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
-    rate = 4 * len(x) / (np.linalg.norm(x, 2) ** 2 + len(x))
-    for _ in range(steps):
-        z = x @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        error = (p / p.sum(axis=1, keepdims=True) - y) / len(x)
-        w -= rate * (x.T @ error)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
-        b -= rate * error.sum(axis=0)
-    b[-1] = max(b[-1], b[:-1].max() + 1.5)  # no cue, no family
-    z = matrix([grams(tokens(t)) for t, _ in held]) @ w + b
-    truth = [families.index(f) for _, f in held]
-
-    def loss(t: float) -> float:
-        s = z / t - (z / t).max(axis=1, keepdims=True)
-        return float(-(s[np.arange(len(z)), truth] - np.log(np.exp(s).sum(axis=1))).mean())
-
-    best = min((0.25 * k for k in range(1, 17)), key=loss)
-    kept = {g: [round(float(v), 6) for v in w[i]] for g, i in index.items() if np.abs(w[i]).max() > 1e-3}
-    return Model(families, kept, [round(float(v), 6) for v in b], best)
-
-
-def templates() -> dict[str, list[list[str]]]:
-    """Distinct words of what each family's paragraphs are compared with. A name alone is no notice: it is joined with a
-    word that grants, as short names are words of other languages too."""
+    Each fold fits without a quarter of the families, and without a quarter of the names and of the sentences around
+    names. The families left out are unknown to it; so are the names left out of those outside all families. A family's
+    texts are held out with their sentence or with their name. Known and unknown texts weigh alike. The third value
+    gives the shares of held-out texts that are judged right: known texts by what was left out, and unknown ones.
+    """
+    families = [*NAMES, UNKNOWN]
+    turn: dict[str, int] = {}
+    for family in families:
+        turn |= {n: (i + families.index(family)) % folds for i, n in enumerate(dict.fromkeys(n for _, f, n, _ in data if f == family))}
+    place = {c: i % folds for i, c in enumerate(CARRIERS)}
+    held, logits = [], []
+    for fold in range(folds):
+        absent = set(families[:-1][fold::folds])
+        kind = ["unknown" if f in absent or f == UNKNOWN and turn[n] == fold else "" if f == UNKNOWN else "name" if turn[n] == fold else "sentence" if place.get(c) == fold else "" for _, f, n, c in data]
+        seen, out = [i for i, k in enumerate(kind) if not k], [i for i, k in enumerate(kind) if k]
+        w = _fit([rows[i] for i in seen], np.eye(len(families))[[families.index(data[i][1]) for i in seen]], size, penalty, steps)
+        z = _logits([rows[i] for i in out], w)
+        z[:, [families.index(f) for f in absent]] = -1e9
+        logits.append(z)
+        held += [(kind[i], families.index(UNKNOWN if kind[i] == "unknown" else data[i][1])) for i in out]
+    z, kinds, t = np.vstack(logits), np.array([k for k, _ in held]), np.array([f for _, f in held])
+    unknown = kinds == "unknown"
+    weight = np.where(unknown, 0.5 / unknown.sum(), 0.5 / (~unknown).sum())
+
+    def chance(temperature: float, offset: float) -> np.ndarray:
+        moved = z.copy()
+        moved[:, -1] += offset
+        return _softmax(moved / temperature)
+
+    def loss(pair: tuple[float, float]) -> float:
+        return float(-(weight * np.log(np.maximum(chance(*pair)[np.arange(len(z)), t], 1e-300))).sum())
+
+    temperature, offset = min(itertools.product((0.25 * k for k in range(1, 17)), (0.25 * k for k in range(-8, 25))), key=loss)
+    p = chance(temperature, offset)
+    named = np.where(p.max(axis=1) >= LEAST_PROBABILITY, p.argmax(axis=1), len(families) - 1)
+    return temperature, offset, {k: float((named == t)[kinds == k].mean()) for k in ("name", "sentence", "unknown")}
+
+
+@lru_cache(maxsize=2)
+def train(penalty: float = 2e-4, steps: int = 200) -> Model:
+    """Fitted on all examples, with the temperature and the offset of the unknown class from calibrate(). Once a process."""
+    cues, data, families = set(CUES) | {p + ANY for p in _PARTS}, examples(), [*NAMES, UNKNOWN]
+    bags = [grams(tokens(t)) for t, _, _, _ in data]
+    vocabulary = sorted(g for g in set().union(*bags) if cues & set(g.split(" ")))
+    rows = _features(bags, vocabulary)
+    w = _fit(rows, np.eye(len(families))[[families.index(f) for _, f, _, _ in data]], len(vocabulary), penalty, steps)
+    temperature, offset, figures = calibrate(rows, data, len(vocabulary), penalty, steps)
+    w[-1, -1] += offset
+    kept = {g: [round(float(v), 6) for v in w[i]] for i, g in enumerate(vocabulary) if np.abs(w[i]).max() > 1e-3}
+    return Model(families, kept, [round(float(v), 6) for v in w[-1]], temperature, figures)
+
+
+def named_grants() -> dict[str, list[list[str]]]:
+    """Distinct words of each family's names. A name alone is no notice: it is joined with a word that grants, as short
+    names are words of other languages too."""
     grants = ("license", "licence", "licensed", "under", "spdx-license-identifier")
     out: dict[str, list[list[str]]] = {}
     for family, names in NAMES.items():
         words = [set(tokens(n)) for n in names]
         whole = [w for w in words if w & {"license", "licence", "dedication"}]
         out[family] = [sorted(w) for w in whole] + [sorted(w | {g}) for w in words if w not in whole for g in grants]
-    for family, notices in NOTICES.items():
-        out[family] += [sorted(set(tokens(n))) for n in notices]
     return out
 
 
+def keys() -> dict[str, list[str]]:
+    """Words that only names of licences have: names are looked for around them."""
+    common = {c for c in CUES if c.startswith("licen")}
+    return {f: sorted({w for n in names for w in tokens(n)} & ({*CUES, *(p + ANY for p in _PARTS)} - common)) for f, names in NAMES.items()}
+
+
+def notices() -> dict[str, list[list[str]]]:
+    return {f: [sorted(set(tokens(n))) for n in NOTICES.get(f, [])] for f in NAMES}
+
+
 def bare_names() -> dict[str, list[list[str]]]:
     return {f: [sorted(set(tokens(n))) for n in names] for f, names in NAMES.items()}
 
@@ -232,8 +311,9 @@ def _cue_lines(text: Column) -> Column:
 def found_licences(text: Column, model: Model) -> Column:
     """Lines with a cue, in their paragraphs: array of (paragraph, line, family, probability, overlap, confirmed)."""
     weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
-    forms = F.from_json(F.lit(json.dumps(templates() | {UNKNOWN: []})), "map<string,array<array<string>>>")
-    bare = F.from_json(F.lit(json.dumps(bare_names() | {UNKNOWN: []})), "map<string,array<array<string>>>")
+    known = lambda x: F.from_json(F.lit(json.dumps(x | {UNKNOWN: []})), "map<string,array<array<string>>>")
+    forms, named, bare = known(notices()), known(named_grants()), known(bare_names())
+    key = F.from_json(F.lit(json.dumps(keys() | {UNKNOWN: []})), "map<string,array<string>>")
     families, bias = F.array(*[F.lit(f) for f in model.families]), F.array(*[F.lit(float(b)) for b in model.bias])
     near = lambda x, k: F.concat(_last(x["before"], k), x["words"], F.slice(x["after"], 1, k))
     cut = F.transform(
@@ -244,7 +324,7 @@ def found_licences(text: Column, model: Model) -> Column:
             x["words"].alias("words"),
             near(x, 1).alias("by_one"),
             near(x, 2).alias("by_two"),
-            F.array_distinct(F.concat(x["before"], x["words"], x["after"])).alias("near"),
+            F.concat(x["before"], x["words"], x["after"]).alias("near"),
         ),
     )
     scored = F.transform(
@@ -264,7 +344,7 @@ def found_licences(text: Column, model: Model) -> Column:
             ).alias("e"),
         ),
     )
-    named = F.transform(
+    judged = F.transform(
         scored,
         lambda x: F.struct(
             x["paragraph"].alias("paragraph"),
@@ -275,15 +355,26 @@ def found_licences(text: Column, model: Model) -> Column:
             (F.array_max(x["e"]) / F.aggregate(x["e"], F.lit(0.0), lambda a, b: a + b)).alias("probability"),
         ),
     )
+
+    def granted(x: Column) -> Column:
+        """The largest share of a name and its grant that stands within REACH words of a key of the family."""
+        around = lambda i: F.slice(x["near"], F.greatest(i + (1 - REACH), F.lit(1)), 2 * REACH + 1)
+        share = lambda i: F.array_max(F.transform(F.element_at(named, x["family"]), lambda t: F.size(F.array_intersect(t, around(i))) / F.size(t)))
+        return F.array_max(F.transform(x["near"], lambda w, i: F.when(F.array_contains(F.element_at(key, x["family"]), w), share(i))))
+
+    def noticed(x: Column) -> Column:
+        return F.array_max(F.transform(F.element_at(forms, x["family"]), lambda t: F.size(F.array_intersect(t, x["near"])) / F.size(t)))
+
     compared = F.transform(
-        named,
+        judged,
         lambda x: F.struct(
             x["paragraph"].alias("paragraph"),
             x["line"].alias("line"),
             F.when(x["probability"] >= LEAST_PROBABILITY, x["family"]).otherwise(UNKNOWN).alias("family"),
             x["probability"].alias("probability"),
             F.greatest(
-                F.array_max(F.transform(F.element_at(forms, x["family"]), lambda t: F.size(F.array_intersect(t, x["near"])) / F.size(t))),
+                noticed(x),
+                granted(x),
                 F.array_max(F.transform(F.element_at(bare, x["family"]), lambda t: F.size(F.array_intersect(t, x["words"])) / F.size(F.array_union(t, x["words"])))),
                 F.lit(0.0),
             ).alias("overlap"),
@@ -296,8 +387,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with `licences`: for every line that has a cue word its family, probability, overlap and confirmed.
 
     A line is judged within its paragraph, which blank lines end: n-grams run over its ends, and templates are compared
-    with the words around it too. paragraph counts the text's paragraphs from 0, line the paragraph's lines. Null and empty texts have none. A column of that name is replaced; other columns, nulls and
-    repeated rows are left alone; no rows give no rows.
+    with the words around it too. paragraph counts the text's paragraphs from 0, line the paragraph's lines. Null and
+    empty texts have none. A column of that name is replaced; other columns, nulls and repeated rows are left alone; no
+    rows give no rows.
     """
     model = model or train()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -462,11 +462,49 @@ def test_license_scan_knows_spdx_identifiers(docs):
     assert [(f, t, got[i]) for i, (f, t) in enumerate(lines) if got[i] != f] == []
 
 
+def test_license_model_is_calibrated_on_what_a_fit_has_not_seen(docs):
+    model = license_scan.train()
+    assert model.held_out["sentence"] >= 0.99 and model.held_out["unknown"] >= 0.95 and model.held_out["name"] >= 0.35
+    empty = model.probabilities("no cue in here")
+    assert model.families[empty.argmax()] == "unknown" and empty.max() >= license_scan.LEAST_PROBABILITY
+    learned = {n for _, f, n, _ in license_scan.examples()}
+    strangers = [
+        "Sleepycat License", "Q Public License", "OpenLDAP Public License", "Ruby License", "Acme Commercial License 2.0", "Intel Open Source License", "Nokia Open Source License", "Sun Public License v1.0",
+        "Apple Public Source License 2.0", "IBM Public License Version 1.0", "Lucent Public License Version 1.02", "RealNetworks Public Source License", "Vovida Software License v1.0", "Unicode License", "Mulan Permissive Software License",
+    ]
+    assert not learned & set(strangers)
+    lines = [c.format(n) for n in strangers for c in ("Released under the {}.", "This file is covered by the {}.", "{}")]
+    got = license_scan.per_document(license_scan.scan(docs(list(enumerate(lines))))).collect()
+    assert [lines[r["doc_id"]] for r in got if r["best_family"] != "unknown"] == []
+
+
+def test_license_scan_of_headers_that_it_has_not_learned(docs):
+    """Headers as projects write them, wrapped and behind comment signs: precision 1 and recall of at least 0.95."""
+    labelled = [
+        ("Apache", "/*\n * Licensed to the Foundation under one or more contributor license agreements.\n * Licensed under the Apache License, Version 2.0 (the\n * \"License\"); you may not use this file except in compliance\n * with the License.\n */"),
+        ("Apache", "# Licensed under the Apache License, Version\n# 2.0; see the file LICENSE."), ("Apache", "The code is available under Apache-2.0."), ("Apache", "// SPDX-License-Identifier: Apache-2.0\n\npackage main"),
+        ("MIT", "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files (the Software), to deal in it"), ("MIT", "This gem is available as open source under the terms of\nthe MIT License."),
+        ("MIT", "## License\n\nMIT License, see LICENSE.txt"), ("MIT", "License: MIT\nVersion: 1.2"), ("MIT", "Use of this source code is governed by an MIT license\nthat can be found in the LICENSE file."),
+        ("BSD", "// Use of this source code is governed by a BSD-3-Clause\n// license that can be found in the LICENSE file."), ("BSD", "Distributed under the BSD 2-Clause License"), ("BSD", "* Redistribution and use in source and binary forms,\n* with or without modification, are permitted provided\n* that the following conditions are met:"),
+        ("GPL", "This program is free software; you can redistribute it\nand/or modify it under the terms of the GNU General Public\nLicense as published by the Free Software Foundation; either\nversion 2 of the License"), ("GPL", "License: GPLv3"), ("GPL", "# SPDX-License-Identifier: GPL-2.0-only"), ("GPL", "It is distributed under the GNU GPL, version 3"),
+        ("LGPL", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation"), ("LGPL", "Licensed under LGPL-2.1-or-later"), ("AGPL", "it under the terms of the GNU Affero General Public\nLicense as published by the Free Software Foundation"), ("AGPL", "The server is licensed under AGPLv3."),
+        ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of it was not distributed with this file"), ("MPL", "Licensed under the MPL 2.0."), ("ISC", "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted, provided that"), ("ISC", "ISC License\n\nCopyright (c) 2019"),
+        ("CC-BY", "Text is available under the Creative Commons Attribution 4.0\nInternational License."), ("CC-BY-SA", "The photo is licensed under CC BY-SA 3.0."), ("CC-BY-NC", "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."), ("CC0", "To the extent possible under law, the author has waived\nall copyright and related rights to this work."), ("CC0", "The data is released under CC0 1.0."),
+        ("unknown", "All rights reserved. Copyright 2011 Example GmbH"), ("unknown", "The licence fee rose by three pounds."), ("unknown", "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0"), ("unknown", "He took the Apache trail to the village."), ("unknown", "Mozilla and its partners met on Monday."),
+        ("unknown", "Er kam mit einer Lizenz."), ("unknown", "Distributed under the Boost Software License, Version 1.0."), ("unknown", "This software is provided as is, without any express or implied warranty."), ("unknown", "Your permission is needed for redistribution of the report."), ("unknown", "She studied at MIT and joined the bar after she was licensed."),
+    ]
+    got = {r["doc_id"]: r["best_family"] for r in license_scan.per_document(license_scan.scan(docs([(i, t) for i, (_, t) in enumerate(labelled)]))).collect()}
+    named = [(f, got[i], t) for i, (f, t) in enumerate(labelled) if got[i] != "unknown"]
+    assert [x for x in named if x[0] != x[1]] == []
+    assert sum(f != "unknown" for f, _ in labelled) * 0.95 <= len(named), [(f, t) for i, (f, t) in enumerate(labelled) if f != got[i]]
+
+
 def test_license_model_matches_its_columns(docs):
     model = license_scan.train()
-    wrong = [(t, f) for t, f in set(license_scan.examples()) if model.families[model.probabilities(t).argmax()] != f]
-    assert len(wrong) <= 0.02 * len(set(license_scan.examples()))
-    lines = sorted({t for t, _ in license_scan.examples()})[:120]
+    known = {(t, f) for t, f, _, _ in license_scan.examples()}
+    wrong = [(t, f) for t, f in known if model.families[model.probabilities(t).argmax()] != f]
+    assert len(wrong) <= 0.02 * len(known)
+    lines = sorted({t for t, _ in known})[:120]
     got = license_scan.scan(docs(list(enumerate(lines))), model).collect()
     for r in got:
         for x in r["licences"]:
