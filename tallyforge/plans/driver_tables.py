@@ -104,6 +104,9 @@ UNION ALL SELECT 'state', state, 'ALL', COUNT(*) FROM reg GROUP BY state
 UNION ALL SELECT 'month_maker', ym, maker, COUNT(*) FROM reg GROUP BY ym, maker
 UNION ALL SELECT 'month_fuel', ym, fuel, COUNT(*) FROM reg GROUP BY ym, fuel"""
 
+#: The families of all registrations as a named table, for SQL that goes on from there.
+FAMILIES_SQL = f"{_REG}, families AS ({_FAMILIES})"
+
 
 def _sum(column: str) -> str:
     return f"CAST(SUM({column}) AS BIGINT)"

@@ -28,7 +28,7 @@ def strict_json(text: str):
 def run_query(store: SnapshotStore, name: str, given: dict) -> dict:
     found = store.active()
     if found is None:
-        raise serving.QueryError("NO_ACTIVE_DATASET", "尚未导入已验证的快照", status=503)
+        raise serving.QueryError("NO_ACTIVE_DATASET", "no snapshot has been published", status=503)
     described, rows = found
     known = serving.catalog(rows)
     checked = serving.prepare(name, given, known)
@@ -62,15 +62,15 @@ def server(store: SnapshotStore, port: int = 0) -> ThreadingHTTPServer:
         def body(self):
             size = int(self.headers.get("Content-Length") or 0)
             if size > MOST_BYTES:
-                raise serving.QueryError("BODY_TOO_LARGE", "请求过大", status=413)
+                raise serving.QueryError("BODY_TOO_LARGE", "the body is too large", status=413)
             if self.headers.get_content_type() != "application/json":
-                raise serving.QueryError("INVALID_CONTENT_TYPE", "需要application/json", status=415)
+                raise serving.QueryError("INVALID_CONTENT_TYPE", "application/json is expected", status=415)
             try:
                 value = strict_json(self.rfile.read(size).decode())
             except ValueError:
-                raise serving.QueryError("INVALID_JSON", "JSON无效", status=400) from None
+                raise serving.QueryError("INVALID_JSON", "not valid JSON", status=400) from None
             if not isinstance(value, dict):
-                raise serving.QueryError("INVALID_JSON", "需要JSON对象", status=400)
+                raise serving.QueryError("INVALID_JSON", "an object is expected", status=400)
             return value
 
         def do_GET(self):
@@ -79,7 +79,7 @@ def server(store: SnapshotStore, port: int = 0) -> ThreadingHTTPServer:
                     raise serving.QueryError("NOT_FOUND", self.path, status=404)
                 found = store.active()
                 if found is None:
-                    raise serving.QueryError("NO_ACTIVE_DATASET", "尚未导入已验证的快照", status=503)
+                    raise serving.QueryError("NO_ACTIVE_DATASET", "no snapshot has been published", status=503)
                 return serving.catalog(found[1]) | {"version": found[0]["version"], "metric_definition": serving.METRIC}
 
             self.guarded(work)

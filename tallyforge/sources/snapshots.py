@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import maker_key
@@ -23,18 +23,37 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", *KEYS, F.col("registrations").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
-def validated(rows: DataFrame) -> DataFrame:
-    """Rows with whole counts, or a ValueError with the first code that applies. All rules run as aggregates."""
+def write_table(rows: DataFrame, path: str) -> None:
+    """Any rows as tab-separated files, each with a header; values are quoted where they hold a tab or a line end."""
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def _of_month() -> Column:
+    kind = F.col("dimension")
+    return F.when(kind == "month", F.concat("key1", F.lit("-"), "key2")).when(kind.startswith("month_"), F.col("key1"))
+
+
+def row_rules(rows: DataFrame) -> list[tuple[str, Column]]:
+    """Codes and what breaks them in a row, in the order in which they are reported. Rows as read_tsv() gives them."""
     label = lambda c: F.col(c).isNotNull() & (F.length(c) > 0) & (F.length(c) <= 128)
     kind = F.col("dimension")
-    of_month = F.when(kind == "month", F.concat("key1", F.lit("-"), "key2")).when(kind.startswith("month_"), F.col("key1"))
     cells = F.col("n_cells") if "n_cells" in rows.columns else F.lit(4)
-    count = F.col("registrations").cast("string")
-    rules = [
+    broken = [
         ("INVALID_SCHEMA", cells != 4), ("INVALID_DIMENSION", ~(kind.isin(*FAMILIES) & label("key1") & label("key2"))),
-        ("INVALID_COUNT", ~count.rlike("^[1-9][0-9]*$")), ("INVALID_MONTH", kind.startswith("month") & ~of_month.rlike(MONTH)),
+        ("INVALID_COUNT", ~F.col("registrations").cast("string").rlike("^[1-9][0-9]*$")), ("INVALID_MONTH", kind.startswith("month") & ~_of_month().rlike(MONTH)),
     ]
-    found = rows.agg(*[F.count_if(F.coalesce(bad, F.lit(True)) if code != "INVALID_MONTH" else F.coalesce(bad, F.lit(False))).alias(code) for code, bad in rules]).first()
+    return [(code, F.coalesce(bad, F.lit(code != "INVALID_MONTH"))) for code, bad in broken]
+
+
+def first_broken(rows: DataFrame) -> Column:
+    """The first code that a row breaks, null for a good row."""
+    return F.coalesce(*[F.when(bad, code) for code, bad in row_rules(rows)])
+
+
+def validated(rows: DataFrame) -> DataFrame:
+    """Rows with whole counts, or a ValueError with the first code that applies. All rules run as aggregates."""
+    rules, count, of_month = row_rules(rows), F.col("registrations").cast("string"), _of_month()
+    found = rows.agg(*[F.count_if(bad).alias(code) for code, bad in rules]).first()
     for code, _ in rules:
         if found[code]:
             raise ValueError(code)

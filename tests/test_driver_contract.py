@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from tallyforge.plans import driver_tables
+from tallyforge.plans import driver_rules, driver_tables
 
 DATA = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -28,10 +28,14 @@ def plain(rows):
     return sorted(repr(tuple(round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(driver_tables.QUERIES))
+REGISTERED = {**driver_tables.QUERIES, **driver_rules.QUERIES}
+SQL = {**driver_tables.ORACLE_SQL, **driver_rules.ORACLE_SQL}
+
+
+@pytest.mark.parametrize("name", list(REGISTERED))
 def test_query_equals_its_sql(name, spark, duck):
-    frame = driver_tables.QUERIES[name](spark, DATA)
-    result = duck.execute(driver_tables.ORACLE_SQL[name])
+    frame = REGISTERED[name](spark, DATA)
+    result = duck.execute(SQL[name])
     columns = sorted(c[0] for c in result.description)
     assert sorted(frame.columns) == columns
     order = [[c[0] for c in result.description].index(c) for c in columns]
