@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
+from .operators import retrieval
 from .operators.marginals import matched_period
 from .plans import ablation, evaluation, mart, service
 from .plans.ask import ask, draft_note
@@ -27,6 +28,7 @@ def _parser() -> argparse.ArgumentParser:
     question = commands.add_parser("ask")
     question.add_argument("question")
     question.add_argument("--mart", required=True)
+    question.add_argument("--docs", help="Markdown files whose sections can answer questions about definitions")
     question.add_argument("--draft", action="store_true", help="a note to be confirmed by a person")
     question.add_argument("--force", action="store_true", help="guess instead of stopping")
     for name in ("build", "check", "warehouse"):
@@ -77,7 +79,7 @@ def main(argv: list[str] | None = None) -> None:
             cases = Files(spark).read_json(args.questions)
             checked(evaluation.evaluate(spark, star, cases["cases"], cases.get("retrieval_cases", [])))
         else:
-            result = ask(spark, star, args.question, args.force)
+            result = ask(spark, star, args.question, args.force, retrieval.sections(spark, args.docs) if args.docs else None)
             show(draft_note(args.question, result) if args.draft else {k: v for k, v in result.items() if k != "frame"})
     elif args.command in ("build", "check", "warehouse"):
         store = RegistrationStore(spark, args.raw_dir, args.curated_dir, args.artifacts_dir, args.data_asof)

@@ -56,3 +56,16 @@ FOCUS = [
 STOP_WORDS = (
     "的 了 是 在 和 与 或 及 把 被 对 从 到 有 没有 请 问 什么 怎么 如何 哪 这个 那个 a an the of to for in on is are".split()
 )
+
+# The name of a document's opening, headings about layers, and further names of headings.
+PREAMBLE = "口径"
+LAYER_SECTIONS = ("分层", "血缘")
+SECTION_ALIASES = {
+    "口径": ["口径", "owner", "版本", "demo.metrics"],
+    "分层": ["分层", "数仓", "ods", "dwd", "ads", "血缘", "溯源", "几层"],
+    "血缘": ["分层", "数仓", "ods", "dwd", "ads", "血缘", "溯源", "几层"],
+    "tiv": ["tiv", "批发", "协会"],
+    "registration": ["上牌", "注册", "jpj"],
+    "share": ["份额", "市占"],
+    "national": ["国产"],
+}

@@ -1,4 +1,4 @@
-"""A loopback HTTP shell: GET /api/catalog, POST /api/query and POST /api/ask over the active snapshot."""
+"""A loopback HTTP shell: GET / (a page), GET /api/catalog, POST /api/query and POST /api/ask over the active snapshot."""
 
 from __future__ import annotations
 
@@ -9,6 +9,23 @@ from ..sources.snapshots import SnapshotStore
 from . import serving
 
 MOST_BYTES = 8192
+PAGE = """<!doctype html>
+<html lang="zh"><meta charset="utf-8"><title>Registrations</title>
+<form><input name="q" size="60" maxlength="240" placeholder="2026-01至2026-08 每月登记量"> <button>Ask</button></form>
+<p id="about"></p><table id="rows"></table>
+<script>
+const show = (id, text) => { document.getElementById(id).textContent = text };
+fetch("/api/catalog").then(r => r.json()).then(c => show("about", c.error ? c.error.code : c.metric_definition));
+document.forms[0].onsubmit = async e => {
+  e.preventDefault();
+  const sent = {method: "POST", headers: {"Content-Type": "application/json"}, body: JSON.stringify({question: e.target.q.value})};
+  const got = await (await fetch("/api/ask", sent)).json(), table = document.getElementById("rows");
+  show("rows", got.error ? got.error.code + ": " + got.error.message : "");
+  for (const row of got.error ? [] : [got.columns, ...got.rows.map(r => got.columns.map(c => r[c]))])
+    row.forEach((v, i, all) => { (i ? table.lastChild : table.insertRow()).insertCell().textContent = v });
+};
+</script></html>
+"""
 
 
 def strict_json(text: str):
@@ -41,10 +58,11 @@ def server(store: SnapshotStore, port: int = 0) -> ThreadingHTTPServer:
         def log_message(self, *_):
             return
 
-        def reply(self, status: int, body: dict) -> None:
-            data = json.dumps(body, ensure_ascii=False).encode()
+        def reply(self, status: int, body: dict | str) -> None:
+            page = isinstance(body, str)
+            data = (body if page else json.dumps(body, ensure_ascii=False)).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Type", f"{'text/html' if page else 'application/json'}; charset=utf-8")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
@@ -75,6 +93,8 @@ def server(store: SnapshotStore, port: int = 0) -> ThreadingHTTPServer:
 
         def do_GET(self):
             def work():
+                if self.path == "/":
+                    return PAGE
                 if self.path != "/api/catalog":
                     raise serving.QueryError("NOT_FOUND", self.path, status=404)
                 found = store.active()

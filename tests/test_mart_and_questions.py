@@ -100,6 +100,17 @@ def test_lineage_walks(spark):
     assert lineage.walk(spark, ["no.such"])["nodes"] == []
 
 
+def test_sections_of_documents(spark, star, tmp_path):
+    (tmp_path / "metrics.md").write_text("# Metrics\nWho owns them.\n\n## share\nUnits of a brand\nover those of the market.\n\n## 分层\nods, dwd, ads\n\n##  \nno name\n## empty", encoding="utf-8")
+    (tmp_path / "none.md").write_text("", encoding="utf-8")
+    found = {r["id"]: r.asDict() for r in retrieval.sections(spark, str(tmp_path)).collect()}
+    assert set(found) == {"doc:口径", "doc:share", "doc:分层", "doc:empty"}
+    assert found["doc:口径"]["text"] == "# Metrics\nWho owns them." and found["doc:share"]["text"] == "Units of a brand\nover those of the market." and found["doc:empty"]["text"] == ""
+    assert found["doc:share"]["aliases"] == ["share", "份额", "市占"] and found["doc:分层"]["object"] == "doc.分层" and found["doc:empty"]["aliases"] == ["empty"]
+    hits = ask(spark, star, "share 份额的定义是什么", documents=retrieval.sections(spark, str(tmp_path)))["retrieve"]
+    assert hits[0]["id"] == "doc:share" and any(h["kind"] == "metric" for h in hits)
+
+
 def test_guards_on_and_off(spark, star):
     cases = [{"id": str(i), "q": q, "expect_hitl": True} for i, q in enumerate(["2025谁卖得最好", "今年TIV排名"])] + [{"id": "x", "q": "2025全年TIV哪家第一", "expect_hitl": False, "template_id": "brand_rank", "metric": "tiv", "top_name": "Perodua"}]
     arms = ablation.guard_arms(spark, star, cases)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import marginals
 from tallyforge.plans import evaluation, service, serving
 from tallyforge.sources.registrations import COLUMNS, RegistrationStore, judged
-from tallyforge.sources.snapshots import SnapshotStore, read_tsv, validated, write_tsv
+from tallyforge.sources.snapshots import SnapshotStore, read_tsv, validated, write_table, write_tsv
 
 GOOD = dict(date_reg=dt.date(2026, 1, 5), type="jip", maker="BYD", model="x", colour=None, fuel="electric", state="Rakan Niaga")
 
@@ -227,6 +227,12 @@ def test_grammar():
         assert error.value.code == code
 
 
+def test_tables_with_headers(spark, tmp_path):
+    write_table(spark.createDataFrame([(1, "a\tb"), (2, "c")], "n int, t string"), str(tmp_path / "t"))
+    read = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t"))
+    assert read.columns == ["n", "t"] and sorted(map(tuple, read.collect())) == [("1", "a\tb"), ("2", "c")]
+
+
 def test_http(snapshots):
     server = service.server(snapshots)
     Thread(target=server.serve_forever, daemon=True).start()
@@ -240,6 +246,8 @@ def test_http(snapshots):
         except urllib.error.HTTPError as e:
             return e.code, json.load(e)
 
+    with urllib.request.urlopen(base + "/") as page:
+        assert page.headers.get_content_type() == "text/html" and "/api/ask" in page.read().decode()
     assert call("/api/catalog")[1]["available_months"] == ["2025-01", "2026-01", "2026-02"]
     assert call("/api/query", {"query_id": "maker_ranking", "parameters": {"start_month": "2026-01", "end_month": "2026-02", "limit": 1}})[1]["rows"] == [{"maker": "BYD", "registrations": 6}]
     assert call("/api/ask", {"question": "2026-01至2026-02 每月登记量"})[0] == 200
