@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, near_dedup, packing, piece_coding, sharding, substring_dedup, token_counts, vector_search
+from . import centroids, exact_dedup, language_id, license_scan, merkle, near_dedup, packing, piece_coding, sharding, substring_dedup, token_counts, vector_search
 from .common import spread, table
 
 
@@ -70,6 +70,17 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroids.quantised(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), 256, 64)
+    return centroids.with_inertia(*centroids.cluster(vectors, 40, 5, "2:"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.col("text").isNotNull()
+    changed = {"text": F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return merkle.manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], changed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -81,9 +92,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """Every round spelled out: a table of centroids, then a table of assignments."""
+    steps = [
+        "x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM x ORDER BY h, v LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT n.vec_id, n.v, b.j, b.d FROM (SELECT row_number() OVER () AS i, * FROM x) n,"
+            f" LATERAL (SELECT j, list_sum(list_transform(list_zip(n.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM c{r} c ORDER BY d, j LIMIT 1) b)"
+        )
+        if r < rounds:
+            steps.append(
+                f"m{r} AS (SELECT j, p, floor(sum(y) / count(*)) AS y FROM (SELECT j, unnest(v) AS y, unnest(range(1, 65)) AS p FROM a{r}) GROUP BY j, p)"
+            )
+            steps.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT j, list(y ORDER BY p) AS v FROM m{r} GROUP BY j) m USING (j))"
+            )
+    last = rounds
+    return (
+        "WITH " + ",\n".join(steps) + f"\nSELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,"
+        f" CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.v, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256"
+        f" FROM a{last} JOIN c{last} c USING (j)"
+    )
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": _clustering_sql(40, 5),
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE c AS (SELECT *, CAST(doc_id AS VARCHAR) AS k FROM documents),
+e AS (SELECT *, list_reduce(list_transform(range(0, 8 * len(k)), lambda j: (ascii(substr(k, j // 8 + 1, 1)) >> (j % 8)) & 1),
+  lambda a, b: xor(a >> 1, CASE WHEN xor(a & 1, b) = 1 THEN 3988292384 ELSE 0 END), 4294967295) % 2 = 1 AS tampered FROM c),
+f AS (SELECT *, coalesce(strlen(k) || ':' || k, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+  || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS other FROM e),
+t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '-') AS g,
+  sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS o FROM f),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM t),
+lv(g, level, i, n, h) AS (SELECT g, 0, i, n, leaf FROM p
+  UNION ALL SELECT g, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY g, level, i // 3, n),
+s AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv(g, level, i, n, h) AS (SELECT '', 0, i, n, h FROM s UNION ALL SELECT g, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tv WHERE n > 1 GROUP BY g, level, i // 3, n),
+x AS MATERIALIZED (SELECT a.g, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM lv a JOIN lv b ON a.g = b.g AND a.level = b.level AND a.i // 3 = b.i // 3 GROUP BY ALL),
+y AS MATERIALIZED (SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM tv a JOIN tv b ON a.level = b.level AND a.i // 3 = b.i // 3 GROUP BY ALL),
+u(rid, g, level, i, n, h, proof) AS (SELECT rid, g, 0, i, n, o, '' FROM p
+  UNION ALL SELECT rid, u.g, u.level + 1, u.i // 3, (n + 2) // 3, sha256(l || h || r), proof || l || r FROM u JOIN x ON u.g = x.g AND u.level = x.level AND u.i = x.i WHERE n > 1),
+v(rid, level, i, n, h, proof) AS (SELECT rid, 0, s.i, s.n, u.h, proof FROM u JOIN s USING (g) WHERE u.n = 1
+  UNION ALL SELECT rid, v.level + 1, v.i // 3, (n + 2) // 3, sha256(l || h || r), proof || l || r FROM v JOIN y ON v.level = y.level AND v.i = y.i WHERE n > 1)
+SELECT doc_id, leaf, s.h AS subroot, tv.h AS root, sha256(proof) AS proof_sha256, v.h AS folded_root, v.h = tv.h AS verified
+FROM v JOIN t USING (rid) JOIN s USING (g) CROSS JOIN tv WHERE v.n = 1 AND tv.n = 1
+""",
     "op2_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
