@@ -11,7 +11,7 @@ whatever the number of vectors.
 
 Defined results: vectors that are null, of another length, or hold null or non-finite components take no part; with fewer
 vectors than k there are as many centroids as vectors; rows that repeat an id are vectors of their own; a null id is hashed as
-if it were empty; a distance that a long can't hold is an error, not a wrong number. Further columns play no part.
+if it were empty; a distance or a sum of them that a long can't hold is an error, not a wrong number. Further columns play no part.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def first_centroids(vectors: DataFrame, k: int, salt: str) -> np.ndarray:
     """The k vectors with the least sha256 of salt and id, in that order; equal ids by their components."""
     key = F.sha2(F.concat(F.lit(salt), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
     rows = vectors.select("v", key.alias("key")).orderBy("key", "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), len(rows[0]["v"]) if rows else 0)
 
 
 def updated(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, exact_dedup, language_id, license_scan, merkle, near_dedup, packing, piece_coding, sharding, substring_dedup, token_counts, vector_search
+from . import centroids, exact_dedup, html_text, language_id, license_scan, merkle, near_dedup, packing, piece_coding, sharding, substring_dedup, token_counts, vector_search
 from .common import spread, table
 
 
@@ -81,6 +81,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], changed)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 
@@ -124,6 +129,13 @@ def _clustering_sql(k: int, rounds: int) -> str:
     )
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(h1|p)>|<br>', ' ', 'g'), '</?b>', '', 'g') AS t FROM a),
+e AS (SELECT page_id, url, list_reduce([['&lt;', '<'], ['&gt;', '>'], ['&quot;', '"'], ['&#x27;', chr(39)], ['&#39;', chr(39)], ['&amp;', '&']], lambda x, y: [replace(x[1], y[1], y[2])], [t])[1] AS t FROM b)
+SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp( |$)', '&\1', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS text,
+  CAST(length(text) AS BIGINT) AS n_chars FROM e
+""",
     "op11_centroid_clustering": _clustering_sql(40, 5),
     "op12_merkle_manifest": r"""
 WITH RECURSIVE c AS (SELECT *, CAST(doc_id AS VARCHAR) AS k FROM documents),
