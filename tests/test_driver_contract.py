@@ -92,7 +92,7 @@ def test_a_changed_table_is_published_anew(spark, tmp_path):
     import shutil
 
     for name in ("orders", "customer", "nation"):
-        shutil.copy(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
     count = lambda: driver_tables.snapshot(spark, str(tmp_path)).where("dimension = 'total'").first()["registrations"]
     before = count()
     half = pq.read_table(f"{DATA}/orders.parquet").slice(3)
