@@ -19,19 +19,22 @@ def edges(spark: SparkSession) -> DataFrame:
 
 
 def upstream(edge: DataFrame, focus: list[str]) -> DataFrame:
-    """(object_name, depth): everything that feeds the focus objects, themselves at depth 0. The graph has no cycles."""
+    """(object_name, depth): everything that feeds the focus objects, themselves at depth 0.
+
+    For the engine's own graph of a few objects without cycles, in one job; reach.upstream walks any graph.
+    """
     spark = edge.sparkSession
-    edge.createOrReplaceTempView("tallyforge_edges")
     return spark.sql(
         """
         WITH RECURSIVE up(object_name, depth) AS (
           SELECT explode(:focus), 0
           UNION ALL
-          SELECT e.src, up.depth + 1 FROM up JOIN tallyforge_edges e ON e.dst = up.object_name
+          SELECT e.src, up.depth + 1 FROM up JOIN {edges} e ON e.dst = up.object_name
         )
         SELECT object_name, min(depth) AS depth FROM up GROUP BY object_name
         """,
         args={"focus": F.array(*[F.lit(x) for x in focus])},
+        edges=edge,
     )
 
 

@@ -25,13 +25,14 @@ def tokens(text: Column) -> Column:
 def search(corpus: DataFrame, question: str, k: int = 5) -> DataFrame:
     """The k best chunks (id, object, kind, title, text, score), ties by id. corpus: id, object, kind, title, text, aliases.
 
-    Two points for each alias in the question, 1.5 for the title, and shared tokens over the root of the question's.
+    Two points for each alias in the question (an empty one names nothing), 1.5 for the title, and shared tokens over the
+    root of the question's.
     """
     question = (question or "").strip()
     low = F.lit(question.lower())
     asked = tokens(F.lit(question))
     own = tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
-    named = F.size(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.contains(low, F.lower(a)))) * 2.0
+    named = F.size(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: (a != "") & F.contains(low, F.lower(a)))) * 2.0
     titled = F.when((F.length("title") > 0) & F.contains(low, F.lower("title")), 1.5).otherwise(0.0)
     shared = F.coalesce(F.try_divide(F.size(F.array_intersect(asked, own)).cast("double"), F.sqrt(F.size(asked))), F.lit(0.0))
     scored = corpus.withColumn("score", F.round(named + titled + shared, 4)).where(F.lit(bool(question)) & (F.col("score") > 0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +47,31 @@ def published(spark: SparkSession, name: str, tables: list[str], make: Callable[
         try:
             store.rename(beside, at)
         except OSError:
+            store.remove_under(beside, folder(spark))
             if not store.exists(f"{at}/_SUCCESS"):
                 raise
     return spark.read.parquet(at)
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder's path for what one job leaves to the next; it is deleted at exit, or by discard()."""
+    at = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _written[at] = spark
+    return at
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df written once and read back: lineage ends here, and a lost executor costs a read."""
+    at = scratch(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def discard(path: str) -> None:
+    if (spark := _written.pop(path, None)) is not None:
+        Files(spark).remove_under(path, folder(spark))
+
+
 def _clean() -> None:
     for path, spark in _written.items():
         try:
