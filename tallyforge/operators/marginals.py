@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import maker_key, pct, two_digits, year_month
+from .identities import counted
 
 FINEST = ["registration_year", "registration_month", "maker", "fuel", "state"]
 #: A family's columns and how its two keys are named.
@@ -73,12 +74,8 @@ def quality_checks(ods: DataFrame, dwd: DataFrame) -> DataFrame:
         | (F.year("date_reg") != F.col("registration_year")) | (F.month("date_reg") != F.col("registration_month"))
     )
     wrong_identity = F.col("source_sha256").isNull() | ~F.col("source_sha256").rlike("^[0-9a-f]{64}$") | F.col("source_row").isNull() | (F.col("source_row") < 1)
-    counts = dwd.agg(
-        F.count(F.lit(1)).alias("dwd_count"),
-        F.countDistinct("source_sha256", "source_row").alias("distinct_lineage_count"),
-        F.count_if(wrong_partition).alias("invalid_partition_count"),
-        F.count_if(F.coalesce(wrong_identity, F.lit(True))).alias("invalid_lineage_count"),
-    )
+    wrong = {"invalid_partition_count": F.count_if(wrong_partition), "invalid_lineage_count": F.count_if(F.coalesce(wrong_identity, F.lit(True)))}
+    counts = counted(dwd, [F.col("source_sha256")], F.col("source_row"), wrong).withColumnsRenamed({"n": "dwd_count", "identities": "distinct_lineage_count"})
     both = counts.crossJoin(F.broadcast(ods.agg(F.count(F.lit(1)).alias("ods_count"))))  # one row each
     names = ["ods_count", "dwd_count", "distinct_lineage_count", "invalid_partition_count", "invalid_lineage_count"]
     return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias("value")) for n in names])).alias("x")).select("x.*")

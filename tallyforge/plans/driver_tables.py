@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import maker_key, year_month
-from ..operators import constraints, lineage, marginals, retrieval
+from ..operators import constraints, identities, lineage, marginals, retrieval
 from ..operators.apportion import apportion, carry_over
 from ..sources import registrations, shared, snapshots
 from . import ablation, serving
@@ -206,7 +206,7 @@ def dq_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("_metadata.row_index") + 1).alias("source_row"), F.col("_metadata.file_path").alias("f"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("f", "source_row").alias("identities"), F.min("source_row").alias("low"), F.max("source_row").alias("high"))
+    return identities.counted(rows, [F.col("f")], F.col("source_row"))
 
 
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

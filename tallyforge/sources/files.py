@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a file that a task takes whole; a longer one is streamed by the driver.
-WHOLE = 256 << 20
+#: Bytes that a file may have to be hashed: a task holds it whole.
+LONGEST = (1 << 31) - 1
 
 
 class Files:
@@ -41,25 +44,31 @@ class Files:
         fs.delete(p, True)
 
     def sha256(self, path: str) -> str:
-        fs, p = self._at(path)
-        stream = fs.open(p)
-        try:
-            return self.jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-        finally:
-            stream.close()
+        return self.hashes([path])[path]
 
     def hashes(self, paths: list[str]) -> dict[str, str]:
-        """SHA-256 of each file, by path: one task for a file, which streams it."""
+        """SHA-256 of each file, by path. Executors do it, a task for each file, which holds the file whole.
+
+        Curated files have at most FILE_ROWS rows; a source of two GiB or more is refused, its year has to be split.
+        """
         if not paths:
             return {}
-        read = self.spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-        fs_path = {self._at(x)[0].makeQualified(self._at(x)[1]).toString(): x for x in paths}
-        small = [q for q, x in fs_path.items() if self._at(x)[0].getFileStatus(self._at(x)[1]).getLen() < WHOLE]
+        wanted: dict[str, list[str]] = {}
         found = {}
-        if small:
-            rows = read.load(small).select("path", F.sha2("content", 256).alias("sha256")).collect()  # one short row for each file
-            found = {fs_path[self._at(r["path"])[0].makeQualified(self._at(r["path"])[1]).toString()]: r["sha256"] for r in rows}
-        return found | {x: self.sha256(x) for x in paths if x not in found}
+        for path in paths:
+            fs, p = self._at(path)
+            n = fs.getFileStatus(p).getLen()
+            if n > LONGEST:
+                raise ValueError(f"{path} has more than {LONGEST} bytes: split it")
+            if n == 0:  # which the reader leaves out
+                found[path] = hashlib.sha256().hexdigest()
+                continue
+            wanted.setdefault(fs.makeQualified(p).toString(), []).append(path)
+        rows = self.spark.read.format("binaryFile").load(list(wanted)).select("path", F.sha2("content", 256).alias("sha256")).collect() if wanted else []  # one short row for each file
+        for row in rows:
+            fs, p = self._at(row["path"])
+            found |= dict.fromkeys(wanted[fs.makeQualified(p).toString()], row["sha256"])
+        return found
 
     def listing(self, path: str) -> dict[str, int]:
         """Sizes of all files under path, by path relative to it; names that begin with _ or . are left out."""
@@ -97,21 +106,43 @@ class Files:
         over[0] = kind.OVERWRITE
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(fs.makeQualified(beside), fs.makeQualified(p), over)
 
-    @contextmanager
-    def locked(self, path: str) -> Iterator[None]:
-        """Holds a lock file, which only one process can create."""
+    def _create(self, path: str, value: dict) -> bool:
+        """Whether the file was created: only one process can."""
         fs, p = self._at(path)
         fs.mkdirs(p.getParent())
         try:
-            fs.create(p, False).close()
+            out = fs.create(p, False)
         except Exception as error:
             if "already exists" not in str(error).lower():
                 raise
-            raise RuntimeError(f"IMPORT_LOCKED: {path}") from None
+            return False
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        return True
+
+    @contextmanager
+    def locked(self, path: str, stale_after: float = 6 * 3600) -> Iterator[None]:
+        """Holds a lock file, which only one process can create. It names its owner and when it was taken.
+
+        A lock that is older than stale_after seconds was left by a driver that died: it is moved aside by a rename, which
+        again only one process can win, and taken over. Work under a lock has to be shorter than that.
+        """
+        owner = {"owner": uuid.uuid4().hex, "application": self.spark.sparkContext.applicationId, "at": time.time()}
+        if not self._create(path, owner):
+            fs, p = self._at(path)
+            try:
+                age = time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+            except Exception:  # it was released meanwhile
+                age = 0.0
+            if age <= stale_after or not fs.rename(p, self._at(f"{path}.stale-{owner['owner']}")[1]) or not self._create(path, owner):
+                raise RuntimeError(f"IMPORT_LOCKED: {path}")
+            fs.delete(self._at(f"{path}.stale-{owner['owner']}")[1], False)
         try:
             yield
         finally:
-            fs.delete(p, False)
+            if (self.read_json(path) or {}).get("owner") == owner["owner"]:
+                fs, p = self._at(path)
+                fs.delete(p, False)
 
     def read_json(self, path: str) -> dict | None:
         fs, p = self._at(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import maker_key
 from ..operators.marginals import FAMILIES, compare
+from . import evidence
 from .files import Files
 
 KEYS = ["dimension", "key1", "key2"]
@@ -101,11 +102,14 @@ class SnapshotStore:
         about = self.files.read_json(f"{run}/run.json")
         if about is None or about.get("status") != "passed" or not about.get("passed"):
             raise ValueError("UPSTREAM_NOT_PASSED")
+        proof = self.files.read_json(f"{run}/evidence.json")
+        if proof is None or not evidence.sound(proof) or self.files.sha256(f"{run}/evidence.json") != about.get("evidence_sha256"):
+            raise ValueError("NO_EVIDENCE_OF_SUCCESS")
         at = f"{run}/aggregates"
         hashes = {f.rsplit("/", 1)[-1]: h for f, h in self.files.hashes([f"{at}/{x}" for x in self.files.listing(at)]).items()}
         if hashes != about["aggregates_sha256"]:
             raise ValueError("SOURCE_HASH_MISMATCH")
-        source = {k: about[k] for k in ("run_id", "data_asof", "sources", "aggregates_sha256")}
+        source = {k: about[k] for k in ("run_id", "data_asof", "sources", "aggregates_sha256", "evidence")}
         return self.publish(version or about["run_id"], read_tsv(self.spark, at), source)
 
     def _publish(self, version: str, rows: DataFrame, source: dict | None, fail_before_activation: bool) -> dict:

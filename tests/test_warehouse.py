@@ -12,7 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import marginals
+from tallyforge.operators.identities import counted
 from tallyforge.plans import evaluation, service, serving
+from tallyforge.sources.evidence import recorded, sound
+from tallyforge.sources.files import Files
 from tallyforge.sources.registrations import COLUMNS, RegistrationStore, judged
 from tallyforge.sources.snapshots import SnapshotStore, read_tsv, validated, write_table, write_tsv
 
@@ -305,7 +308,7 @@ def test_runs_are_kept_and_only_good_ones_published(spark, tmp_path, store, monk
         store.run_warehouse([2026])
 
 
-def test_hashes_come_from_executors_or_the_driver(tmp_path, store, monkeypatch):
+def test_hashes_come_from_executors(tmp_path, store, monkeypatch):
     import hashlib
 
     from tallyforge.sources import files
@@ -316,8 +319,12 @@ def test_hashes_come_from_executors_or_the_driver(tmp_path, store, monkeypatch):
         paths.append(str(tmp_path / f"f {i}.txt"))
     want = {p: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in paths}
     assert store.files.hashes(paths) == want and store.files.hashes([]) == {}
-    monkeypatch.setattr(files, "WHOLE", 2000)
-    assert store.files.hashes(paths) == want
+    with recorded(store.spark, "hashes") as found:
+        assert store.files.sha256(paths[3]) == want[paths[3]]
+    assert found["totals"]["tasks"] == 1 and sound(found)
+    monkeypatch.setattr(files, "LONGEST", 2000)
+    with pytest.raises(ValueError, match="split it"):
+        store.files.hashes(paths)
 
 
 def test_months_in_several_files(spark, tmp_path, store, monkeypatch):
@@ -353,3 +360,92 @@ def test_eval_and_verify_commands(spark, tmp_path, family, capsys, monkeypatch):
     (tmp_path / "saved.json").write_text(saved.replace("0.5", "0.25"))
     with pytest.raises(SystemExit):
         cli.main([*command, "--check", str(tmp_path / "saved.json")])
+
+
+def test_a_build_reads_its_source_once(spark, tmp_path, store):
+    n = 3000
+    source(tmp_path / "raw/cars_2026.parquet", [GOOD | {"maker": f"m{i % 7}", "date_reg": dt.date(2026, 1 + i % 8, 1 + i % 28)} for i in range(n)])
+    with recorded(spark, "build") as found:
+        made = store.build([2026])[2026]
+    assert (made["rows"], made["min_date"], made["max_date"]) == (n, "2026-01-01", "2026-08-28") and made["columns"][0] == "source_sha256"
+    # the source's rows once, and the written lines once for the manifest; files that are hashed are rows of their own
+    assert found["totals"]["input_records"] <= 2 * n + 2 + len(made["files"])
+    report = json.loads((tmp_path / "artifacts/year_2026_dq.json").read_text())
+    assert (report["input_rows"], report["accepted_rows"], report["reasons"], report["rejected_samples"]) == (n, n, {}, [])
+
+
+def test_a_refused_year_leaves_its_report_and_no_files(spark, tmp_path, store):
+    rows = [GOOD | ({"type": "lori"} if i % 3 == 0 else {"state": None} if i % 3 == 1 else {}) for i in range(300)]
+    source(tmp_path / "raw/cars_2026.parquet", rows)
+    with recorded(spark, "build") as found, pytest.raises(ValueError, match="failed DQ"):
+        store.build([2026])
+    report = json.loads((tmp_path / "artifacts/year_2026_dq.json").read_text())
+    assert (report["input_rows"], report["accepted_rows"], report["rejected_rows"]) == (300, 100, 200) and report["reasons"] == {"unknown_vehicle_type": 100, "missing_state": 100}
+    assert report["rejected_samples"] == [{"source_row": i + 1, "reason": "unknown_vehicle_type" if i % 3 == 0 else "missing_state"} for i in range(300) if i % 3 < 2][:50]
+    assert found["totals"]["input_records"] <= 300 + 200 + 1
+    assert not [p for p in (tmp_path / "curated").rglob("*") if p.is_file()]
+    source(tmp_path / "raw/cars_2026.parquet", [])
+    with pytest.raises(ValueError, match="input_rows=0"):
+        store.build([2026])
+
+
+def test_a_run_names_its_jobs_and_a_failed_job_bars_it(spark, tmp_path, store, monkeypatch):
+    from tallyforge.sources import registrations
+
+    source(tmp_path / "raw/cars_2026.parquet", rows_of_2026())
+    store.build([2026])
+    good = store.run_warehouse([2026], str(tmp_path / "runs"))
+    about, proof = (json.loads(open(f"{good['path']}/{name}.json").read()) for name in ("run", "evidence"))
+    assert about["evidence"]["totals"] == proof["totals"] and proof["totals"]["jobs"] == len(proof["jobs"]) > 3
+    assert {s["status"] for s in proof["stages"]} == {"COMPLETE"} and {j["status"] for j in proof["jobs"]} == {"SUCCEEDED"} and proof["application"] == spark.sparkContext.applicationId
+
+    real = registrations.quality_checks
+
+    def with_a_failing_job(*frames):
+        with pytest.raises(Exception, match="injected"):
+            spark.range(10).select(F.raise_error(F.lit("injected"))).collect()
+        return real(*frames)
+
+    monkeypatch.setattr(registrations, "quality_checks", with_a_failing_job)
+    bad = store.run_warehouse([2026], str(tmp_path / "runs"))
+    assert not bad["passed"] and bad["n_differences"] == 0
+    proof = json.loads(open(f"{bad['path']}/evidence.json").read())
+    assert proof["failed_jobs"] and proof["totals"]["failed_tasks"] >= 1
+    snapshots = SnapshotStore(spark, str(tmp_path / "snapshots"))
+    with pytest.raises(ValueError, match="UPSTREAM_NOT_PASSED"):
+        snapshots.publish_run(bad["path"])
+    # someone edits the verdict by hand: the evidence still says what happened
+    run = tmp_path / "runs" / bad["run_id"] / "run.json"
+    (run.parent / ".run.json.crc").unlink()
+    run.write_text(json.dumps(json.loads(run.read_text()) | {"status": "passed", "passed": True}))
+    with pytest.raises(ValueError, match="NO_EVIDENCE_OF_SUCCESS"):
+        snapshots.publish_run(bad["path"])
+    assert snapshots.publish_run(good["path"])["source"]["evidence"]["failed_jobs"] == []
+
+
+def test_a_dead_owners_lock_is_taken_over(spark, tmp_path):
+    files, at = Files(spark), str(tmp_path / "locks/import.lock")
+    with files.locked(at):
+        assert files.read_json(at)["application"] == spark.sparkContext.applicationId
+        with pytest.raises(RuntimeError, match="IMPORT_LOCKED"), files.locked(at):
+            pass
+    assert not files.exists(at)
+    files._create(at, {"owner": "gone"})
+    with pytest.raises(RuntimeError, match="IMPORT_LOCKED"), files.locked(at):
+        pass
+    with files.locked(at, stale_after=-1):
+        assert files.read_json(at)["owner"] != "gone"
+    assert not files.exists(at) and not list((tmp_path / "locks").glob("*.stale*"))
+
+
+def test_identities_are_counted_without_shuffling_rows(spark):
+    n = 200_000
+    rows = spark.range(n, numPartitions=8).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("f"), (F.col("id") + 1).alias("r"))
+    with recorded(spark, "identities") as found:
+        assert tuple(counted(rows, [F.col("f")], F.col("r")).first()) == (n, n, 1, n)
+    assert found["totals"]["shuffle_write_records"] < 100
+    for extra in ([("a", 1)], [("a", 5), ("b", 70_000), ("b", 70_000), ("c", 3_000_000_000)], [(None, 3), ("a", None), ("a", 0), ("a", -1), ("a", -32768), ("b", 2**63 - 1)]):
+        more = rows.where("r not in (7, 70000, 200000)").unionByName(spark.createDataFrame(extra, "f string, r long"))
+        want = more.agg(F.count(F.lit(1)), F.countDistinct("f", "r"), F.min("r"), F.max("r")).first()
+        assert tuple(counted(more, [F.col("f")], F.col("r"), {"odd": F.count_if(F.col("r") % 2 == 1)}).drop("odd").first()) == tuple(want)
+    assert tuple(counted(rows.limit(0), [F.col("f")], F.col("r")).first()) == (0, 0, None, None)
