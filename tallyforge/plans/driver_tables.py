@@ -65,9 +65,12 @@ def brand_sums(fact: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
     return rows.agg(F.sum("tiv_units").alias("tiv_units"), F.sum("registration_units").alias("registration_units"))
 
 
-def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as registrations: date, maker (market segment), fuel (priority), state (nation)."""
+def registered(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """Orders as registrations: date, maker (market segment), fuel (priority), state (nation). Of one year, if it is given."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    if year is not None:
+        at = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")
+        orders = orders.where((F.col("o_orderdate") >= at(year)) & (F.col("o_orderdate") < at(year + 1)))
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(
         F.year("o_orderdate").alias("registration_year"), F.month("o_orderdate").alias("registration_month"), F.col("c_mktsegment").alias("maker"), F.col("o_orderpriority").alias("fuel"), F.col("n_name").alias("state")

@@ -1,7 +1,8 @@
 """The closed set of analytical questions over a star, under one filter contract.
 
 Filters: origin, brand_id, month, region_id, energy. A filter that is None leaves no trace in the plan. A share's
-denominator drops brand_id and nothing else. The brand-year aggregate answers what has no month, region or energy.
+denominator drops brand_id and nothing else. The brand-year aggregate answers what has no month, region or energy; a view
+of the lattice answers what it has the columns for.
 """
 
 from __future__ import annotations
@@ -43,6 +44,16 @@ def rows_for(star: Star, years: list[int], params: dict, scan: str, market: bool
         rows = rows.join(star.model, "model_id").join(star.brand, "brand_id")
         if region or "region_id" in chosen:
             rows = rows.join(star.region.drop("region_id") if "region_id" in rows.columns else star.region, "region_key")
+    elif scan in star.views:
+        view = star.views[scan]
+        wanted = {"brand_id" if k == "origin" else k for k in chosen} | ({"region_id"} if region else set())
+        if not wanted <= view.columns:
+            raise ValueError(f"{scan} has no {sorted(wanted - view.columns)}")
+        rows = star.years(view.rows(), years)
+        if "brand_id" in view.columns:
+            rows = rows.join(star.brand, "brand_id")
+        if region:
+            rows = rows.join(star.region.select("region_id", "region_name", "region_name_zh").distinct(), "region_id")
     else:
         raise ValueError(scan)
     for name, value in chosen.items():
