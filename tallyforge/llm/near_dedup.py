@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binaries, doc_key, frugal, released, slices, stored, strings
+from .merkle import numbered
 from .words import mix, run_starts, runs, whole, word_hashes
 
 SHINGLE = 5
@@ -354,8 +355,27 @@ def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: in
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of distinct 5-word shingles (words
     of A-Z lower-cased; fewer than five words are one shingle). component_id is the smallest doc_id reachable. Texts
     without words, and null, are linked with nothing. A null doc_id comes before all others and gives a null component_id
-    to its group. Rows that repeat a doc_id are one node. No rows give no rows.
+    to its group. Rows that repeat a doc_id are one node: what is linked with one of them is linked with all that have
+    words. No rows give no rows.
+
+    Where a doc_id repeats with different texts, the search runs on numbers of (doc_id, text) in that order, and the rows of
+    a doc_id are linked with each other; so the outcome never depends on which of them is met first.
     """
+    own = F.xxhash64(F.col("text").cast("string"))
+    ids = docs.select(doc_key().alias("id"), own.alias("print"))
+    if ids.groupBy("id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").isEmpty():
+        return _groups(docs, percent, bands, rows)
+    nodes, _ = numbered(ids.distinct().select(F.lit("").alias("g"), "id", "print"), ["id", "print"])
+    nodes = stored(nodes.select("id", "print", "pos"), "nodes")
+    texts = docs.select(doc_key().alias("id"), own.alias("print"), F.col("text").cast("string").alias("text"))
+    found = _groups(texts.join(nodes, ["id", "print"]).select(F.col("pos").alias("doc_id"), "text"), percent, bands, rows, nodes.select("id", "pos"))
+    plain = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))
+    found = found.join(nodes.select(F.col("pos").alias("doc_id"), "id"), "doc_id").join(nodes.select(F.col("pos").alias("component_id"), F.col("id").alias("component")), "component_id")
+    return found.select(plain("id").alias("doc_id"), "n_shingles", plain("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def _groups(docs: DataFrame, percent: int, bands: int, rows: int, same: DataFrame | None = None) -> DataFrame:
+    """near_groups of documents of which each doc_id has one text. same: id and pos, where the pos of one id are one node."""
     signed = stored(signatures(docs, bands, rows), "signatures")
     with_words = signed.where("n_shingles > 0")
     classes = with_words.groupBy("sequence", "sequence2").agg(F.min("id").alias("rep"))
@@ -368,7 +388,12 @@ def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: in
     texts = docs.select(doc_key().alias("id"), F.col("text").cast("string").alias("text"))
     texts = stored(texts.join(near_any, "id", "left_semi"), "texts")
     pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(confirmed(_agreeing(pairs, known, AGREE), texts, percent), "links")
+    links = confirmed(_agreeing(pairs, known, AGREE), texts, percent)
+    if same is not None:
+        of = with_words.join(classes, ["sequence", "sequence2"]).select(F.col("id").alias("pos"), "rep").join(same, "pos").select("id", "rep").distinct()
+        least = of.groupBy("id").agg(F.min("rep").alias("a"))
+        links = links.union(of.join(least, "id").where("a < rep").select("a", F.col("rep").alias("b")))
+    links = stored(links, "links")
     comps = components(links)
     released(links)
     early = reps.select("id", "bands").mapInArrow(_early(bands, FIRST_BANDS), "bucket long, id long").select("bucket").distinct()

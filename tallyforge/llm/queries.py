@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import centroids, exact_dedup, html_text, language_id, license_scan, merkle, near_dedup, packing, piece_coding, sharding, substring_dedup, token_counts, vector_search
-from .common import spread, table
+from .common import NULL_ID, doc_key, spread, stored, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -70,6 +70,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir))
 
 
+def dedup_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exact dedup, near-dedup and substring dedup in a row leave of all documents: a row for each that stays."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = stored(exact_dedup.drop_copies(docs), "dedup-exact")
+    kept = near_dedup.near_groups(docs).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept")).distinct()
+    docs = stored(docs.join(kept, doc_key() == F.col("__kept"), "left_semi"), "dedup-near")
+    return substring_dedup.digest(substring_dedup.remove_repeats(docs).drop("text"))
+
+
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = centroids.quantised(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), 256, 64)
     return centroids.with_inertia(*centroids.cluster(vectors, 40, 5, "2:"))
@@ -99,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_html_extraction": op13_html_extraction,
+    "dedup_stages": dedup_stages,
 }
 
 
@@ -199,3 +209,14 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY k ORDER BY length(t) DESC, doc_id)
 """,
 }
+
+
+def _stages_sql() -> str:
+    """The three stages' SQL, each over the documents that the last one kept."""
+    of = lambda op, docs: ORACLE_SQL[op].replace("FROM documents", f"FROM {docs}")
+    return f"""WITH one AS ({of("op9_exact_dedup", "documents")}), d1 AS (SELECT doc_id, text FROM documents JOIN one USING (doc_id) WHERE one.kept),
+two AS ({of("op10_minhash_near_dedup", "d1")}), d2 AS (SELECT doc_id, text FROM d1 JOIN two USING (doc_id) WHERE two.kept)
+SELECT * FROM ({of("op2_substring_dedup", "d2")})"""
+
+
+ORACLE_SQL["dedup_stages"] = _stages_sql()

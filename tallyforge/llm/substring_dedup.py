@@ -44,9 +44,9 @@ _HELD = 2 << 20
 
 #: Blocks on their way to the index. A factor that is done travels among them with -1 - start for start and its length,
 #: source_start and source_id (4, 4 and 8 bytes) for hashes.
-_BLOCKS = "key long, id long, print int, start int, hashes binary"
+_BLOCKS = "key long, id long, print long, start int, hashes binary"
 _DONE = np.dtype([("length", "<i4"), ("source_start", "<i4"), ("source_id", "<i8")])
-_FACTORS = "id long, print int, start int, length int, source_id long, source_start int"
+_FACTORS = "id long, print long, start int, length int, source_id long, source_start int"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def _parse_slice(ids, prints, offsets, data, window, anchor, hot) -> Iterator[pa
 
 
 def _rows(key, ids, prints, starts, hashes) -> pa.RecordBatch:
-    columns = [pa.array(np.asarray(key).astype(np.uint64).view(np.int64)), pa.array(ids), pa.array(prints.astype(np.int32)), pa.array(starts.astype(np.int32)), hashes]
+    columns = [pa.array(np.asarray(key).astype(np.uint64).view(np.int64)), pa.array(ids), pa.array(prints.astype(np.int64)), pa.array(starts.astype(np.int32)), hashes]
     return pa.RecordBatch.from_arrays(columns, names=["key", "id", "print", "start", "hashes"])
 
 
@@ -161,7 +161,7 @@ def hot_keys(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> np.
 
 
 def _as_factors(columns) -> pa.RecordBatch:
-    kinds = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int32]
+    kinds = [np.int64, np.int64, np.int32, np.int32, np.int64, np.int32]
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t)) for x, t in zip(columns, kinds, strict=True)], names=["id", "print", "start", "length", "source_id", "source_start"])
 
 
@@ -233,19 +233,25 @@ def _parse_index(window: int):
     return parse
 
 
-def _print():
-    """Tells rows apart that repeat a doc_id with different texts, in two bytes."""
-    return F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")
+def _print(docs: DataFrame):
+    """Tells rows apart that repeat a doc_id with different texts: 64 bits of the text where any doc_id repeats so, else 0.
+
+    Ids and hashes alone are grouped to know it. Where ids are unique they tell all rows apart, and zeros take no room.
+    """
+    own = F.xxhash64(F.col("text").cast("string"))
+    repeated = docs.groupBy(doc_key().alias("id")).agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low < high")
+    return F.lit(0).cast("long") if repeated.isEmpty() else own
 
 
-def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Duplicate spans: id, print (two bytes of the text's hash), start and length in words, and the earlier source_id, source_start.
+def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, own_print=None) -> DataFrame:
+    """Duplicate spans: id, print (what tells rows of an id apart, see _print), start and length in words, and the earlier source_id, source_start.
 
     A span's every window occurs earlier, in a smaller doc_id or earlier in the same one. A span ends where its block or
     its source's does, so a longer passage is several overlapping spans. A null doc_id comes before all
     others. Rows that repeat a doc_id are one document at the same place: neither is earlier than the other.
     """
-    rows = docs.select(doc_key().alias("id"), _print().alias("print"), F.col("text").cast("string").alias("text"))
+    own_print = _print(docs) if own_print is None else own_print
+    rows = docs.select(doc_key().alias("id"), own_print.alias("print"), F.col("text").cast("string").alias("text"))
     blocks = rows.mapInArrow(_parse_texts(window, anchor, hot_keys(docs, window, anchor)), _BLOCKS)
     sorted_blocks = blocks.repartition(F.col("key")).sortWithinPartitions("key")
     return sorted_blocks.mapInArrow(_parse_index(window), _FACTORS)
@@ -304,11 +310,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     Columns of docs with these names are replaced; the others stay. Null texts have no words; no rows give no rows.
     """
     keep = [c for c in docs.columns if c not in names]
-    spans = factors(docs, window, anchor).groupBy("id", "print").agg(F.collect_list(F.struct("start", "length")).alias("__spans"))
+    own_print = _print(docs)
+    spans = factors(docs, window, anchor, own_print).groupBy("id", "print").agg(F.collect_list(F.struct("start", "length")).alias("__spans"))
     spans = spans.select(F.col("id").alias("__id"), F.col("print").alias("__print"), "__spans")
     text = "text" if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else None  # it travels once
     own = [F.col(f"`{c}`") for c in keep if c != text]
-    rows = docs.select(*own, F.col("text").cast("string").alias("__text"), doc_key().alias("__key"), _print().alias("__own"))
+    rows = docs.select(*own, F.col("text").cast("string").alias("__text"), doc_key().alias("__key"), own_print.alias("__own"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != "__text")
     rows = rows.mapInArrow(_pressed("__text"), f"{fields}__pressed binary")
     rows = rows.join(spans, (F.col("__key") == F.col("__id")) & (F.col("__own") == F.col("__print")), "left").drop("__key", "__own", "__id", "__print")

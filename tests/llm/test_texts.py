@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyforge.llm import exact_dedup, language_id, license_scan, near_dedup, packing, piece_coding, queries, sharding, substring_dedup, token_counts
@@ -72,12 +73,54 @@ def test_substring_dedup(docs, edge_rows):
         assert Counter(map(tuple, got)) == expected_repeats(rows)
 
 
+def test_repeated_ids_keep_their_own_words(docs, workers):
+    """Of two texts under one doc_id only the one that repeats loses words, though both agree in 16 bits of their hash."""
+    passage = " ".join(f"w{i}" for i in range(25))
+    prints = workers.range(200_000).select(F.col("id"), F.pmod(F.xxhash64(F.concat(F.lit(" ".join(f"u{i}" for i in range(24)) + " v"), "id")), F.lit(65536)).alias("p"))
+    want = docs([(2, passage)]).select(F.pmod(F.xxhash64("text"), F.lit(65536))).first()[0]
+    number = prints.where(F.col("p") == want).first()["id"]
+    other = " ".join(f"u{i}" for i in range(24)) + f" v{number}"
+    rows = [(1, passage), (2, passage), (2, other), (3, "x"), (2, other), (None, other), (None, "y")]
+    for parts in (1, 2, 7):
+        frame = docs(rows).repartition(parts)
+        got = Counter(map(tuple, substring_dedup.digest(substring_dedup.remove_repeats(frame).drop("text")).collect()))
+        assert got == expected_repeats(rows)
+        kept = {(r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(frame).collect()}
+        assert kept >= {(2, 25), (1, 0), (None, 0)}
+
+
+def test_near_groups_of_repeated_ids_are_the_same_on_any_partitioning(docs):
+    """A doc_id with several texts is one node, linked by each of them, whatever comes first."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (9, b), (9, a + " end"), (7, b + " end"), (12, c), (12, "one two"), (3, None), (9, None), (12, c), (15, "one  two"), (None, c + " end"), (None, b)]
+    nodes = {}
+    for i, t in rows:
+        if words(t):
+            w = words(t)
+            nodes.setdefault(key(i), []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    near = lambda x, y: any(100 * len(s & t) >= 75 * len(s | t) for s in nodes[x] for t in nodes[y])
+    group = {x: x for x in nodes}
+    for _ in nodes:
+        for x in nodes:
+            for y in nodes:
+                if near(x, y):
+                    group[x] = group[y] = min(group[x], group[y])
+    want = Counter()
+    for i, t in rows:
+        w = words(t)
+        top = group[key(i)] if w else key(i)
+        size = len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if w else 0
+        want[i, size, None if top == NULL_ID else top, top == key(i)] += 1
+    for parts in (1, 2, 7):
+        assert Counter(map(tuple, near_dedup.near_groups(docs(rows).repartition(parts)).collect())) == want
+
+
 def test_index_parses_a_hot_key_as_it_comes(monkeypatch):
     """Blocks in batches of a few rows and a buffer of a few bytes give the same repeats as all at once."""
     rng = random.Random(12)
     rows = sorted((rng.choice([7, 7, 7, 9, 11]), rng.randrange(50), rng.randrange(40), bytes(rng.choice(b"abc") for _ in range(8)) * rng.randrange(1, 4)) for _ in range(400))
     names = ["key", "id", "print", "start", "hashes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     columns = [[r[0] for r in rows], [r[1] for r in rows], [0] * len(rows), [r[2] for r in rows], [r[3] for r in rows]]
     table = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 

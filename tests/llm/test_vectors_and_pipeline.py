@@ -1,5 +1,7 @@
 """Vector search against brute force, and the pipeline stage by stage."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,13 +51,36 @@ def test_top_k_in_many_blocks(workers, monkeypatch):
 
 
 def test_top_k_of_long_vectors(workers):
-    """Scores beyond 2^53 are exact; vectors that would leave 64 bits take no part and stop nothing."""
+    """Scores beyond 2^53 are exact; long vectors take part, and a score that no long holds is an error where it is returned."""
     rng = np.random.default_rng(5)
     rows = [(i, (rng.normal(size=16) * 2.0 ** float(rng.integers(0, 22))).tolist()) for i in range(200)]
-    rows += [(300 + i, [4e6 + i / 64] * 8) for i in range(9)] + [(320, [1e20, 1.0]), (321, [-1e300, 1.0]), (340, [3e7])]
+    rows += [(300 + i, [4e6 + i / 64] * 8) for i in range(9)]
+    rows += [(340, [1e8, 1.0]), (341, [2e7, 0.0]), (342, [-1e20, 3.0]), (343, [1e13] + [0.0] * 20 + [2e7])]
+    rows += [(360 + i, [0.0] * (22 + i) + [(-1.0) ** i * 10.0 ** (8 + i)] + [0.0] * 2 + [float(i)] * 3) for i in range(12)]
     vectors = vector_search.quantised(workers.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = {tuple(r) for r in vector_search.top_k(vectors, F.col("vec_id") % 20 == 0, 20).collect()}
-    assert got == brute([r for r in rows if r[0] < 320], 20) and max(s for *_, s in got) > 2**53
+    got = lambda df: {tuple(r) for r in vector_search.top_k(df, F.col("vec_id") % 20 == 0, 20).collect()}
+    some = [r for r in rows if r[0] not in (342, 343)]
+    assert got(vectors.where("vec_id not in (342, 343)")) == big_brute(some, 20)
+    assert max(s for *_, s in big_brute(some, 20)) > 2**60
+    with pytest.raises(Exception, match="scale the vectors down"):
+        got(vectors)
+    far = [r for r in rows if r[0] < 200] + [(380, [0.0] * 20 + [1e5]), (381, [0.0] * 20 + [-1e20])]  # their product is no long, and no best either
+    assert got(vector_search.quantised(workers.createDataFrame(far, "vec_id long, embedding array<double>"))) == big_brute(far, 20)
+    with pytest.raises(Exception, match="scale the vectors down"):
+        vector_search.quantised(workers.createDataFrame([(1, [1e307])], "vec_id long, embedding array<double>")).collect()
+    wide = vector_search.quantised(workers.createDataFrame([(20, [1e300, 1.0]), (21, [0.0, 2.0]), (22, [0.0, 5.0])], "vec_id long, embedding array<double>"))
+    assert got(wide) == {(20, 1, 22, 64 * 320), (20, 2, 21, 64 * 128)}
+
+
+def big_brute(rows, k):
+    """By Python's integers, with vectors padded by zeros."""
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    out = set()
+    for q, v in whole:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != q)[:k]
+            out |= {(q, r, j, -s) for r, (s, j) in enumerate(best, 1)}
+    return out
 
 
 def test_search_on_an_empty_table(workers, tmp_path):
