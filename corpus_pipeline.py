@@ -53,8 +53,8 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token pieces with their place in sequences of at most 1024 tokens."""
-    pieces = packing.pieces(docs, tokenizer_path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    placed = packing.pack(packing.pieces(docs, tokenizer_path("byte_bpe_50k.json")))
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def _stage(work):
@@ -66,7 +66,8 @@ def _stage(work):
 
 STAGES = [(name, _stage(work)) for name, work in (("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("substring_dedup", substring), ("best_fit_packing", packed))]
 
-#: Near-dedup and packing can't be expressed in SQL; tests compare the stages with brute force.
+#: The fitted language model and packing can't be expressed in SQL; tests compare the stages with brute force. The three
+#: dedup stages in a row are the query dedup_stages, which has SQL.
 ORACLE_SQL = None
 
 
