@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import package_for_workers
 from ..sources import snapshots
-from . import driver_tables, intent, serving
+from . import driver_tables, intent, intent_columns, request_columns, serving
 
 
 def _pick(number: Column, *values: str | None) -> Column:
@@ -28,17 +26,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each question is read as, and what it would be read as if every stop were guessed over."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(q, n, intent.parse(q), intent.parse(q, force=True)) for q, n in zip(batch["question"], batch["n"], strict=True)]
-            yield pd.DataFrame(
-                [(q, n, a.task, a.metric, a.year, a.brand_id, a.hitl_code or None, b.task, b.metric, b.year, b.hitl_code or None, len(b.guesses)) for q, n, a, b in rows],
-                columns=["question", "n", "task", "metric", "year", "brand_id", "stop", "forced_task", "forced_metric", "forced_year", "forced_stop", "guesses"],
-            )
-
-    schema = "question string, n long, task string, metric string, year int, brand_id int, stop string, forced_task string, forced_metric string, forced_year int, forced_stop string, guesses int"
-    return questions(package_for_workers(spark), sf_dir).mapInPandas(read, schema)
+    rows = intent_columns.read(questions(spark, sf_dir), "question")
+    rows = intent_columns.read(rows, "question", force=True, prefix="forced_")
+    return rows.select("question", "n", "task", "metric", "year", "brand_id", F.col("hitl_code").alias("stop"), "forced_task", "forced_metric", "forced_year", F.col("forced_hitl_code").alias("forced_stop"), F.col("forced_n_guesses").alias("guesses"))
 
 
 _PARSED = """WITH o AS (SELECT ['2024年', '2025年', '2023年', '今年', ''][o_custkey % 5 + 1] AS y, ['Proton', 'Toyota', ''][o_orderkey % 3 + 1] AS b, ['TIV', '上牌', '销量', ''][o_custkey % 4 + 1] AS m, ['排名', '份额', '同比', '趋势'][o_orderkey % 4 + 1] AS t FROM orders),
@@ -56,7 +46,7 @@ def checked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What the snapshot holds is a few dimensions, which the tasks are given.
     """
-    known = serving.catalog(driver_tables.snapshot(package_for_workers(spark), sf_dir))
+    known = serving.catalog(driver_tables.snapshot(spark, sf_dir))
     number, segment = F.col("c_custkey"), F.col("c_mktsegment")
     fourth = F.floor(number / 4)
     sent = driver_tables.table(spark, sf_dir, "customer").select(
@@ -65,18 +55,8 @@ def checked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_nationkey") % 4 == 3, "red").alias("colour"), _pick(F.floor(number / 12), None, "tiv").alias("metric"),
     )
 
-    def judge(given: dict) -> tuple[str, str | None]:
-        try:
-            return "OK", serving.prepare("monthly_registrations", given, known).get("maker")
-        except serving.QueryError as error:
-            return error.code, None
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            given = [{k: v for k, v in row.items() if k != "c_custkey" and isinstance(v, str)} for row in batch.to_dict("records")]
-            yield pd.DataFrame([(k, *judge(g)) for k, g in zip(batch["c_custkey"], given, strict=True)], columns=["c_custkey", "code", "maker"])
-
-    return sent.mapInPandas(check, "c_custkey long, code string, maker string")
+    asked = sent.select("c_custkey", F.lit("monthly_registrations").alias("query"), F.to_json(F.struct("start_month", "end_month", "maker", "colour", "metric")).alias("params"))
+    return request_columns.judged(asked, known).select("c_custkey", "code", F.col("maker_key").alias("maker"))
 
 
 _CHECKED = """WITH s AS (SELECT c_custkey, upper(c_mktsegment) AS segment, c_nationkey % 4 AS kind, ['2000-02', '2000-2', '2001-05', NULL][c_custkey % 4 + 1] AS a, ['2001-01', '2001-06', '2049-01'][(c_custkey // 4) % 3 + 1] AS z, (c_custkey // 12) % 2 AS other FROM customer),
@@ -85,6 +65,83 @@ c AS (SELECT *, CASE WHEN kind = 3 THEN 'UNSUPPORTED_FILTER' WHEN a IS NULL THEN
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey, code, CASE WHEN code = 'OK' AND kind = 1 THEN segment END AS maker FROM c"""
 
 
+#: Parts of questions: all brands, regions, energies, months, metrics and tasks, and words of every stop.
+_WORDS = {
+    "scope": ("", "华南", "", "豪华", "", "今年", "", "上个月", "定义", ""), "year": ("2024年", "2025", "2023年", "", "2025"), "brand": (*intent.BRAND_WORDS, ""), "region": (*intent.REGION_WORDS, ""),
+    "energy": (*intent.ENERGY_WORDS, ""), "month": (*intent.MONTH_WORDS, "3月", "12月", "", "全年"), "metric": ("TIV", "上牌", "销量", ""),
+    "task": ("同比", "份额", "国产和非国产", "趋势", "各区域", "车型", "多少", "排名", ""),
+}
+#: Which part an order takes: of key and by how much the key is divided.
+_TAKEN = {"scope": ("o_orderkey", 1), "year": ("o_custkey", 1), "brand": ("o_orderkey", 9), "region": ("o_custkey", 5), "energy": ("o_orderkey", 7), "month": ("o_custkey", 11), "metric": ("o_orderkey", 3), "task": ("o_custkey", 2)}
+
+
+def question_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of every word that the rules know, one for each order: all fields of their readings."""
+    orders = driver_tables.table(spark, sf_dir, "orders")
+    parts = [_pick(F.floor(F.col(_TAKEN[name][0]) / _TAKEN[name][1]), *words) for name, words in _WORDS.items()]
+    asked = orders.groupBy(F.concat_ws(" ", *parts).alias("question")).agg(F.count(F.lit(1)).alias("n"))
+    rows = intent_columns.read(asked, "question")
+    rows = intent_columns.read(rows, "question", force=True, prefix="forced_")
+    fields = [f for f in intent_columns.FIELDS if f != "n_guesses"]
+    return rows.select("question", "n", *[F.col(f).alias("stop" if f == "hitl_code" else f) for f in fields], "forced_task", "forced_metric", "forced_year", "forced_month", F.col("forced_n_guesses").alias("guesses"))
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'" for v in values) + "]"
+
+
+def _vocabulary_sql() -> str:
+    place = {name: f"({column} // {by}) % {len(_WORDS[name])} + 1" for name, (column, by) in _TAKEN.items()}
+    words = ", ".join(f"{_list_sql(w)}[{place[name]}] AS {name}" for name, w in _WORDS.items())
+    values = {"brand": intent.BRAND_WORDS, "region": intent.REGION_WORDS, "energy": intent.ENERGY_WORDS}
+    ids = ", ".join(f"{_list_sql([*v.values(), None])}[{place[name]}] AS {name}_id" for name, v in values.items())
+    month = _list_sql([*range(1, 13), 3, 12, None, None])
+    known = "CASE metric WHEN 'TIV' THEN 'tiv' WHEN '上牌' THEN 'registration' END"
+    return f"""WITH o AS (SELECT {words}, {ids}, {month}[{place["month"]}] AS month_no FROM orders),
+q AS (SELECT *, COUNT(*) AS n FROM o GROUP BY ALL),
+s AS (SELECT *, scope = '定义' AND task NOT IN ('趋势', '各区域', '多少', '排名') AS doc, {known} AS said, scope IN ('今年', '上个月') AS relative, TRY_CAST(left(year, 4) AS INT) AS y FROM q),
+r AS (SELECT *, [x for x in [CASE WHEN scope = '华南' THEN 'OUT_OF_SCOPE_ENTITY' END, CASE WHEN scope = '豪华' THEN 'UNDEFINED_TERM' END, CASE WHEN relative THEN 'RELATIVE_TIME' END,
+  CASE WHEN NOT doc AND metric = '销量' THEN 'AMBIGUOUS_METRIC' END, CASE WHEN NOT doc AND year = '2023年' THEN 'YEAR_OUT_OF_RANGE' END, CASE WHEN NOT doc AND year = '' AND NOT relative THEN 'MISSING_YEAR' END,
+  CASE WHEN NOT doc AND metric = '' THEN 'MISSING_METRIC' END] if x IS NOT NULL] AS stops,
+  CASE WHEN task = '同比' THEN 'yoy_brand' WHEN task = '份额' THEN 'share' WHEN task = '国产和非国产' THEN 'origin_split' WHEN task = '趋势' THEN 'month_trend' WHEN task = '各区域' THEN 'region_rank' WHEN task = '车型' THEN 'model_rank'
+    WHEN task = '多少' AND brand <> '' THEN 'brand_total' WHEN task = '排名' THEN 'brand_rank' WHEN brand <> '' THEN 'brand_total' ELSE 'brand_rank' END AS kind,
+  CASE WHEN said IS NOT NULL THEN said WHEN task = '份额' THEN 'share' WHEN task = '国产和非国产' THEN 'national' END AS about FROM s),
+z AS (SELECT *, stops[1] AS stop, coalesce(stops[1], '') AS c, coalesce(stops[1] IN ('OUT_OF_SCOPE_ENTITY', 'UNDEFINED_TERM', 'RELATIVE_TIME'), false) AS early FROM r),
+w AS (SELECT *, NOT early AND NOT doc AND c NOT IN ('AMBIGUOUS_METRIC', 'YEAR_OUT_OF_RANGE') AS timed, NOT early AND NOT doc AND c NOT IN ('AMBIGUOUS_METRIC', 'YEAR_OUT_OF_RANGE', 'MISSING_YEAR') AS whole FROM z)
+SELECT concat_ws(' ', {", ".join(_WORDS)}) AS question, n, CASE WHEN doc AND NOT early THEN 'retrieve' WHEN whole THEN kind END AS task,
+  CASE WHEN early THEN NULL WHEN doc THEN about ELSE said END AS metric, CAST(CASE WHEN timed THEN y END AS INT) AS year, CAST(CASE WHEN timed THEN month_no END AS INT) AS month,
+  CAST(CASE WHEN whole THEN brand_id END AS INT) AS brand_id, CAST(CASE WHEN whole THEN region_id END AS INT) AS region_id, CASE WHEN whole THEN energy_id END AS energy, CAST(NULL AS VARCHAR) AS origin, stop,
+  CASE WHEN doc THEN 'retrieve' ELSE kind END AS forced_task, CASE WHEN doc THEN about ELSE coalesce(said, 'tiv') END AS forced_metric,
+  CAST(CASE WHEN doc THEN NULL WHEN y IN (2024, 2025) THEN y ELSE 2025 END AS INT) AS forced_year,
+  CAST(CASE WHEN doc OR month = '全年' THEN NULL WHEN month_no IS NOT NULL THEN month_no WHEN scope = '上个月' THEN 12 END AS INT) AS forced_month, CAST(len(stops) AS INT) AS guesses FROM w"""
+
+
+#: Requests by what they break, for a maker {m} that the snapshot has; a number of the list is an order's customer's.
+_REQUESTS = [
+    ("monthly_registrations", {"start_month": "2000-02", "end_month": "2001-06", "maker": " {m} "}, "OK"), ("sales", {"start_month": "2000-02", "end_month": "2001-06"}, "UNKNOWN_QUERY"),
+    ("maker_ranking", ["{m}"], "INVALID_PARAMETERS"), ("brand_compare", {"start_month": "2000-02", "end_month": "2001-06", "makers": ["{m}", "building"], "state": "x"}, "UNSUPPORTED_FILTER"),
+    ("fuel_monthly", {"start_month": "2000-02"}, "MISSING_PARAMETERS"), ("monthly_registrations", {"start_month": "2000-02", "end_month": "2001-06", "metric": "tiv"}, "METRIC_MISMATCH"),
+    ("monthly_registrations", {"start_month": "2000-02", "end_month": "2001-6"}, "INVALID_MONTH"), ("maker_ranking", {"start_month": "2001-02", "end_month": "2000-06"}, "INVALID_RANGE"),
+    ("maker_ranking", {"start_month": "2000-02", "end_month": "2049-06"}, "OUT_OF_COVERAGE"), ("monthly_registrations", {"start_month": "2000-02", "end_month": "2001-06", "maker": "{m} X"}, "UNKNOWN_MAKER"),
+    ("brand_compare", {"start_month": "2000-02", "end_month": "2001-06", "makers": ["{m}"]}, "INVALID_MAKERS"), ("brand_compare", {"start_month": "2000-02", "end_month": "2001-06", "makers": ["{m}", " {m}"]}, "DUPLICATE_MAKERS"),
+    ("fuel_monthly", {"start_month": "2000-02", "end_month": "2001-06", "fuel": "steam"}, "UNKNOWN_FUEL"), ("maker_ranking", {"start_month": "2000-02", "end_month": "2001-06", "limit": 31}, "INVALID_LIMIT"),
+    ("maker_ranking", {"start_month": "2000-02", "end_month": "2001-06", "limit": 30}, "OK"), ("maker_ranking", {"start_month": "2000-02", "end_month": "2001-06", "limit": "3"}, "INVALID_LIMIT"),
+]
+
+
+def request_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request of every customer, as JSON, and the first rule it breaks: every code occurs."""
+    known = serving.catalog(driver_tables.snapshot(spark, sf_dir))
+    customers = driver_tables.table(spark, sf_dir, "customer")
+    texts = _pick(F.col("c_custkey"), *[json.dumps(given) for _, given, _ in _REQUESTS])
+    sent = customers.select("c_custkey", _pick(F.col("c_custkey"), *[q for q, _, _ in _REQUESTS]).alias("query"), F.replace(texts, F.lit("{m}"), F.lower("c_mktsegment")).alias("params"))
+    return request_columns.judged(sent, known).select("c_custkey", "query", "code", F.col("maker_key").alias("maker"))
+
+
+_CODES = f"""WITH c AS (SELECT c_custkey, c_custkey % {len(_REQUESTS)} + 1 AS i, c_mktsegment FROM customer)
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, {_list_sql([q for q, _, _ in _REQUESTS])}[i] AS query, {_list_sql([c for _, _, c in _REQUESTS])}[i] AS code, CASE WHEN i = 1 THEN upper(c_mktsegment) END AS maker FROM c"""
+
+
 def broken_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The families with rows damaged by their counts: rows of each family by the first rule they break."""
     count = F.col("registrations")
@@ -101,5 +158,5 @@ SELECT dimension AS family, CASE WHEN registrations % 7 = 5 THEN 'INVALID_SCHEMA
   WHEN dimension LIKE 'month%' AND NOT key1 LIKE '20%' THEN 'INVALID_MONTH' ELSE 'OK' END AS code, COUNT(*) AS n FROM families GROUP BY 1, 2"""
 
 
-QUERIES = {"parsed_questions": parsed_questions, "checked_requests": checked_requests, "broken_aggregates": broken_aggregates}
-ORACLE_SQL = {"parsed_questions": _PARSED, "checked_requests": _CHECKED, "broken_aggregates": _BROKEN}
+QUERIES = {"question_vocabulary": question_vocabulary, "request_codes": request_codes, "parsed_questions": parsed_questions, "checked_requests": checked_requests, "broken_aggregates": broken_aggregates}
+ORACLE_SQL = {"question_vocabulary": _vocabulary_sql(), "request_codes": _CODES, "parsed_questions": _PARSED, "checked_requests": _CHECKED, "broken_aggregates": _BROKEN}
