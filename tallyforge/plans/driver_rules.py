@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import marginals
 from ..sources import snapshots
 from . import driver_tables, intent, intent_columns, request_columns, serving
 
@@ -153,10 +154,42 @@ def broken_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged.groupBy("family", F.coalesce(snapshots.first_broken(damaged), F.lit("OK")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Versions of the families by how they are damaged; months before 2000 are left out, as the rules know none.
+VERSIONS = ("good", "schema", "dimension", "count", "month", "twice", "family", "total", "shifted")
+
+
+def broken_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine versions of the families, eight of them damaged: the first rule that each breaks, row rules and whole-table rules."""
+    rows = driver_tables.registered(spark, sf_dir).where("registration_year >= 2000")
+    families = marginals.marginals(marginals.monthly(rows))
+    chosen = families.where("dimension = 'month_fuel'").agg(F.min(F.struct("key1", "key2")).alias("f"), F.max("key1").alias("z"))  # one row
+    case = F.explode(F.array(*[F.lit(v) for v in VERSIONS])).alias("version")
+    each = families.select("*", case).crossJoin(F.broadcast(chosen))
+    kind, count = F.col("dimension"), F.col("registrations")
+    one = (kind == "month_fuel") & (F.col("key1") == F.col("f.key1")) & (F.col("key2") == F.col("f.key2"))  # a single row of the table
+    is_ = lambda v: F.col("version") == v
+    damaged = each.where(~(is_("family") & (kind == "state"))).select(
+        "version", F.when(is_("dimension") & one, "colour").otherwise(kind).alias("dimension"),
+        F.when(is_("month") & one, "2000-13").when(is_("shifted") & one, F.col("z")).otherwise(F.col("key1")).alias("key1"),
+        F.when(is_("shifted") & one, "moved").otherwise(F.col("key2")).alias("key2"),
+        F.when(is_("count") & one, "0").when(is_("total") & (kind == "state") & (F.col("key1") == "NATION_1"), (count + 1).cast("string")).otherwise(count.cast("string")).alias("registrations"),
+        F.when(is_("schema") & one, 5).otherwise(4).alias("n_cells"), F.when(is_("twice") & one, 2).otherwise(1).alias("times"),
+    )
+    damaged = damaged.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
+    found = snapshots.first_faults(damaged, "version")
+    return found.select("version", F.coalesce("code", F.lit("OK")).alias("code"))
+
+
+_VERSIONS = """WITH m AS (SELECT strftime(min(o_orderdate), '%Y-%m') AS first FROM orders WHERE year(o_orderdate) >= 2000)
+SELECT v AS version, CASE v WHEN 'good' THEN 'OK' WHEN 'schema' THEN 'INVALID_SCHEMA' WHEN 'dimension' THEN 'INVALID_DIMENSION' WHEN 'count' THEN 'INVALID_COUNT' WHEN 'month' THEN 'INVALID_MONTH'
+  WHEN 'twice' THEN 'DUPLICATE_AGGREGATE' WHEN 'family' THEN 'MISSING_AGGREGATE_FAMILY' WHEN 'total' THEN 'TOTAL_MISMATCH:state' ELSE 'MONTH_MISMATCH:' || first END AS code
+FROM m, (SELECT unnest(['good', 'schema', 'dimension', 'count', 'month', 'twice', 'family', 'total', 'shifted']) AS v)"""
+
+
 _BROKEN = f"""{driver_tables.FAMILIES_SQL}
 SELECT dimension AS family, CASE WHEN registrations % 7 = 5 THEN 'INVALID_SCHEMA' WHEN registrations % 7 IN (1, 2, 3) THEN 'INVALID_DIMENSION' WHEN registrations % 7 = 4 THEN 'INVALID_COUNT'
   WHEN dimension LIKE 'month%' AND NOT key1 LIKE '20%' THEN 'INVALID_MONTH' ELSE 'OK' END AS code, COUNT(*) AS n FROM families GROUP BY 1, 2"""
 
 
-QUERIES = {"question_vocabulary": question_vocabulary, "request_codes": request_codes, "parsed_questions": parsed_questions, "checked_requests": checked_requests, "broken_aggregates": broken_aggregates}
-ORACLE_SQL = {"question_vocabulary": _vocabulary_sql(), "request_codes": _CODES, "parsed_questions": _PARSED, "checked_requests": _CHECKED, "broken_aggregates": _BROKEN}
+QUERIES = {"question_vocabulary": question_vocabulary, "request_codes": request_codes, "parsed_questions": parsed_questions, "checked_requests": checked_requests, "broken_aggregates": broken_aggregates, "broken_versions": broken_versions}
+ORACLE_SQL = {"question_vocabulary": _vocabulary_sql(), "request_codes": _CODES, "parsed_questions": _PARSED, "checked_requests": _CHECKED, "broken_aggregates": _BROKEN, "broken_versions": _VERSIONS}

@@ -74,6 +74,31 @@ def validated(rows: DataFrame) -> DataFrame:
     return good.drop("year_month")
 
 
+def first_faults(rows: DataFrame, by: str) -> DataFrame:
+    """(by, code): what validated() would say of each of many versions of the aggregates, null for a good one; in one plan.
+
+    Rows as read_tsv() gives them, with a column that names their version.
+    """
+    rules, of_month = row_rules(rows), _of_month()
+    count = F.col("registrations").cast("string").try_cast("long")
+    named = rows.withColumns({"__n": count, "__month": of_month})
+    known = {name: F.sum(F.when(F.col("dimension") == name, F.col("__n"))).alias(f"__{name}") for name in FAMILIES}
+    per_row = named.groupBy(by).agg(*[F.count_if(bad).alias(code) for code, bad in rules], *known.values())
+    twice = rows.groupBy(by, *KEYS).agg(F.count(F.lit(1)).alias("c")).groupBy(by).agg(F.max("c").alias("__most"))
+    months = named.where("__month is not null").groupBy(by, "__month").pivot("dimension", ["month", "month_maker", "month_fuel"]).agg(F.sum("__n"))
+    uneven = ~(F.col("month").eqNullSafe(F.col("month_maker")) & F.col("month").eqNullSafe(F.col("month_fuel")))
+    months = months.where(uneven).groupBy(by).agg(F.min("__month").alias("__uneven"))
+    whole = per_row.join(twice, by, "left").join(months, by, "left")
+    missing = F.lit(False)
+    for name in FAMILIES:
+        missing = missing | F.col(f"__{name}").isNull()
+    code = F.coalesce(
+        *[F.when(F.col(c) > 0, F.lit(c)) for c, _ in rules], F.when(F.col("__most") > 1, "DUPLICATE_AGGREGATE"), F.when(missing, "MISSING_AGGREGATE_FAMILY"),
+        *[F.when(F.col(f"__{name}") != F.col("__total"), F.lit(f"TOTAL_MISMATCH:{name}")) for name in FAMILIES], F.when(F.col("__uneven").isNotNull(), F.concat(F.lit("MONTH_MISMATCH:"), "__uneven")),
+    )
+    return whole.select(by, code.alias("code"))
+
+
 def derived(rows: DataFrame) -> DataFrame:
     """With year_month, maker_norm and fuel, where the family has them."""
     kind = F.col("dimension")

@@ -199,3 +199,27 @@ def test_verification_takes_a_fixed_number_of_jobs(spark, served):
     off = more.withColumn("maker_norm", F.when(F.col("key2") == "maker 7", "MAKER 8").otherwise(F.col("maker_norm")))
     with pytest.raises(AssertionError):
         evaluation.verify_serving(off)
+
+
+def test_faults_of_many_versions_are_those_of_each(spark):
+    good = marginals.marginals(frame(spark, {k: n for k, n in ads_rows(9).items() if k[2]}))
+    text = good.select("dimension", "key1", "key2", F.col("registrations").cast("string").alias("registrations"), F.lit(4).alias("n_cells"))
+    one = (F.col("dimension") == "maker") & (F.col("key1") == "A")
+    changes = {
+        "good": text, "cells": text.withColumn("n_cells", F.when(one, 3).otherwise(4)), "null": text.withColumn("key2", F.when(~one, F.col("key2"))), "many": text.unionByName(text.where(one)),
+        "zero": text.withColumn("registrations", F.when(one, "0").otherwise(F.col("registrations"))), "none": text.where("dimension <> 'fuel'"), "less": text.where(~one),
+        "month": text.withColumn("key2", F.when(F.col("dimension") == "month", "13").otherwise(F.col("key2"))), "word": text.withColumn("registrations", F.when(one, "many").otherwise(F.col("registrations"))),
+        "move": text.withColumn("key1", F.when((F.col("dimension") == "month_maker") & (F.col("key1") == "2024-01"), "2024-02").otherwise(F.col("key1"))).groupBy("dimension", "key1", "key2", "n_cells").agg(F.sum(F.col("registrations").cast("long")).cast("string").alias("registrations")),
+    }
+    every = None
+    want = {}
+    for name, rows in changes.items():
+        try:
+            snapshots.validated(rows)
+            want[name] = None
+        except ValueError as error:
+            want[name] = str(error)
+        named = rows.withColumn("version", F.lit(name))
+        every = named if every is None else every.unionByName(named)
+    assert {r["version"]: r["code"] for r in snapshots.first_faults(every, "version").collect()} == want
+    assert len({str(c).split(":")[0] for c in want.values()}) == 9

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from tallyforge.plans import driver_rules, driver_tables
+from tallyforge.plans import driver_tables
 
 DATA = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -28,8 +28,12 @@ def plain(rows):
     return sorted(repr(tuple(round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)) for r in rows)
 
 
-REGISTERED = {**driver_tables.QUERIES, **driver_rules.QUERIES}
-SQL = {**driver_tables.ORACLE_SQL, **driver_rules.ORACLE_SQL}
+REGISTERED = {name: query for part in entry._PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in entry._PARTS for name, sql in part.ORACLE_SQL.items()}
+
+
+def test_every_query_has_sql():
+    assert set(REGISTERED) == set(SQL)
 
 
 @pytest.mark.parametrize("name", list(REGISTERED))
