@@ -37,6 +37,10 @@ def _parser() -> argparse.ArgumentParser:
         for folder in ("raw", "curated", "artifacts"):
             part.add_argument(f"--{folder}-dir", required=True)
         part.add_argument("--data-asof", default="2026-08-31")
+        part.add_argument("--sources", metavar="FILE", help="JSON that names the reviewed years and their files; other years are refused")
+        if name == "build":
+            part.add_argument("--refresh", action="store_true", help="build again what hasn't changed")
+            part.add_argument("--failure-after-rows", type=int, help="for tests: fail at a row beyond this number")
         part.add_argument("--out", help="warehouse: folder for the aggregates as TSV")
         part.add_argument("--runs", help="warehouse: folder in which each run is kept under its own id")
     part = commands.add_parser("publish")
@@ -69,6 +73,12 @@ def main(argv: list[str] | None = None) -> None:
         if found:
             raise SystemExit(1)
 
+    def reviewed(path: str | None) -> dict | None:
+        found = Files(spark).read_json(path) if path else None
+        if path and (found is None or not isinstance(found.get("files"), dict)):
+            raise SystemExit(f"{path} names no reviewed files")
+        return found
+
     if args.command in ("seed", "ask", "ablation", "eval"):
         star = mart.star(spark, args.mart)
         if args.command == "seed":
@@ -82,15 +92,17 @@ def main(argv: list[str] | None = None) -> None:
             result = ask(spark, star, args.question, args.force, retrieval.sections(spark, args.docs) if args.docs else None)
             show(draft_note(args.question, result) if args.draft else {k: v for k, v in result.items() if k != "frame"})
     elif args.command in ("build", "check", "warehouse"):
-        store = RegistrationStore(spark, args.raw_dir, args.curated_dir, args.artifacts_dir, args.data_asof)
+        store = RegistrationStore(spark, args.raw_dir, args.curated_dir, args.artifacts_dir, args.data_asof, reviewed(args.sources))
         if args.command == "warehouse":
             result = store.run_warehouse(args.years, args.runs)
             found = result.pop("marginals")
             if args.out and result["passed"]:
                 write_tsv(found, args.out)
             show(result)
+        elif args.command == "build":
+            show(store.build(args.years, refresh=args.refresh, failure_after_rows=args.failure_after_rows))
         else:
-            show(getattr(store, args.command)(args.years))
+            show(store.check(args.years))
     elif args.command == "publish":
         store = SnapshotStore(spark, args.store)
         if bool(args.run) == bool(args.aggregates) or (args.aggregates and not args.version):

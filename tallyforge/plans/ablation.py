@@ -42,6 +42,20 @@ def adjacent_gaps(totals: DataFrame, name: str, units: str) -> DataFrame:
     return rows.where("follower is not null").select("place", "leader", "follower", F.round((F.col("a").cast("double") / F.col("b") - 1) * 100, 2).alias("gap_pct"))
 
 
+def pairs_kept(rows: DataFrame, name: str, units: str, by: list[str]) -> DataFrame:
+    """Neighbours in the order of all rows, by how many per cent the leader leads, and in how many periods it is ahead.
+
+    by: the columns of a period. A name without rows in a period counts as 0 there; equal counts are no lead.
+    """
+    sums = rows.groupBy(name, *by).agg(F.sum(units).alias("units"))
+    pairs = adjacent_gaps(sums.groupBy(name).agg(F.sum("units").alias("units")), name, "units")
+    periods = sums.select(*by).distinct().agg(F.count(F.lit(1)).alias("periods"))  # one row
+    sides = pairs.select("place", F.explode(F.array(F.struct(F.col("leader").alias(name), F.lit(1).alias("side")), F.struct(F.col("follower").alias(name), F.lit(-1).alias("side")))).alias("s")).select("place", "s.*")
+    ahead = sides.join(sums, name).groupBy("place", *by).agg(F.sum(F.col("side") * F.col("units")).alias("lead"))
+    kept = ahead.groupBy("place").agg(F.count_if(F.col("lead") > 0).alias("kept"))
+    return pairs.join(kept, "place").crossJoin(F.broadcast(periods)).select("place", "leader", "follower", "gap_pct", "kept", "periods")
+
+
 def gaps(rows: DataFrame, by: str, base: str = "tiv_units", other: str = "registration_units") -> DataFrame:
     sums = rows.groupBy(by).agg(F.sum(base).alias("base"), F.sum(other).alias("other"))
     return sums.select(by, F.round(F.try_divide((F.col("other") - F.col("base")).cast("double"), F.col("base").cast("double")) * 100, 2).alias("gap_pct"))
@@ -82,14 +96,14 @@ def metric_flip(star: Star, year: int = 2025) -> dict:
     totals = fact.groupBy("brand_name").agg(F.sum("tiv_units").alias("tiv_units"), F.sum("registration_units").alias("registration_units"))
     year_gap = totals.where("tiv_units > 0 and registration_units > 0").select((F.abs(F.col("tiv_units") - F.col("registration_units")) / F.col("tiv_units") * 100).alias("g"))
     low, high, mean = (round(x, 2) for x in year_gap.agg(F.min("g"), F.max("g"), F.avg("g")).first())
-    pairs = [r.asDict() for r in adjacent_gaps(totals, "brand_name", "tiv_units").orderBy("place").collect()]
+    pairs = [r.asDict() for r in pairs_kept(fact, "brand_name", "tiv_units", ["month"]).orderBy("place").collect()]  # a row a brand
     months = [r["gap_pct"] for r in gaps(fact, "month").orderBy("month").collect()]
     legacy = legacy_gaps(fact).orderBy("month")
     old = [r["gap_pct"] for r in legacy.collect()]
     out = {
         "year": year, "top": top1(fact, [], "brand_name", both).first().asDict(), "month_rank_diff": flips(top1, ["month"]), "region_rank_diff": flips(top1, ["region_id"]),
         "full_order_diff_year": bool(differs(orders(fact, [], "brand_name", both))[0]), "full_order_diff_month": flips(orders, ["month"]),
-        "year_value_gap_pct": {"min": low, "max": high, "mean": mean}, "adjacent_brand_gap_pct": pairs, "tightest": min(pairs, key=lambda p: p["gap_pct"]),
+        "year_value_gap_pct": {"min": low, "max": high, "mean": mean}, "adjacent_brand_gap_pct": pairs, "tightest": min(pairs, key=lambda p: p["gap_pct"]) | {"max_year_value_gap_pct": high},
         "month_value_gap_pct": {"by_month": months, "abs_max": max(map(abs, months))},
         "legacy_flat_bump_model": {"by_month": old, "abs_typical": upper_median(legacy.select(F.abs("gap_pct").alias("g")), "g").first()[0], "abs_max": max(map(abs, old))},
     }

@@ -277,6 +277,12 @@ def gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.adjacent_gaps(registered(spark, sf_dir).groupBy("state").agg(F.count(F.lit(1)).alias("units")), "state", "units")
 
 
+def kept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring states in the order of all registrations, and in how many months the leader is ahead."""
+    rows = registered(spark, sf_dir).withColumn("one", F.lit(1))
+    return ablation.pairs_kept(rows, "state", "one", ["registration_year", "registration_month"])
+
+
 def flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star(spark, sf_dir)
     rows = s.years(s.fact, [YEAR]).join(s.model, "model_id")
@@ -383,6 +389,7 @@ QUERIES = {
     "lambda_sweep": sweep,
     "lambda_sweep_all_scales": sweep_all_scales,
     "adjacent_gap": gap,
+    "adjacent_pairs_kept": kept_pairs,
     "top1_flip_by_month": flips,
     "value_gap_stats": gap_stats,
     "upper_median_gap": median_gap,
@@ -463,6 +470,11 @@ g AS (SELECT scale, max(abs(round(CAST(r - t AS DOUBLE) / CAST(t AS DOUBLE) * 10
 SELECT scale, (SELECT count_if(a <> b) FROM a WHERE a.scale = g.scale)::BIGINT AS month_flips, (SELECT count_if(a <> b) FROM b WHERE b.scale = g.scale)::BIGINT AS region_flips, month_gap_abs_max FROM g""",
     "adjacent_gap": f"""{_REG}, s AS (SELECT state, COUNT(*) AS n FROM reg GROUP BY state), o AS (SELECT CAST(row_number() OVER w AS INT) AS place, state AS leader, lead(state) OVER w AS follower, n, lead(n) OVER w AS b FROM s WINDOW w AS (ORDER BY n DESC, state))
 SELECT place, leader, follower, round((CAST(n AS DOUBLE) / b - 1) * 100, 2) AS gap_pct FROM o WHERE follower IS NOT NULL""",
+    "adjacent_pairs_kept": f"""{_REG}, s AS (SELECT state, COUNT(*) AS n FROM reg GROUP BY state),
+o AS (SELECT CAST(row_number() OVER w AS INT) AS place, state AS leader, lead(state) OVER w AS follower, n, lead(n) OVER w AS b FROM s WINDOW w AS (ORDER BY n DESC, state)),
+d AS (SELECT ym, place, count_if(state = leader) - count_if(state = follower) AS ahead FROM o JOIN reg ON state IN (leader, follower) WHERE follower IS NOT NULL GROUP BY ym, place)
+SELECT place, leader, follower, round((CAST(n AS DOUBLE) / b - 1) * 100, 2) AS gap_pct, (SELECT count_if(ahead > 0) FROM d WHERE d.place = o.place)::BIGINT AS kept, (SELECT COUNT(DISTINCT ym) FROM reg) AS periods
+FROM o WHERE follower IS NOT NULL""",
     "top1_flip_by_month": f"""{_F}, s AS (SELECT month, energy, SUM(tiv) AS t, SUM(reg) AS r FROM f WHERE year = {YEAR} GROUP BY month, energy)
 SELECT month, arg_min(energy, (-t, energy)) AS tiv_top, arg_min(energy, (-r, energy)) AS reg_top FROM s GROUP BY month""",
     "value_gap_stats": f"{_GAPS} SELECT min(g) AS low, max(g) AS high, round(avg(g), 6) AS mean FROM g",

@@ -449,3 +449,16 @@ def test_identities_are_counted_without_shuffling_rows(spark):
         want = more.agg(F.count(F.lit(1)), F.countDistinct("f", "r"), F.min("r"), F.max("r")).first()
         assert tuple(counted(more, [F.col("f")], F.col("r"), {"odd": F.count_if(F.col("r") % 2 == 1)}).drop("odd").first()) == tuple(want)
     assert tuple(counted(rows.limit(0), [F.col("f")], F.col("r")).first()) == (0, 0, None, None)
+
+
+def test_only_reviewed_years_refresh_and_failing_rows(spark, tmp_path, store):
+    source(tmp_path / "raw/reviewed.parquet", rows_of_2026())
+    source(tmp_path / "raw/cars_2025.parquet", [GOOD | {"date_reg": dt.date(2025, 3, 1)}])
+    reviewed = RegistrationStore(spark, store.raw, store.curated, store.artifacts, reviewed={"files": {"2026": "https://host.example/data/reviewed.parquet"}})
+    with pytest.raises(ValueError, match="UNREVIEWED_YEAR: 2025"):
+        reviewed.build([2025])
+    with pytest.raises(Exception, match="Injected interruption after 2 rows"):
+        reviewed.build([2026], failure_after_rows=2)
+    assert json.loads((tmp_path / "artifacts/year_2026_attempt.json").read_text())["status"] == "failed" and not (tmp_path / "curated/registration_year=2026").exists()
+    assert [reviewed.build([2026], **x)[2026]["status"] for x in ({}, {}, {"refresh": True}, {"failure_after_rows": 4})] == ["built", "skipped", "built", "built"]
+    assert reviewed.check([2026])["status"] == "passed"
