@@ -50,9 +50,10 @@ class DigestIndex:
     def table(self) -> Iterator[str]:
         """The index as a bucketed table; its entry in the catalog lives as long as the block, its files stay."""
         name = f"digest_index_{uuid.uuid4().hex}"
+        place = self.path.replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(
             f"CREATE TABLE {name} ({self.SCHEMA}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{place}'"
         )
         try:
             yield name

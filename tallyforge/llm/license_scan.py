@@ -12,6 +12,8 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,6 +26,8 @@ UNKNOWN = "unknown"
 #: it have, the share of a name and a word that grants within REACH words of each other, or what a bare name has in
 #: common with all words of the line.
 LEAST_PROBABILITY, LEAST_OVERLAP, REACH = 0.5, 0.6, 5
+#: Slots of the table of weights: several times as many as there are weights.
+_SLOTS = 4096
 
 # Names and notices of licence families, as their publishers word them.
 NAMES = {
@@ -308,9 +312,23 @@ def _cue_lines(text: Column) -> Column:
     return F.transform(found, lambda x: x.withField("before", _last(x["before"], reach)).withField("after", F.slice(x["after"], 1, reach)))
 
 
+def _weights(model: Model) -> Callable[[Column], Column]:
+    """An n-gram's weights, null if it has none: by the slot of its checksum, as a map's keys are searched one by one."""
+    slots: list[list[dict]] = [[] for _ in range(_SLOTS)]
+    for gram, own in model.weights.items():
+        slots[zlib.crc32(gram.encode()) % _SLOTS].append({"g": gram, "w": own})
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<g:string,w:array<double>>>>")
+
+    def weights_of(gram: Column) -> Column:
+        found = F.filter(F.get(table, (F.crc32(gram.cast("binary")) % _SLOTS).cast("int")), lambda s: s["g"] == gram)
+        return F.get(found, F.lit(0))["w"]
+
+    return weights_of
+
+
 def found_licences(text: Column, model: Model) -> Column:
     """Lines with a cue, in their paragraphs: array of (paragraph, line, family, probability, overlap, confirmed)."""
-    weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
+    weights_of = _weights(model)
     known = lambda x: F.from_json(F.lit(json.dumps(x | {UNKNOWN: []})), "map<string,array<array<string>>>")
     forms, named, bare = known(notices()), known(named_grants()), known(bare_names())
     key = F.from_json(F.lit(json.dumps(keys() | {UNKNOWN: []})), "map<string,array<string>>")
@@ -336,9 +354,9 @@ def found_licences(text: Column, model: Model) -> Column:
             x["near"].alias("near"),
             F.transform(
                 F.aggregate(
-                    F.filter(_grams(x["words"], x["by_one"], x["by_two"]), lambda g: F.map_contains_key(weights, g)),
+                    F.filter(F.transform(_grams(x["words"], x["by_one"], x["by_two"]), weights_of), lambda w: w.isNotNull()),
                     bias,
-                    lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b),
+                    lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b),
                 ),
                 lambda z: F.exp(z / F.lit(model.temperature)),
             ).alias("e"),
