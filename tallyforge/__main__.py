@@ -53,6 +53,7 @@ def _parser() -> argparse.ArgumentParser:
     part = commands.add_parser("serve")
     part.add_argument("--store", required=True)
     part.add_argument("--port", type=int, default=8765)
+    part.add_argument("--mart", help="folder of the mart's tables: adds the pages /ask and /desk")
     return parser
 
 
@@ -116,7 +117,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "summary":
         show(matched_period(validated(read_tsv(spark, args.aggregates))))
     else:
-        service.server(SnapshotStore(spark, args.store), args.port).serve_forever()
+        desk = service.Desk(spark, mart.star(spark, args.mart)) if args.mart else None
+        service.server(SnapshotStore(spark, args.store), args.port, desk).serve_forever()
 
 
 if __name__ == "__main__":

@@ -1,12 +1,23 @@
-"""A loopback HTTP shell: GET / (a page), GET /api/catalog, POST /api/query and POST /api/ask over the active snapshot."""
+"""A loopback HTTP shell over the active snapshot: GET / (a page), GET /api/catalog, POST /api/query and POST /api/ask.
+
+Over a mart also GET /ask?q= (an answer) and GET /desk?q= (headline figures and a draft to confirm), as pages or, with
+format=json, as JSON.
+"""
 
 from __future__ import annotations
 
 import json
+from functools import cache
+from html import escape
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
+
+from pyspark.sql import SparkSession
 
 from ..sources.snapshots import SnapshotStore
-from . import serving
+from . import evaluation, serving
+from .ask import ask, draft_note
+from .star import Star
 
 MOST_BYTES = 8192
 PAGE = """<!doctype html>
@@ -53,14 +64,49 @@ def run_query(store: SnapshotStore, name: str, given: dict) -> dict:
     return {"query_id": name, "parameters": checked, "rows": [r.asDict() for r in frame.collect()], "columns": frame.columns, "source": described["source"], "metric_definition": serving.METRIC}
 
 
-def server(store: SnapshotStore, port: int = 0) -> ThreadingHTTPServer:
+class Desk:
+    """What the pages over a mart show."""
+
+    def __init__(self, spark: SparkSession, star: Star):
+        self.spark, self.star = spark, star
+
+    def ask(self, question: str) -> dict:
+        return {k: v for k, v in ask(self.spark, self.star, question).items() if k != "frame"}
+
+    def draft(self, question: str) -> dict:
+        return draft_note(question, self.ask(question))
+
+    @cache  # noqa: B019  (one desk a server; the mart doesn't change under it)
+    def cards(self) -> list[tuple]:
+        return evaluation.headlines(self.spark, self.star)
+
+    def page(self, at: str, given: dict[str, list[str]]) -> dict | str:
+        """/ask or /desk, as a dict for format=json, else as a page."""
+        question = given.get("q", [""])[0].strip()
+        found = (self.draft if at == "/desk" else self.ask)(question) if question else {}
+        if given.get("format", [""])[0] == "json":
+            return found
+        cells = lambda values, tag="td": "<tr>" + "".join(f"<{tag}>{escape(str(v))}</{tag}>" for v in values) + "</tr>"
+        out = [f'<!doctype html><html lang="zh"><meta charset="utf-8"><title>Registrations</title><form action="{at}"><input name="q" size="60" maxlength="240" value="{escape(question)}"> <button>Ask</button></form>']
+        if at == "/desk":
+            out.append("<table>" + "".join(map(cells, self.cards())) + "</table>")
+        rows = found.get("rows") or found.get("retrieve") or []
+        if rows:
+            out.append("<table>" + cells(rows[0], "th") + "".join(cells(r.values()) for r in rows) + "</table>")
+        rest = {k: v for k, v in found.items() if k not in ("rows", "retrieve") and v not in (None, "", [], {})}
+        if rest:
+            out.append(f"<pre>{escape(json.dumps(rest, ensure_ascii=False, indent=2, default=str))}</pre>")
+        return "".join(out) + "</html>\n"
+
+
+def server(store: SnapshotStore, port: int = 0, desk: Desk | None = None) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *_):
             return
 
         def reply(self, status: int, body: dict | str) -> None:
             page = isinstance(body, str)
-            data = (body if page else json.dumps(body, ensure_ascii=False)).encode()
+            data = (body if page else json.dumps(body, ensure_ascii=False, default=str)).encode()
             self.send_response(status)
             self.send_header("Content-Type", f"{'text/html' if page else 'application/json'}; charset=utf-8")
             self.send_header("Content-Length", str(len(data)))
@@ -95,6 +141,9 @@ def server(store: SnapshotStore, port: int = 0) -> ThreadingHTTPServer:
             def work():
                 if self.path == "/":
                     return PAGE
+                parts = urlsplit(self.path)
+                if desk is not None and parts.path in ("/ask", "/desk"):
+                    return desk.page(parts.path, parse_qs(parts.query))
                 if self.path != "/api/catalog":
                     raise serving.QueryError("NOT_FOUND", self.path, status=404)
                 found = store.active()

@@ -123,3 +123,31 @@ def test_evaluation(spark, star):
     assert run["summary"] == {"n": 3, "success_rate": 0.5, "accuracy": 0.5, "hitl_rate": 0.3333, "hitl_precision_on_expected": 1.0, "retrieve_success_rate": 1.0}
     assert evaluation.differences(run, run) == [] and evaluation.differences({"a": [1, 2]}, {"a": [1, 3], "b": 0}) == ["$.a[1]: 2 and 3", "$.b: only on one side"]
     assert evaluation.headlines(spark, star) == [("2025 TIV 第一名", ("Perodua", 359904)), ("Perodua TIV 份额", 43.9), ("国产 origin=national", 359904 + 151564)]
+
+
+def test_pages_over_the_mart(spark, star, tmp_path):
+    import json
+    import urllib.error
+    import urllib.request
+    from threading import Thread
+    from urllib.parse import quote
+
+    from tallyforge.plans import service
+    from tallyforge.sources.snapshots import SnapshotStore
+
+    server = service.server(SnapshotStore(spark, str(tmp_path)), desk=service.Desk(spark, star))
+    Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}")
+    try:
+        asked = quote("2025年Perodua TIV份额")
+        found = json.load(get(f"/ask?q={asked}&format=json"))
+        assert found["rows"][0]["name"] == "Perodua" and "Aggregate" in found["trace"]["plan"] and "\n" not in found["trace"]["plan"]
+        assert json.load(get(f"/desk?q={asked}&format=json"))["draft"] and json.load(get("/ask?format=json")) == {}
+        page = get(f"/desk?q={asked}").read().decode()
+        assert "2025 TIV" in page and "Perodua" in page and page.startswith("<!doctype html>")
+        stopped = get("/ask?q=" + quote("<b>今年销量</b>")).read().decode()
+        assert "RELATIVE_TIME" in stopped and "<b>" not in stopped
+        with pytest.raises(urllib.error.HTTPError):
+            get("/other")
+    finally:
+        server.shutdown()
