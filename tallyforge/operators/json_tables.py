@@ -2,7 +2,7 @@
 
 Texts are parsed to VARIANT values by Spark; a value's paths become rows level by level, each level a lateral join with what the
 containers of the last one hold. A level is stored before the next is taken, so deep values make long loops and no deep plans.
-Paths are written as $.key and $[0].
+Paths are written as $.key and $[0]; a key that is no plain word is quoted, $["a.b"], so that no two places share a path.
 """
 
 from __future__ import annotations
@@ -59,6 +59,13 @@ def _repeats_a_key(text: Column) -> Column:
     return F.coalesce(F.size(keys) > F.size(F.array_distinct(keys)), F.lit(False))
 
 
+def _step(name: Column, position: Column) -> Column:
+    """From a container to what it holds: [0], .word or ["any other key"]."""
+    quoted = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    word = F.when(name.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), F.concat(F.lit("."), name)).otherwise(F.concat(F.lit('["'), quoted, F.lit('"]')))
+    return F.when(name.isNull(), F.concat(F.lit("["), position.cast("string"), F.lit("]"))).otherwise(word)
+
+
 def paths(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, kind, value) of every scalar and empty container of the texts that are JSON; kind is its VARIANT type.
 
@@ -67,7 +74,7 @@ def paths(texts: DataFrame, key: str, text: str) -> DataFrame:
     spark = texts.sparkSession
     level = texts.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.try_parse_json(F.col(text)).alias("value")).where("value is not null")
     at, depth = shared.scratch(spark, "json-paths"), 0
-    holds = lambda: F.schema_of_variant("value").rlike("^(OBJECT<.+>|ARRAY<(?!VOID>).+>)$")
+    holds = lambda: F.schema_of_variant("value").rlike("(?s)^OBJECT<.+>$")
     while True:
         level = shared.kept(level, "json-level")
         full = F.coalesce(holds(), F.lit(False)) | F.coalesce(F.size(F.try_variant_get("value", "$", "array<variant>")) > 0, F.lit(False))
@@ -75,10 +82,8 @@ def paths(texts: DataFrame, key: str, text: str) -> DataFrame:
         level = level.where(full)
         if level.isEmpty():
             break
-        level = spark.sql(
-            "SELECT l.key, concat(l.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS path, e.value FROM {level} l, LATERAL variant_explode(l.value) e",
-            level=level,
-        )
+        level = spark.sql("SELECT l.key AS owner, l.path, e.pos, e.key AS name, e.value FROM {level} l, LATERAL variant_explode(l.value) e", level=level)
+        level = level.select(F.col("owner").alias("key"), F.concat("path", _step(F.col("name"), F.col("pos"))).alias("path"), "value")
         depth += 1
     return spark.read.parquet(at).drop("level")
 

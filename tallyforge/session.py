@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
@@ -21,12 +19,3 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-
-
-def package_for_workers(spark: SparkSession) -> SparkSession:
-    """On one machine Python workers find the package beside the driver's; on a cluster --py-files or PYTHONPATH give it."""
-    home, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
-    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
-    if home not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
-    return spark

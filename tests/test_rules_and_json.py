@@ -109,14 +109,15 @@ def test_faults_are_those_of_a_strict_parser(spark):
 
 def flat(value, at="$"):
     if isinstance(value, dict) and value:
-        return [x for k, v in value.items() for x in flat(v, f"{at}.{k}")]
+        step = lambda k: f".{k}" if k.isidentifier() and k.isascii() else "[" + json.dumps(k, ensure_ascii=False) + "]"
+        return [x for k, v in value.items() for x in flat(v, at + step(k))]
     if isinstance(value, list) and value:
         return [x for i, v in enumerate(value) for x in flat(v, f"{at}[{i}]")]
     return [(at, json.dumps(value, separators=(",", ":"), ensure_ascii=False))]
 
 
 def test_paths_and_differences(spark):
-    one = {1: {"a": [1, {"b": None}], "c": "x", "d": {"e": {"f": [True, []]}}}, 2: [], 3: 5, 4: {"same": [1, 2, {"x": "y"}]}, 5: {"gone": 1}, 6: {"deep": [[[[[[7]]]]]]}}
+    one = {1: {"a": [1, {"b": None}], "c": "x", "d": {"e": {"f": [True, []]}}}, 2: [], 3: 5, 4: {"same": [1, 2, {"x": "y"}]}, 5: {"gone": 1, "a.b": 1, "a": {"b": 2}, "é\\": 3, 'q"]': [4], "": 5}, 6: {"deep": [[[[[[7]]]]]]}}
     two = {1: {"a": [1, {"b": 0}, 9], "c": "x", "d": {"e": 2}}, 2: {}, 3: "5", 4: {"same": [1, 2, {"x": "y"}]}, 6: {"deep": [[[[[[8]]]]]]}, 7: {"new": {}}}
     table = lambda rows: spark.createDataFrame([*[(k, json.dumps(v)) for k, v in rows.items()], (99, "{"), (98, None)], "id int, j string")
     left, right = (json_tables.paths(table(x), "id", "j") for x in (one, two))
