@@ -27,8 +27,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each question is read as, and what it would be read as if every stop were guessed over."""
-    rows = intent_columns.read(questions(spark, sf_dir), "question")
-    rows = intent_columns.read(rows, "question", force=True, prefix="forced_")
+    rows = intent_columns.readings(questions(spark, sf_dir), "question", {"": False, "forced_": True})
     return rows.select("question", "n", "task", "metric", "year", "brand_id", F.col("hitl_code").alias("stop"), "forced_task", "forced_metric", "forced_year", F.col("forced_hitl_code").alias("forced_stop"), F.col("forced_n_guesses").alias("guesses"))
 
 
@@ -81,8 +80,7 @@ def question_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = driver_tables.table(spark, sf_dir, "orders")
     parts = [_pick(F.floor(F.col(_TAKEN[name][0]) / _TAKEN[name][1]), *words) for name, words in _WORDS.items()]
     asked = orders.groupBy(F.concat_ws(" ", *parts).alias("question")).agg(F.count(F.lit(1)).alias("n"))
-    rows = intent_columns.read(asked, "question")
-    rows = intent_columns.read(rows, "question", force=True, prefix="forced_")
+    rows = intent_columns.readings(asked, "question", {"": False, "forced_": True})
     fields = [f for f in intent_columns.FIELDS if f != "n_guesses"]
     return rows.select("question", "n", *[F.col(f).alias("stop" if f == "hitl_code" else f) for f in fields], "forced_task", "forced_metric", "forced_year", "forced_month", F.col("forced_n_guesses").alias("guesses"))
 

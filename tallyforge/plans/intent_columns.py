@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +16,28 @@ from .intent import LATEST, MONTH_WORDS, ORDER, YEARS, Signals
 
 #: Patterns are read as Python reads them: classes and boundaries of all scripts, a dot that stops at line feeds only.
 _AS_PYTHON = "(?Ud)"
+#: Alternatives of a pattern that stand in no group, and those that are plain words.
+_BAR, _PLAIN = re.compile(r"\|(?![^(]*\))"), re.compile(r"[^\\^$.|?*+()\[\]{}]+")
 FIELDS = ("task", "metric", "year", "month", "brand_id", "region_id", "energy", "origin", "hitl_code", "n_guesses")
 
 
+def occurs(text: Column, pattern: str) -> Column:
+    """Whether the pattern is found: plain words are looked for as they are, only the other alternatives by an expression."""
+    parts = [pattern] if pattern.startswith("(?") else _BAR.split(pattern)
+    plain = [p for p in parts if _PLAIN.fullmatch(p)]
+    rest = "|".join(p for p in parts if p not in plain)
+    return reduce(or_, [*[F.contains(text, F.lit(p)) for p in plain], *([text.rlike(_AS_PYTHON + rest)] if rest else [])])
+
+
 class _Columns:
     """What intent._Values has of one text, of a column of texts."""
 
-    def __init__(self, written: Column):
-        self.written, self.low = written, F.lower(written)
+    def __init__(self, written: Column, low: Column):
+        self.written, self.low = written, low
 
     def found(self, name: str) -> Column:
         own = name in intent.AS_WRITTEN
-        pattern = intent.AS_WRITTEN[name] if own else intent.SIGNALS[name]
-        return sure((self.written if own else self.low).rlike(_AS_PYTHON + pattern))
+        return sure(occurs(self.written if own else self.low, intent.AS_WRITTEN[name] if own else intent.SIGNALS[name]))
 
     def year(self) -> Column:
         return F.nullif(F.regexp_extract(self.written, _AS_PYTHON + intent.AS_WRITTEN["year"], 1), F.lit("")).cast("int")
@@ -45,12 +58,58 @@ class _Columns:
         return F.when(said != "", F.coalesce(digits, word))
 
 
+class _Seen:
+    """The same of columns that hold it, see _looked()."""
+
+    WORDS = {"brand": intent.BRAND_WORDS, "region": intent.REGION_WORDS, "energy": intent.ENERGY_WORDS}
+
+    def found(self, name: str) -> Column:
+        return F.col(f"__found_{name}")
+
+    def year(self) -> Column:
+        return F.col("__year")
+
+    def year_held(self) -> Column:
+        return F.col("__year_held")
+
+    def month(self) -> Column:
+        return F.col("__month")
+
+    def named(self, words: dict) -> Column:
+        return F.col(next(f"__{name}" for name, known in self.WORDS.items() if known is words))
+
+    def names(self, words: dict) -> Column:
+        return self.named(words).isNotNull()
+
+
+def _looked(questions: DataFrame, question: str) -> DataFrame:
+    """questions with a column for each signal and value, so that each is looked for once however many rules ask for it."""
+    rows = questions.withColumn("__written", strip(F.col(question))).withColumn("__low", F.lower("__written"))
+    values = _Columns(F.col("__written"), F.col("__low"))
+    looked = {f"__found_{name}": values.found(name) for name in (*intent.SIGNALS, *intent.AS_WRITTEN)}
+    looked |= {f"__{name}": values.named(words) for name, words in _Seen.WORDS.items()}
+    return rows.withColumns(looked | {"__year": values.year(), "__year_held": values.year_held(), "__month": values.month()})
+
+
 def read(questions: DataFrame, question: str, force: bool = False, prefix: str = "") -> DataFrame:
     """questions with the fields of intent.parse() as columns, named with the prefix. A null question has only nulls."""
-    values = _Columns(strip(F.col(question)))
+    return readings(questions, question, {prefix: force})
+
+
+def readings(questions: DataFrame, question: str, forced: dict[str, bool]) -> DataFrame:
+    """Several readings side by side, of one look at each question: forced says for each prefix whether stops are guessed over."""
+    rows = _looked(questions, question)
+    for prefix, force in forced.items():
+        rows = _ruled(rows, question, force, prefix)
+    own = dict.fromkeys([*questions.columns, *(f"{prefix}{f}" for prefix in forced for f in FIELDS)])
+    return rows.select(*[F.col(f"`{c}`") for c in own])
+
+
+def _ruled(rows: DataFrame, question: str, force: bool, prefix: str) -> DataFrame:
+    values = _Seen()
     s = Signals(values)
     at = lambda name: F.col(f"__{name}")
-    rows = questions.withColumn("__stops", all_codes(intent.STOP_RULES, s))
+    rows = rows.withColumn("__stops", all_codes(intent.STOP_RULES, s))
     first = F.get("__stops", F.lit(0))
     code = F.lit(len(ORDER)) if force else F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(c) for c in ORDER]), first).cast("int"), F.lit(0)) - 1, F.lit(len(ORDER)))
     rows = rows.withColumns({"__code": first, "__n": F.size("__stops"), "__at": code, "__documents": s.documents})

@@ -73,6 +73,25 @@ def test_registered_rules_have_no_python_worker(spark, name):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_each_signal_is_looked_for_once_in_all_readings(spark):
+    asked = spark.createDataFrame([("2025 TIV 排名",)], "q string")
+    plan = intent_columns.readings(asked, "q", {"": False, "forced_": True})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= len(intent.SIGNALS) + len(intent.AS_WRITTEN)
+    assert plan.count("lower(") == 1
+    vocabulary = driver_rules.question_vocabulary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert vocabulary.count("RLIKE") == plan.count("RLIKE")
+
+
+def test_words_and_expressions_of_a_pattern_are_found_as_by_python(spark):
+    import re
+
+    texts = ["", None, "a.b", "axb", "xods", "an ods.", "谁最猛", "谁最", "从哪张", "non-national", "3 月", "q-07", "mar", "a|b", "卖的好"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for pattern in (*intent.SIGNALS.values(), *intent.AS_WRITTEN.values(), r"a\.b|x", "b|c"):
+        got = {r["i"]: r["f"] for r in rows.select("i", intent_columns.occurs(rows["t"], pattern).alias("f")).collect()}
+        assert got == {i: None if t is None else re.search(pattern, t) is not None for i, t in enumerate(texts)}, pattern
+
+
 def strict(text):
     """OK or a fault by Python's parser."""
 
