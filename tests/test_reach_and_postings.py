@@ -49,6 +49,28 @@ def test_a_ladder_of_sixty_diamonds_is_walked_node_by_node(spark):
     assert ends == {"50l": 0} | {f"{50 + i}{s}": i for i in range(1, 11) for s in "lr"}
 
 
+def test_more_walks_than_a_row_has_bits_and_nodes_of_other_kinds(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)] * 2
+    seeds = [(f"f{i}", i % 60) for i in range(150)] + [("f0", 7), (None, 9)]
+    e = reach.stored(spark.createDataFrame(edges, "src long, dst long").repartition(3))
+    found = [tuple(r) for r in reach.walk(e, spark.createDataFrame(seeds, "focus string, node long").repartition(5)).collect()]
+    assert len(found) == len(set(found)) and set(found) == plain_walk(edges, seeds)
+    assert {tuple(r) for r in reach.fan_in(e).collect()} == {(d, len({s for s, x in edges if x == d})) for _, d in edges}
+
+
+def test_walks_at_one_node_follow_an_edge_once(spark, monkeypatch):
+    """Forty walks along one chain: a round writes a row for each node, not one for each walk."""
+    rows = []
+    scratch = reach.shared.scratch
+    monkeypatch.setattr(reach.shared, "scratch", lambda s, what: rows.append(scratch(s, what)) or rows[-1])
+    chain = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(3)], "src string, dst string")
+    walks = reach.upstream(chain, spark.createDataFrame([(i, "n0") for i in range(40)], "focus int, node string"))
+    assert walks.count() == 160
+    at = next(p for p in rows if "/reach-" in p and not p.split("/reach-")[1].startswith(("edges", "walks", "step")))
+    assert spark.read.parquet(at).count() == 4
+
+
 def test_the_engines_own_walk_uses_no_view(spark):
     found = {r["object_name"]: r["depth"] for r in lineage.upstream(lineage.edges(spark), ["metric.share"]).collect()}
     seeds = spark.createDataFrame([("m", "metric.share")], "focus string, node string")
