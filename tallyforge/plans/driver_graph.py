@@ -32,21 +32,20 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("focus"), _node("segment", "c_mktsegment").alias("node"))
-    return reach.upstream(supply(spark, sf_dir), segments)
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("focus"), _node("segment", "c_mktsegment").alias("node"))
 
 
 def lineage_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that feeds each market segment, with its distance."""
-    return _walks(spark, sf_dir)
+    return reach.upstream(supply(spark, sf_dir), _segments(spark, sf_dir))
 
 
 def lineage_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments' walks as one: nodes at their least depth, and how many edges of the graph lead to them."""
-    walks = _walks(spark, sf_dir)
-    into = reach.edges_within(supply(spark, sf_dir), walks).select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("edges"))
-    return reach.merged(walks).join(into, "node", "left").select("node", "depth", F.coalesce("edges", F.lit(0).cast("long")).alias("edges"))
+    edges = reach.stored(supply(spark, sf_dir))
+    walks = reach.walk(edges, _segments(spark, sf_dir))
+    return reach.merged(walks).join(reach.fan_in(edges), "node", "left").select("node", "depth", F.coalesce("edges", F.lit(0).cast("long")).alias("edges"))
 
 
 #: No way is longer than 20 steps; the walk over sets of (focus, node, depth) ends there, where a cycle would go on.
