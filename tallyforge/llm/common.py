@@ -128,6 +128,12 @@ def _trim():
         return None
 
 
+def trim() -> None:
+    """Memory that is free goes back to the system."""
+    if give := _trim():
+        give(0)
+
+
 def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """work with each batch on its own; what a batch took goes back to the system, as workers outlive their stage."""
 
@@ -136,8 +142,7 @@ def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         for batch in batches:
             yield from work(iter((batch,)))
             del batch
-            if trim := _trim():
-                trim(0)
+            trim()
 
     return each
 

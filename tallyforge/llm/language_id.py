@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, frugal
+from .common import by_bytes, frugal, trim
 
 UNDETERMINED = "und"
 #: Rows that are learned from, at most: of each language and in all; and how many of them are landmarks. The bounds of the
@@ -28,6 +28,8 @@ RIDGE = 0.01
 BITS = (12, 14, 16)
 _EDGES = np.concatenate(([0], np.cumsum([1 << b for b in BITS])))
 _BATCH = 32
+#: Landmarks and slots that are numbers at a time while the driver fits.
+_MARKS, _SLOTS = 64, 4096
 #: Bytes of text that are unpacked at once.
 _SLICE = 2 << 20
 
@@ -70,16 +72,33 @@ class Model:
         return sum(x @ self.weights[a:b] / root for (x, root), a, b in zip(parts, _EDGES[:-1], _EDGES[1:], strict=True)) / len(BITS)
 
 
+def _unpacked(rows: np.ndarray) -> np.ndarray:
+    """Indicators, which may be packed to bits."""
+    return rows if rows.dtype == bool else np.unpackbits(rows, axis=1).view(bool)
+
+
 def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Both may be packed. Only two blocks of them are numbers at a time; their products are whole, so blocks change nothing."""
     out = np.zeros((len(rows), len(landmarks)), np.float64)
-    for k in range(0, len(rows), _BATCH):
-        for (x, root), (y, other) in zip(_parts(rows[k : k + _BATCH]), _parts(landmarks), strict=True):
-            out[k : k + _BATCH] += (x @ y.T) / (root * other.T)
+    for i in range(0, len(landmarks), _MARKS):
+        marks = _parts(_unpacked(landmarks[i : i + _MARKS]))
+        for k in range(0, len(rows), _BATCH):
+            for (x, root), (y, other) in zip(_parts(_unpacked(rows[k : k + _BATCH])), marks, strict=True):
+                out[k : k + _BATCH, i : i + _MARKS] += (x @ y.T) / (root * other.T)
     return out / len(BITS)
 
 
+def _folded(marks: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Each slot's weights: the landmarks' own, summed over those that have the slot."""
+    rows, out = _unpacked(marks), []
+    for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True):
+        root = np.sqrt(np.maximum(rows[:, a:b].sum(axis=1, keepdims=True, dtype=np.float32), 1))
+        out += [(rows[:, i : min(i + _SLOTS, b)].astype(np.float32) / root).T @ alpha for i in range(a, b, _SLOTS)]
+    return np.concatenate(out)
+
+
 def fit(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """rows: indicators of the sample, the landmarks first."""
+    """rows: indicators of the sample, which may be packed to bits; the landmarks first."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((_EDGES[-1], 0), np.float32))
@@ -91,8 +110,7 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     target = np.array([[1.0 if x == y else -1.0 for y in languages] for x in labels])
     w = np.linalg.solve(z.T @ z + ridge * len(rows) * np.eye(z.shape[1]), z.T @ target)
     alpha = (root @ w).astype(np.float32)
-    weights = np.concatenate([(x / y).T @ alpha for x, y in _parts(marks)])
-    return Model(languages, weights.astype(np.float32))
+    return Model(languages, _folded(marks, alpha).astype(np.float32))
 
 
 def held_out():
@@ -120,8 +138,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     found = rows.join(F.broadcast(keys), ["doc_id", "print"]).select("doc_id", "print", "lang", "turn", "text")
     found = found.mapInArrow(_indicate, "doc_id long, print long, lang string, turn int, slots binary").where("slots is not null")
     got = found.groupBy("doc_id", "print").agg(F.min(F.struct("turn", "lang", "slots")).alias("x")).select("x.*", "doc_id").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["turn"], r["lang"], r["doc_id"]))
-    slots = np.array([np.unpackbits(np.frombuffer(r["slots"], np.uint8)) for r in got]).astype(bool)
+    model = _learned(got, landmarks)
+    trim()
+    return model
+
+
+def _learned(got: list[dict], landmarks: int = LANDMARKS) -> Model:
+    """From turn, lang, doc_id and packed indicators of the chosen rows; they stay packed, 10,752 bytes a row."""
+    got = sorted(got, key=lambda r: (r["turn"], r["lang"], r["doc_id"]))
+    slots = np.frombuffer(b"".join(r["slots"] for r in got), np.uint8).reshape(len(got), int(_EDGES[-1]) // 8)
     return fit(slots, [r["lang"] for r in got], landmarks)
 
 

@@ -562,3 +562,17 @@ def test_queries_on_an_empty_table_and_on_odd_rows(name, docs, edge_rows, tmp_pa
     assert query(workers, str(tmp_path / "none")).collect() == []
     got = query(workers, str(tmp_path / "odd")).collect()
     assert len(got) >= len(edge_rows) and {r["doc_id"] for r in got} == {i for i, _ in edge_rows}
+
+
+def test_language_id_learns_from_packed_rows_within_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    packed = np.packbits(rng.random((400, 86016), np.float32) < 0.01, axis=1)
+    labels = ["aa", "bb"] * 200
+    tracemalloc.start()
+    model = language_id.fit(packed, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20  # the landmarks alone are 88 MB as numbers
+    assert np.array_equal(model.weights, language_id.fit(np.unpackbits(packed, axis=1).astype(bool), labels).weights)
