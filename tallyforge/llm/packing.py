@@ -29,6 +29,8 @@ CAPACITY = 1024
 #: Bytes of text that are encoded at once, and characters of units that a task remembers.
 _SLICE, _REMEMBERED = 4 << 20, 5 << 20
 _DOUBLE, _BOUNDARY = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+#: A unit that ends in signs after a letter of Latin-1: the library's split always cuts there, so both parts are encoded alone.
+_SIGNED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([,.;:!?&]+)", re.DOTALL)
 #: Units that are encoded in one call, one after the other.
 _JOINED = 1000
 
@@ -41,6 +43,11 @@ class _Numbers(dict):
         return number
 
 
+def _gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of source that begin at starts, one after the other."""
+    return source[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+
+
 class Encoder:
     """Texts -> uint32 ids as the tokenizers library gives them for a byte-level BPE file.
 
@@ -80,8 +87,35 @@ class Encoder:
         found[0] = " " + found[0]
         return found
 
-    def _learn(self, units: list[str]) -> None:
-        """ids of new units: regular ones, without white space at their ends, in rows; all others alone."""
+    def _learn(self, known: int) -> None:
+        """ids of the units from this number on. A unit with signs at its end is its word and the signs: it brings only its word."""
+        units = list(islice(self.number, known, None))
+        parts = [_SIGNED.fullmatch(u) if u and u[0] != " " else None for u in units]
+        signed = [i for i, m in enumerate(parts) if m]
+        words = np.fromiter((self.number[parts[i][1]] for i in signed), np.int64, len(signed))
+        units += islice(self.number, known + len(units), None)  # words that were not asked for yet
+        self.held += sum(map(len, units))
+        starts, sizes = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        whole = np.ones(len(units), bool)
+        whole[signed] = False
+        at = np.flatnonzero(whole)
+        starts[at], sizes[at] = self._encoded([units[i] for i in at.tolist()])
+        self.start, self.size = np.concatenate((self.start, starts)), np.concatenate((self.size, sizes))
+        if not signed:
+            return
+        kinds = _Numbers()
+        kind = np.fromiter((kinds[parts[i][2]] for i in signed), np.int64, len(signed))
+        ends = [np.array(self.library.encode(k, add_special_tokens=False).ids, np.uint32) for k in kinds]
+        lengths = np.array([len(x) for x in ends], np.int64)
+        source = np.concatenate((self.flat, *ends))
+        first = len(self.flat) + np.cumsum(lengths) - lengths
+        ids = _gathered(source, np.stack((self.start[words], first[kind]), axis=1).ravel(), np.stack((self.size[words], lengths[kind]), axis=1).ravel())
+        both = self.size[words] + lengths[kind]
+        self.start[known + np.array(signed)], self.size[known + np.array(signed)] = len(self.flat) + np.cumsum(both) - both, both
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of units: regular ones, without white space at their ends, in rows; all others alone."""
         flat, sizes = [self.flat], np.zeros(len(units), np.int64)
         fit = np.fromiter((bool(u) and u[0] != " " and not u[-1].isspace() for u in units), bool, len(units))
         regular, others = np.flatnonzero(fit), np.flatnonzero(~fit)
@@ -99,8 +133,7 @@ class Encoder:
         order = np.concatenate((regular, others))
         starts[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
         self.flat = np.concatenate(flat)
-        self.start, self.size = np.concatenate((self.start, starts)), np.concatenate((self.size, sizes))
-        self.held += sum(map(len, units))
+        return starts, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
@@ -112,11 +145,9 @@ class Encoder:
             counts.append(len(units))
         at = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
         if len(self.number) > known:
-            self._learn(list(islice(self.number, known, None)))
+            self._learn(known)
         sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.start[at] - (ends - sizes), sizes)]
-        return ids, np.concatenate(([0], ends))[counts]
+        return _gathered(self.flat, self.start[at], sizes), np.concatenate(([0], np.cumsum(sizes)))[counts]
 
 
 @lru_cache(maxsize=2)

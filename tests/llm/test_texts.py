@@ -564,6 +564,21 @@ def test_queries_on_an_empty_table_and_on_odd_rows(name, docs, edge_rows, tmp_pa
     assert len(got) >= len(edge_rows) and {r["doc_id"] for r in got} == {i for i, _ in edge_rows}
 
 
+def test_words_with_signs_at_their_end_are_encoded_once(monkeypatch):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    made = packing.Encoder(path)
+    words = ["kalo", "Loka", "straße", "don't", "x1", "a", "naïve", "日本", "it's", "×", "e\u0301"]
+    texts = [" ".join(w + e for w in words for e in ("", ",", ".", "...", "?!", "&&&", ".\nNext,", ",'s", "\n.", ".\u0301")), ", . kalo, kalo", "kalo,", "", "kalo.", "<|x|>, kalo; kalo:"]
+    ids, first = made.encode(texts)
+    assert [ids[i:j].tolist() for i, j in zip(first[:-1], first[1:])] == [made.library.encode(t, add_special_tokens=False).ids for t in texts]
+    made = packing.Encoder(path)
+    seen = []
+    own = made._encoded
+    monkeypatch.setattr(made, "_encoded", lambda units: seen.extend(units) or own(units))
+    made.encode([" ".join("wort" + e for e in ("", ",", ".", "!", ";"))])
+    assert sorted(seen) == [" wort", "wort"]
+
+
 def test_language_id_learns_from_packed_rows_within_little_memory():
     import tracemalloc
 
