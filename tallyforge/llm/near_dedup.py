@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, doc_key, frugal, released, slices, stored, strings
+from .common import binaries, by_bytes, doc_key, frugal, released, slices, stored, stored_small, strings
 from .merkle import numbered
 from .words import mix, run_starts, runs, whole, word_hashes
 
@@ -107,81 +107,56 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, checked: i
 
 
 def _spread(bands: int):
-    """Signatures -> one row per band: band key (the band's number is mixed in) and id."""
+    """Signatures -> one row per band: band key (the band's number is mixed in; its lowest bit tells the first bands) and id."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
+        early = (np.arange(bands) < FIRST_BANDS).astype(np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
             _, data = strings(batch.column(1))
-            keys = mix(np.ascontiguousarray(data).view("<u8").reshape(len(ids), bands) ^ salt)
+            keys = mix(np.ascontiguousarray(data).view("<u8").reshape(len(ids), bands) ^ salt) & ~np.uint64(1) | early
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, bands))], names=["bucket", "id"])
 
     return spread
 
 
-def _early(bands: int, first: int):
-    """Signatures -> the same rows of the first bands only."""
-    spread = _spread(bands)
+def _linked(percent: int, agree: int):
+    """Pairs with the sketches (s, t) and texts (x, y) of their documents -> those whose sketches agree and whose sets have percent of their union in common."""
 
-    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spread(batches):
-            yield batch.filter(pa.array(np.tile(np.arange(bands) < first, batch.num_rows // bands)))
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        hashes, sizes, _, _ = shingle_sets(*strings(column))
+        return np.split(hashes, np.cumsum(sizes)[:-1])
 
-    return early
-
-
-def _agreeing(pairs: DataFrame, sketches: DataFrame, agree: int) -> DataFrame:
-    """The pairs (a, b) of whose checked minima at least `agree` agree."""
-    one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-    two = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (strings(batch.column(i))[1].reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= agree))
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
-
-
-@frugal
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, data = strings(batch.column("text"))
-        for i, j in slices(offsets, _SLICE):
-            hashes, sizes, _, _ = shingle_sets(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
-            cuts = np.concatenate(([0], np.cumsum(sizes))) * 8
-            packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(hashes))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("a", "b", "id")), packed], names=["a", "b", "id", "shingles"])
-
-
-def _linked(percent: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                one, two = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            s, t = (strings(batch.column(c))[1].reshape(batch.num_rows, -1) for c in ("s", "t"))
+            alike = batch.filter(pa.array((s == t).sum(axis=1) >= agree))
+            for part in by_bytes(by_bytes([alike], "x", _SLICE), "y", _SLICE):
+                keep = []
+                for one, two in zip(sets(part.column("x")), sets(part.column("y")), strict=True):
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(one) + len(two) - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return linked
+    return frugal(linked)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have percent or more of their union in common. texts: id, text.
+def confirmed(pairs: DataFrame, known: DataFrame, texts: DataFrame, percent: int, agree: int = AGREE) -> DataFrame:
+    """The pairs (a, b) of whose checked minima at least `agree` agree and whose full shingle sets have percent or more of their union in common.
 
-    Texts are joined once, on the documents of the pairs; each pair then meets its two sets.
+    known: id, sketch; texts: id, text. Both are joined once, on the documents of the pairs; each pair then meets its two documents.
     """
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    sets = ends.join(texts, "id").select("a", "b", "id", "text").mapInArrow(_sets, "a long, b long, id long, shingles binary")
-    two = sets.groupBy("a", "b").agg(F.collect_list(F.struct("id", "shingles")).alias("sets"))
-    of = lambda end: F.filter("sets", lambda s: s["id"] == F.col(end))[0]["shingles"]
-    two = two.select("a", "b", of("a").alias("x"), of("b").alias("y"))
-    return two.mapInArrow(_linked(percent), "a long, b long")
+    ends = ends.join(known.select("id", "sketch"), "id").join(texts, "id")
+    two = ends.groupBy("a", "b").agg(F.collect_list(F.struct("id", "sketch", "text")).alias("ends"))
+    of = lambda end, what: F.filter("ends", lambda x: x["id"] == F.col(end))[0][what]
+    two = two.select("a", "b", of("a", "sketch").alias("s"), of("b", "sketch").alias("t"), of("a", "text").alias("x"), of("b", "text").alias("y"))
+    return two.mapInArrow(_linked(percent, agree), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,23 +164,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Hot nodes are joined, not collected: each star is a minimum per node (pre-aggregated) and a join with the edges.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    edges = stored_small(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
+        # done when all are stars: no node has two smaller neighbours, or one and a larger one
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up")))).alias("end")).select("end.*")
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+        if not ends.where("up > 0 and n > 1").agg(F.count(F.lit(1)).alias("n")).first()["n"]:
+            break
         # large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: every smaller neighbour of a node, and the node, is linked to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        last, edges = edges, stored(small, "edges")
+        last, edges = edges, stored_small(small, "edges")
         released(last)
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
-    out = stored(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct()), "components")
+    out = stored_small(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct()), "components")
     released(edges)
     return out
 
@@ -231,7 +206,7 @@ def _candidates(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketc
 
 
 def cell_links(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, agree: int) -> list[tuple[int, int]]:
-    """Links that join components of a cell's members, each verified on full sets."""
+    """Links between components of a cell's members, by their numbers, each verified on full sets of two members."""
     pairs = _candidates(ids, component, sizes, sketch, side, percent, agree)
     pairs = pairs[:, np.argsort(-pairs[2], kind="stable")]
     shared = _shared(sets) if pairs.shape[1] > 400 else None
@@ -250,7 +225,8 @@ def cell_links(ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketch
         both_have = int(shared[x, y]) if shared is not None else len(np.intersect1d(sets[x], sets[y], assume_unique=True))
         if 100 * both_have >= percent * (len(sets[x]) + len(sets[y]) - both_have):
             root[max(one, two)] = min(one, two)
-            links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+            ends = int(component[x]), int(component[y])
+            links.append((min(ends), max(ends)))
     return links
 
 
@@ -303,20 +279,21 @@ def _as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, data = strings(batch.column("text"))
         for i, j in slices(offsets, _SLICE):
             hashes, sizes, _, _ = shingle_sets(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]])
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), binaries(hashes, np.concatenate(([0], np.cumsum(sizes))) * 8)], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("sketch").slice(i, j - i), binaries(hashes, np.concatenate(([0], np.cumsum(sizes))) * 8)], names=["id", "sketch", "shingles"])
 
 
 def cells(members: DataFrame, comps: DataFrame, known: DataFrame, own_blocks: bool) -> tuple[DataFrame, DataFrame]:
     """(members of buckets that span several components with their blocks, stored; the blocks of each cell).
 
     The first has bucket, own (the block), id and component, the second bucket, i, j (the cell) and own. The given members
-    are bucket, lead, id; the leader has met all members of its bucket, so it takes no part. Blocks have about _BLOCK members
+    are distinct bucket, lead, id; the leader has met all members of its bucket, so it takes no part. Blocks have about _BLOCK members
     and _BLOCK_SHINGLES shingles; a component that has more than that in the bucket has blocks of its own, smaller ones
     share. own_blocks: blocks meet only themselves.
     """
-    named = members.where("id <> lead").select("bucket", "id").distinct().join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    named = members.where("id <> lead").select("bucket", "id").join(known.select("id", "n"), "id").join(comps, "id", "left")
+    named = named.select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ones = named.join(mixed, "bucket").join(known.select("id", "n"), "id").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SALTS)))
+    open_ones = named.join(mixed, "bucket").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SALTS)))
     open_ones = stored(open_ones, "open")
     parts = lambda members, shingles: F.greatest(F.ceil(members / F.lit(_BLOCK)), F.ceil(shingles / F.lit(_BLOCK_SHINGLES))).cast("int")
     own = open_ones.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
@@ -338,10 +315,10 @@ def cells(members: DataFrame, comps: DataFrame, known: DataFrame, own_blocks: bo
 
 
 def links_across(members: DataFrame, comps: DataFrame, known: DataFrame, texts: DataFrame, percent: int, own_blocks: bool) -> DataFrame:
-    """Links (a, b), stored, between components that share a bucket, from all cells."""
+    """Links (a, b), stored, between components that share a bucket, by their numbers, from all cells."""
     dealt, ends = cells(members, comps, known, own_blocks)
-    sets = texts.join(dealt.select("id").distinct(), "id", "left_semi").mapInArrow(_as_set, "id long, shingles binary").dropDuplicates(["id"])
-    sets = stored(sets.join(known.select("id", "sketch"), "id"), "sets")
+    sets = texts.join(dealt.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).join(known.select("id", "sketch"), "id")
+    sets = stored(sets.mapInArrow(_as_set, "id long, sketch binary, shingles binary"), "sets")
     packed = dealt.join(sets, "id").groupBy("bucket", "own").applyInArrow(_pack, _PACKED)
     links = ends.join(packed, ["bucket", "own"]).groupBy("bucket", "i", "j").applyInArrow(_meet(percent, AGREE), "a long, b long").distinct()
     links = stored(links, "more_links")
@@ -379,16 +356,17 @@ def _groups(docs: DataFrame, percent: int, bands: int, rows: int, same: DataFram
     signed = stored(signatures(docs, bands, rows), "signatures")
     with_words = signed.where("n_shingles > 0")
     classes = with_words.groupBy("sequence", "sequence2").agg(F.min("id").alias("rep"))
-    reps = with_words.join(classes.select("sequence", "sequence2", F.col("rep").alias("id")), ["sequence", "sequence2", "id"], "left_semi")
-    buckets = reps.select("id", "bands").mapInArrow(_spread(bands), "bucket long, id long")
-    lead = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
-    members = stored(buckets.join(lead, "bucket"), "buckets")
-    known = with_words.select("id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"])
-    near_any = members.select("id").distinct()
+    reps = with_words.groupBy("sequence", "sequence2").agg(F.min(F.struct("id", "bands")).alias("rep")).select("rep.*")
+    buckets = reps.mapInArrow(_spread(bands), "bucket long, id long")
+    # a running minimum in order of id: one pass over the sorted rows of a task, whatever the size of a bucket
+    so_far = Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = stored(buckets.withColumn("lead", F.min("id").over(so_far)).where("id <> lead"), "buckets")
+    near_any = members.select(F.explode(F.array("id", "lead")).alias("id")).distinct()
+    known = with_words.select("id", F.col("n_shingles").alias("n"), "sketch").join(near_any, "id", "left_semi").dropDuplicates(["id"])
+    known = stored_small(known, "known")  # a plain table: where it is small Spark broadcasts it and no text is exchanged
     texts = docs.select(doc_key().alias("id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(near_any, "id", "left_semi"), "texts")
-    pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(_agreeing(pairs, known, AGREE), texts, percent)
+    texts = stored(texts.join(known.select("id"), "id", "left_semi"), "texts")
+    links = confirmed(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), known, texts, percent)
     if same is not None:
         of = with_words.join(classes, ["sequence", "sequence2"]).select(F.col("id").alias("pos"), "rep").join(same, "pos").select("id", "rep").distinct()
         least = of.groupBy("id").agg(F.min("rep").alias("a"))
@@ -396,18 +374,20 @@ def _groups(docs: DataFrame, percent: int, bands: int, rows: int, same: DataFram
     links = stored(links, "links")
     comps = components(links)
     released(links)
-    early = reps.select("id", "bands").mapInArrow(_early(bands, FIRST_BANDS), "bucket long, id long").select("bucket").distinct()
     for few in (True, False):
-        some = members.join(early, "bucket", "left_semi") if few else members
+        some = members.where("bucket & 1 = 1") if few else members
         more = links_across(some, comps, known, texts, percent, own_blocks=few)
         if not more.isEmpty():
-            # components so far stand for the links found so far
-            last, comps = comps, components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-            released(last)
+            # links are between components, so their graph is small; a node that had no component yet is in it as itself
+            roots = components(more)
+            moved = comps.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+            moved = moved.select("id", F.coalesce("root", "component").alias("component")).union(roots).distinct()
+            last, comps = comps, stored_small(moved, "components")
+            released(last, roots)
         released(more)
     named = classes.join(comps, F.col("rep") == F.col("id"), "left").select("sequence", "sequence2", F.coalesce("component", "rep").alias("component"))
     named = stored(named, "named")  # both sides of the join then are plain tables, so Spark can split a hot class
-    released(members, texts, comps)
+    released(members, known, texts, comps)
     found = with_words.select("id", "n_shingles", "sequence", "sequence2").join(named, ["sequence", "sequence2"]).select("id", "n_shingles", "component")
     found = found.union(signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
     plain = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c))

@@ -591,3 +591,12 @@ def test_language_id_learns_from_packed_rows_within_little_memory():
     tracemalloc.stop()
     assert most < 100 << 20  # the landmarks alone are 88 MB as numbers
     assert np.array_equal(model.weights, language_id.fit(np.unpackbits(packed, axis=1).astype(bool), labels).weights)
+
+
+def test_stars_are_components_without_a_round(workers, monkeypatch):
+    written = []
+    own = near_dedup.stored_small
+    monkeypatch.setattr(near_dedup, "stored_small", lambda df, what: written.append(what) or own(df, what))
+    edges = [(i, 10 * (i // 10)) for i in range(60)]
+    got = {r["id"]: r["component"] for r in near_dedup.components(workers.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 10 * (i // 10) for i in range(60)} and written == ["edges", "components"]
