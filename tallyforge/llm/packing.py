@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, by_bytes, frugal, stored
+from .common import binaries, by_bytes, frugal, stored, trim
 
 CAPACITY = 1024
-#: Bytes of text that are encoded at once, and characters of units that a task remembers.
-_SLICE, _REMEMBERED = 4 << 20, 5 << 20
+#: Bytes of text that are encoded at once, characters of units that a task remembers, and units that outlast a task.
+_SLICE, _REMEMBERED, _OUTLAST = 4 << 20, 5 << 20, 150_000
 _DOUBLE, _BOUNDARY = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 #: A unit that ends in signs after a letter of Latin-1: the library's split always cuts there, so both parts are encoded alone.
-_SIGNED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([,.;:!?&]+)", re.DOTALL)
+_SIGNED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 #: Units that are encoded in one call, one after the other.
 _JOINED = 1000
 
@@ -53,8 +53,8 @@ class Encoder:
 
     With the usual split (letters, digits or signs with at most one space in front) no token crosses a space between two
     characters that are not white space, whatever stands around. So texts are cut there into units, each distinct unit
-    is encoded once by the library and remembered for the task. Texts with special strings are one unit, as are all
-    texts if the file has another split.
+    is encoded once by the library and remembered for the task; those that were asked for most often outlast it. Texts with
+    special strings are one unit, as are all texts if the file has another split.
     """
 
     def __init__(self, path: str):
@@ -77,7 +77,19 @@ class Encoder:
 
     def forget(self) -> None:
         self.number, self.held = _Numbers(), 0
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def thin(self, most: int = _OUTLAST) -> None:
+        """Forgets all units but the `most` that were asked for most often, and those that were asked for once. Older uses count half."""
+        at = np.argsort(-self.used, kind="stable")[:most]
+        at = np.sort(at[self.used[at] > 1])
+        units = list(self.number)
+        number = _Numbers()
+        number.update((units[u], i) for i, u in enumerate(at.tolist()))
+        self.number, self.held = number, sum(map(len, number))
+        sizes = self.size[at]
+        self.flat = _gathered(self.flat, self.start[at], sizes)
+        self.start, self.size, self.used = np.cumsum(sizes) - sizes, sizes, self.used[at] // 2 + 1
 
     def units(self, text: str) -> list[str]:
         """What follows each space that is cut at; a first one, before any such space, has a space in front instead."""
@@ -90,7 +102,7 @@ class Encoder:
     def _learn(self, known: int) -> None:
         """ids of the units from this number on. A unit with signs at its end is its word and the signs: it brings only its word."""
         units = list(islice(self.number, known, None))
-        parts = [_SIGNED.fullmatch(u) if u and u[0] != " " else None for u in units]
+        parts = [None if u.isalpha() or not u or u[0] == " " else _SIGNED.fullmatch(u) for u in units]
         signed = [i for i, m in enumerate(parts) if m]
         words = np.fromiter((self.number[parts[i][1]] for i in signed), np.int64, len(signed))
         units += islice(self.number, known + len(units), None)  # words that were not asked for yet
@@ -101,6 +113,8 @@ class Encoder:
         at = np.flatnonzero(whole)
         starts[at], sizes[at] = self._encoded([units[i] for i in at.tolist()])
         self.start, self.size = np.concatenate((self.start, starts)), np.concatenate((self.size, sizes))
+        self.used = np.concatenate((self.used, np.zeros(len(units), np.int64)))
+        self.used += np.bincount(words, minlength=len(self.used))
         if not signed:
             return
         kinds = _Numbers()
@@ -138,7 +152,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
         if self.held > _REMEMBERED:
-            self.forget()
+            self.thin()
         units, counts, known = [], [0], len(self.number)
         for text in texts:
             units += self.units(text)
@@ -146,6 +160,7 @@ class Encoder:
         at = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
         if len(self.number) > known:
             self._learn(known)
+        self.used += np.bincount(at, minlength=len(self.used))
         sizes = self.size[at]
         return _gathered(self.flat, self.start[at], sizes), np.concatenate(([0], np.cumsum(sizes)))[counts]
 
@@ -177,7 +192,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from frugal(cut)(batches)
-        encoder(tokenizer).forget()
+        encoder(tokenizer).thin()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         task, "doc_id long, piece int, start long, length long, ids binary"

@@ -593,6 +593,19 @@ def test_language_id_learns_from_packed_rows_within_little_memory():
     assert np.array_equal(model.weights, language_id.fit(np.unpackbits(packed, axis=1).astype(bool), labels).weights)
 
 
+def test_units_that_outlast_a_task_keep_their_ids():
+    made = packing.Encoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["kalo kalo kalo kalo.\nNext kalo### ort ort ort, einmal", " ort***  kalo", "zwei##.%% ort"]
+    made.encode(texts)
+    made.thin()
+    assert {"kalo", "ort"} <= set(made.number) and "einmal" not in made.number and made.held == sum(map(len, made.number))
+    for _ in range(2):
+        ids, first = made.encode(texts)
+        assert [ids[i:j].tolist() for i, j in zip(first[:-1], first[1:])] == [made.library.encode(t, add_special_tokens=False).ids for t in texts]
+        made.thin(1)
+    assert len(made.number) == 1
+
+
 def test_stars_are_components_without_a_round(workers, monkeypatch):
     written = []
     own = near_dedup.stored_small
