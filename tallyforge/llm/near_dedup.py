@@ -363,9 +363,10 @@ def _groups(docs: DataFrame, percent: int, bands: int, rows: int, same: DataFram
     members = stored(buckets.withColumn("lead", F.min("id").over(so_far)).where("id <> lead"), "buckets")
     near_any = members.select(F.explode(F.array("id", "lead")).alias("id")).distinct()
     known = with_words.select("id", F.col("n_shingles").alias("n"), "sketch").join(near_any, "id", "left_semi").dropDuplicates(["id"])
-    known = stored_small(known, "known")  # a plain table: where it is small Spark broadcasts it and no text is exchanged
+    known = stored_small(known, "known")
     texts = docs.select(doc_key().alias("id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(known.select("id"), "id", "left_semi"), "texts")
+    # the same exchange at every size: by its own choice Spark would send small inputs' ids to all tasks and deal large inputs' texts
+    texts = stored(texts.join(known.select("id").hint("merge"), "id", "left_semi"), "texts")
     links = confirmed(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), known, texts, percent)
     if same is not None:
         of = with_words.join(classes, ["sequence", "sequence2"]).select(F.col("id").alias("pos"), "rep").join(same, "pos").select("id", "rep").distinct()
